@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from demandloom.config import BacktestConfig
 from demandloom.functions.months import month_start
 from demandloom.operators.series import fill_months
-from demandloom.operators.windows import window_calendar
+from demandloom.operators.windows import pin_calendar, window_calendar
 
 CUT = "2001-11-01"
 LOCAL = BacktestConfig(use_validation=False)
@@ -74,7 +74,7 @@ def brand_ends(spark: SparkSession, sf: str) -> DataFrame:
 def brand_calendar(
     spark: SparkSession, sf: str, cfg: BacktestConfig = BacktestConfig(), mode: str = "backtest"
 ) -> DataFrame:
-    return window_calendar(brand_ends(spark, sf), cfg, mode)
+    return pin_calendar(window_calendar(brand_ends(spark, sf), cfg, mode))
 
 
 def supplier_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,6 +85,10 @@ def supplier_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def supplier_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return supplier_lines(spark, sf).select("series_id").distinct()
+
+
 def supplier_month(spark: SparkSession, sf: str) -> DataFrame:
     month = month_start(F.col("time_index")).alias("time_index")
     return supplier_lines(spark, sf).groupBy("series_id", month).agg(F.sum("value").alias("value"))
@@ -97,7 +101,7 @@ def supplier_series(spark: SparkSession, sf: str) -> DataFrame:
 def supplier_calendar(
     spark: SparkSession, sf: str, cfg: BacktestConfig = BacktestConfig(), mode: str = "backtest"
 ) -> DataFrame:
-    return window_calendar(supplier_lines(spark, sf), cfg, mode)
+    return pin_calendar(window_calendar(supplier_lines(spark, sf), cfg, mode))
 
 
 # --- the same in SQL -------------------------------------------------------------------------

@@ -206,11 +206,11 @@ series_res AS (
   FROM apes p JOIN cal c ON c."window" = p."window" JOIN idx i ON i.series_id = p.series_id GROUP BY ALL)"""
 
 
-def results(spark: SparkSession, sf: str, level: str = "brand"):
-    """Both result tables of a backtest of the two models."""
-    series = (fx.brand_series if level == "brand" else fx.supplier_series)(spark, sf)
-    calendar = (fx.brand_calendar if level == "brand" else fx.supplier_calendar)(spark, sf, fx.LOCAL)
-    return backtest(series, calendar, MODELS, fx.LOCAL, DATE, retrain=True)
+def results(spark: SparkSession, sf: str):
+    """A backtest of the two models over suppliers."""
+    series, calendar = fx.supplier_series(spark, sf), fx.supplier_calendar(spark, sf, fx.LOCAL)
+    ids = fx.supplier_ids(spark, sf)
+    return backtest(series, calendar, MODELS, fx.LOCAL, DATE, retrain=True, ids=ids)
 
 
 @query(
@@ -223,7 +223,7 @@ def results(spark: SparkSession, sf: str, level: str = "brand"):
     )
 )
 def window_results(spark: SparkSession, sf: str) -> DataFrame:
-    frame = results(spark, sf, "supplier").window_df
+    frame = results(spark, sf).window_df
     return frame.select("*", F.posexplode("wape_per_period").alias("step", "wape")).drop(
         "wape_per_period"
     ).withColumn("step", (F.col("step") + 1).cast("long"))
@@ -240,7 +240,7 @@ def window_results(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def series_results(spark: SparkSession, sf: str) -> DataFrame:
-    frame = results(spark, sf, "supplier").series_df
+    frame = results(spark, sf).series_df
     zipped = F.arrays_zip("ape", "actual_values", "forecast_values")
     lists = ("ape", "actual_values", "forecast_values")
     exploded = frame.select(
@@ -268,8 +268,9 @@ def ordered_results(spark: SparkSession, sf: str) -> DataFrame:
     """Two runs gathered and ordered."""
     series, calendar = fx.supplier_series(spark, sf), fx.supplier_calendar(spark, sf, fx.LOCAL)
     flags = retrain_flags(calendar, True)
+    ids = fx.supplier_ids(spark, sf)
     runs = [
-        metrics.series_results(scored_pairs(series, calendar, [m], fx.LOCAL), flags, DATE)
+        metrics.series_results(scored_pairs(series, calendar, [m], fx.LOCAL), flags, DATE, ids=ids)
         for m in MODELS
     ]
     return metrics.order_results(runs, "series").select(

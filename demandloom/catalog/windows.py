@@ -63,7 +63,7 @@ def leakage_check(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql(*SUPPLIERS, "SELECT * FROM cal"))
 def window_calendar(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.supplier_calendar(spark, sf)
+    return ops.window_calendar(fx.supplier_lines(spark, sf), BacktestConfig())
 
 
 def _split(which: str):
@@ -150,7 +150,7 @@ def split_all_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql(*SUPPLIERS, 'SELECT *, "window" % 3 = 0 AS retrained FROM cal'))
 def retrain_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.retrain_flags(fx.supplier_calendar(spark, sf), 3)
+    return ops.retrain_flags(window_calendar(spark, sf), 3)
 
 
 @query(
@@ -160,4 +160,4 @@ def retrain_schedule(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def model_carry_forward(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.model_of_window(ops.retrain_flags(fx.supplier_calendar(spark, sf), 4))
+    return ops.model_of_window(ops.retrain_flags(window_calendar(spark, sf), 4))

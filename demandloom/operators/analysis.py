@@ -155,14 +155,17 @@ def melt_horizons(
     """Wide step columns to long with the step number and its label ``F<n>``."""
     _require(df, ids)
     wide = step_columns(df, prefix)
-    long = df.select(*ids, *wide).unpivot(list(ids), wide, "step_column", value_name)
-    number = F.regexp_extract("step_column", r"(\d+)$", 1)
-    return long.select(
-        *ids,
-        number.cast("int").alias("step"),
-        F.concat(F.lit("F"), number).alias("label"),
-        value_name,
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(_number(c)).alias("step"),
+                F.lit(f"F{_number(c)}").alias("label"),
+                F.col(c).alias(value_name),
+            )
+            for c in wide
+        ]
     )
+    return df.select(*ids, F.inline(cells))
 
 
 def horizon_means(df: DataFrame, group: str = "model", prefix: str = "wape_f") -> DataFrame:

@@ -88,8 +88,13 @@ def series_results(
     backtest_date: str,
     hyperparameters: dict[str, str] | None = None,
     decimals: int = 6,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per model, window and series with its values in month order."""
+    """One row per model, window and series with its values in month order.
+
+    ``ids`` holds the series ids that ``series_index`` counts; without it they are taken from the
+    pairs, which computes those once more.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("time_index", "actual", "forecast", "ape")))
     grouped = (
         with_ape(pairs)
@@ -104,7 +109,7 @@ def series_results(
     )
     flags = flagged_calendar.select("window", "base_date", "retrained")
     indexed = grouped.join(F.broadcast(flags), "window").join(
-        dense_index(pairs, "series_id", "series_index"), "series_id"
+        dense_index(pairs if ids is None else ids, "series_id", "series_index"), "series_id"
     )
     return indexed.select(
         F.lit(backtest_date).alias("backtest_date"),

@@ -71,6 +71,22 @@ def window_calendar(df: DataFrame, cfg: BacktestConfig, mode: str = "backtest")
     )
 
 
+def pin_calendar(calendar: DataFrame) -> DataFrame:
+    """The calendar as literal rows.
+
+    A calendar derived from the data is a full pass over the demand; every use of it in a plan would
+    repeat that pass.  Its size is fixed by the configuration (one row per window), so it is
+    evaluated once and travels as constants from then on.
+    """
+    dates = ", ".join(f"CAST({c} AS DATE) AS {c}" for c in calendar.columns if c != "window")
+    rows = ", ".join(
+        "(" + ", ".join(str(v) if isinstance(v, int) else f"'{v}'" for v in row) + ")"
+        for row in calendar.collect()
+    )
+    names = ", ".join(calendar.columns)
+    return calendar.sparkSession.sql(f"SELECT window, {dates} FROM VALUES {rows} AS c({names})")
+
+
 def leakage_rows(tuning: DataFrame, backtest: DataFrame) -> DataFrame:
     """Tuning windows whose forecast period reaches the first backtest base month."""
     first = backtest.agg(F.min("base_date").alias("backtest_start"))

@@ -20,9 +20,28 @@ from demandloom.operators.windows import retrain_flags
 
 @dataclass(frozen=True)
 class BacktestResult:
+    """Scored pairs and the settings of their run; each result table is planned when asked for."""
+
     pairs: DataFrame
-    window_df: DataFrame
-    series_df: DataFrame
+    flags: DataFrame
+    backtest_date: str
+    hyperparameters: dict[str, str] | None
+    decimals: int
+    ids: DataFrame
+
+    @property
+    def window_df(self) -> DataFrame:
+        table = window_results(
+            self.pairs, self.flags, self.backtest_date, self.hyperparameters, self.decimals
+        )
+        return order_results([table], "window")
+
+    @property
+    def series_df(self) -> DataFrame:
+        table = series_results(
+            self.pairs, self.flags, self.backtest_date, self.hyperparameters, self.decimals, self.ids
+        )
+        return order_results([table], "series")
 
 
 def forecast_all(
@@ -63,13 +82,15 @@ def backtest(
     hyperparameters: dict[str, str] | None = None,
     retrain: bool | int | None = None,
     check: bool = False,
+    ids: DataFrame | None = None,
 ) -> BacktestResult:
-    """Forecast, score and summarise.  Everything stays lazy except the optional alignment check
-    and the fits of global models."""
+    """Forecast, score and summarise.
+
+    Everything stays lazy except the optional alignment check, the fits of global models and the
+    numbering of series.  ``ids`` (the series ids, if a cheaper table than ``series`` has them) is
+    what the numbering reads.
+    """
     pairs = scored_pairs(series, calendar, models, cfg, check)
     flags = retrain_flags(calendar, cfg.retrain if retrain is None else retrain)
-    window_df = window_results(pairs, flags, backtest_date, hyperparameters, cfg.decimals)
-    series_df = series_results(pairs, flags, backtest_date, hyperparameters, cfg.decimals)
-    return BacktestResult(
-        pairs, order_results([window_df], "window"), order_results([series_df], "series")
-    )
+    known = series.select("series_id") if ids is None else ids
+    return BacktestResult(pairs, flags, backtest_date, hyperparameters, cfg.decimals, known)

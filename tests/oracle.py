@@ -64,6 +64,18 @@ def rows_of(columns, rows, digits):
     return sorted(out, key=repr)
 
 
+SAME_TYPE = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR",
+    "date": "DATE", "boolean": "BOOLEAN",
+}
+
+
+def type_notes(df, rel) -> str:
+    duck_types = {d[0]: str(d[1]) for d in rel.description}
+    off = [f"{c}:{t}/{duck_types[c]}" for c, t in df.dtypes if SAME_TYPE.get(t, t) != duck_types.get(c)]
+    return "types " + " ".join(off) if off else ""
+
+
 def compare(spark, con, fn, sql, sf_dir):
     """(status, number of rows, note); 'exact' also means equal doubles and integer types."""
     df = fn(spark, sf_dir)
@@ -78,7 +90,7 @@ def compare(spark, con, fn, sql, sf_dir):
     for digits, status in ((None, "exact"), (9, "close")):
         a, b = rows_of(df.columns, got, digits), rows_of(names, want, digits)
         if a == b:
-            return (status, len(got), "")
+            return (status, len(got), type_notes(df, rel))
     bad = [(x, y) for x, y in zip(a, b) if x != y][:3]
     return ("DIFFER", len(got), f"{len(a)} vs {len(b)} rows; {sorted(names)} {bad}")
 

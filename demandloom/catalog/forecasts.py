@@ -1 +1,162 @@
-"""Registered below."""
+"""Forecasters over suppliers and brands; closed forms are checked by SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from demandloom.catalog import fixtures as fx
+from demandloom.catalog import query
+from demandloom.catalog import scoring as sc
+from demandloom.catalog.fixtures import sql
+from demandloom.models.closed_form import LevelSmoothing, LinearTrend, OneLagAR, SeasonalNaive
+from demandloom.models.factor import FactorModel
+from demandloom.models.per_series import AutoAR, ExpSmoothing, FourierTrend
+from demandloom.models.pooled import GlobalDirect, GlobalRecursive
+from demandloom.operators import metrics
+from demandloom.operators.series import fill_months, roles
+from demandloom.operators.windows import retrain_flags
+from demandloom.plans.backtest import scored_pairs
+
+LOCAL_MODELS = [AutoAR(), ExpSmoothing(), FourierTrend()]
+
+
+def _forecast(model, spark: SparkSession, sf: str, cfg=fx.LOCAL) -> DataFrame:
+    rows = model.forecast(fx.supplier_series(spark, sf), fx.supplier_calendar(spark, sf, cfg), cfg)
+    return rows.withColumn("forecast", F.round("forecast", 4))
+
+
+@query(sql(fx.SUPPLIER_SQL, fx.FILLED_SQL, fx.LOCAL_CAL_SQL, sc.NAIVE_SQL, "SELECT * FROM naive_fc"))
+def fc_seasonal_naive(spark: SparkSession, sf: str) -> DataFrame:
+    return _forecast(SeasonalNaive(), spark, sf)
+
+
+@query(
+    sql(
+        fx.SUPPLIER_SQL,
+        fx.FILLED_SQL,
+        fx.LOCAL_CAL_SQL,
+        sc.AR_SQL,
+        """SELECT model, "window", series_id, time_index, round(forecast, 4) AS forecast FROM ar_fc""",
+    )
+)
+def fc_ar1(spark: SparkSession, sf: str) -> DataFrame:
+    return _forecast(OneLagAR(), spark, sf)
+
+
+@query(
+    sql(
+        fx.SUPPLIER_SQL,
+        fx.FILLED_SQL,
+        fx.LOCAL_CAL_SQL,
+        """numbered AS (
+  SELECT series_id, time_index, value AS y, CAST(row_number() OVER (PARTITION BY series_id ORDER BY time_index) AS DOUBLE) AS t
+  FROM filled),
+sums AS (
+  SELECT c."window", c.forecast_start, c.forecast_end, series_id, CAST(count(*) AS DOUBLE) AS n,
+    sum(y) AS sy, sum(t) AS st, sum(t * y) AS sty, sum(t * t) AS stt
+  FROM numbered JOIN cal c ON time_index <= validation_end_date GROUP BY ALL),
+slopes AS (SELECT *, coalesce((n * sty - st * sy) / nullif(n * stt - st * st, 0), 0) AS slope FROM sums)""",
+        """SELECT 'LinearTrend' AS model, "window", series_id, CAST(forecast_start + k * INTERVAL 1 MONTH AS DATE) AS time_index,
+  round((sy - slope * st) / n + slope * (n + 2 + k), 4) AS forecast
+FROM slopes, range(3) t(k) WHERE forecast_start + k * INTERVAL 1 MONTH <= forecast_end""",
+    )
+)
+def fc_trend(spark: SparkSession, sf: str) -> DataFrame:
+    return _forecast(LinearTrend(), spark, sf)
+
+
+@query(
+    sql(
+        fx.SUPPLIER_SQL,
+        fx.FILLED_SQL,
+        fx.LOCAL_CAL_SQL,
+        """ordered AS (
+  SELECT series_id, time_index, value, row_number() OVER (PARTITION BY series_id ORDER BY time_index) AS n FROM filled),
+ses AS (
+  SELECT CAST(a AS DOUBLE) / 20 AS alpha, series_id, n, time_index, CAST(value AS DOUBLE) AS level, CAST(0 AS DOUBLE) AS sse
+  FROM ordered, range(1, 20) r(a) WHERE n = 1
+  UNION ALL
+  SELECT alpha, s.series_id, o.n, o.time_index, alpha * o.value + (1.0::DOUBLE - alpha) * level,
+    sse + (o.value - level) * (o.value - level)
+  FROM ses s JOIN ordered o ON o.series_id = s.series_id AND o.n = s.n + 1),
+best AS (
+  SELECT c."window", c.forecast_start, c.forecast_end, series_id, level
+  FROM ses JOIN cal c ON time_index = validation_end_date
+  QUALIFY row_number() OVER (PARTITION BY c."window", series_id ORDER BY sse, alpha) = 1)""",
+        """SELECT 'LevelSmoothing' AS model, "window", series_id,
+  CAST(forecast_start + k * INTERVAL 1 MONTH AS DATE) AS time_index, round(level, 4) AS forecast
+FROM best, range(3) t(k) WHERE forecast_start + k * INTERVAL 1 MONTH <= forecast_end""",
+        recursive=True,
+    )
+)
+def fc_exp_smoothing(spark: SparkSession, sf: str) -> DataFrame:
+    return _forecast(LevelSmoothing(), spark, sf)
+
+
+@query()
+def fc_auto_smoothing(spark: SparkSession, sf: str) -> DataFrame:
+    return _forecast(ExpSmoothing(), spark, sf)
+
+
+@query()
+def fc_auto_ar(spark: SparkSession, sf: str) -> DataFrame:
+    return _forecast(AutoAR(), spark, sf)
+
+
+@query()
+def fc_fourier(spark: SparkSession, sf: str) -> DataFrame:
+    additive = _forecast(FourierTrend(), spark, sf)
+    product = _forecast(FourierTrend(multiplicative=True, name="FourierProduct"), spark, sf)
+    return additive.unionByName(product)
+
+
+@query()
+def local_backtest(spark: SparkSession, sf: str) -> DataFrame:
+    """The three per-series models over every supplier and window, scored."""
+    series, calendar = fx.supplier_series(spark, sf), fx.supplier_calendar(spark, sf, fx.LOCAL)
+    pairs = scored_pairs(series, calendar, LOCAL_MODELS, fx.LOCAL)
+    table = metrics.window_results(pairs, retrain_flags(calendar, True), sc.DATE)
+    return metrics.order_results([table], "window").drop("model_hyperparameters")
+
+
+def brand_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Brand demand with its past and future covariates, gap-filled."""
+    table = fx.brand_month(spark, sf, full=True)
+    found = roles(table.columns)
+    return fill_months(table, ["value", *found.past, *found.future])
+
+
+def _brand_static(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.part(spark, sf, "p_brand", "p_size").groupBy(F.col("p_brand").alias("series_id")).agg(
+        (F.avg("p_size") / 50).alias("static_mean_size")
+    )
+
+
+@query()
+def fc_global_direct(spark: SparkSession, sf: str) -> DataFrame:
+    calendar = fx.brand_calendar(spark, sf, fx.GLOBAL)
+    linear = GlobalDirect(static=_brand_static(spark, sf))
+    return linear.forecast(brand_features(spark, sf), calendar, fx.GLOBAL)
+
+
+@query()
+def fc_global_recursive(spark: SparkSession, sf: str) -> DataFrame:
+    calendar = fx.brand_calendar(spark, sf, fx.GLOBAL)
+    return GlobalRecursive().forecast(brand_features(spark, sf), calendar, fx.GLOBAL)
+
+
+@query()
+def fc_factor(spark: SparkSession, sf: str) -> DataFrame:
+    calendar = fx.supplier_calendar(spark, sf, fx.GLOBAL)
+    return FactorModel().forecast(fx.supplier_series(spark, sf), calendar, fx.GLOBAL)
+
+
+@query()
+def global_backtest(spark: SparkSession, sf: str) -> DataFrame:
+    """Global and joint models over every supplier, scored by window."""
+    series, calendar = fx.supplier_series(spark, sf), fx.supplier_calendar(spark, sf, fx.GLOBAL)
+    models = [GlobalDirect(), GlobalRecursive(), FactorModel()]
+    pairs = scored_pairs(series, calendar, models, fx.GLOBAL)
+    table = metrics.window_results(pairs, retrain_flags(calendar, fx.GLOBAL.retrain), sc.DATE)
+    return metrics.order_results([table], "window").drop("model_hyperparameters")

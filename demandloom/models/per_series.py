@@ -6,11 +6,13 @@ most one value per month) and fits all series and windows of a batch with vector
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,10 @@ from demandloom.models.base import FORECAST_COLUMNS, horizon_months
 from demandloom.operators.alignment import drop_offset
 from demandloom.operators.series import series_arrays
 
+# the fits travel with the job, so executors need no installed copy of this package
+cloudpickle.register_pickle_by_value(kernels)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # rows fitted together; bounds a task's memory whatever the Arrow batch size
 CHUNK = 512
 

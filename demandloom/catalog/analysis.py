@@ -83,14 +83,14 @@ def load_series_results(spark: SparkSession, sf: str) -> DataFrame:
         sc.WAPE_SQL,
         sc.WINDOW_RESULT_SQL,
         """SELECT s.model, s."window", w.avg_wape_across_periods, count(*) AS n_series,
-  round(avg(s.ape[1]), 6) AS mean_ape_f1, round(avg(w.wape_per_period[1]), 6) AS wape_f1
+  round(sum(s.ape[1]), 6) AS total_ape_f1, round(avg(w.wape_per_period[1]), 6) AS wape_f1
 FROM series_res s JOIN window_res w ON w.model = s.model AND w."window" = s."window" GROUP BY ALL""",
     )
 )
 def load_all_results(spark: SparkSession, sf: str) -> DataFrame:
     windows, series = read_results(spark, _saved_csv(spark, sf), ["ape"])
     per_window = series.groupBy("model", "window").agg(
-        F.count(F.lit(1)).alias("n_series"), F.round(F.avg("ape_f1"), 6).alias("mean_ape_f1")
+        F.count(F.lit(1)).alias("n_series"), F.round(F.sum("ape_f1"), 6).alias("total_ape_f1")
     )
     return per_window.join(
         windows.select("model", "window", "avg_wape_across_periods", "wape_f1"), ["model", "window"]

@@ -53,14 +53,6 @@ def make_samples(
     return wide.filter(F.col("_row") >= lookback).drop("_row")
 
 
-def feature_names(lookback: int, horizon: int, found: Roles | None, step: int) -> list[str]:
-    """Input columns of the model for one step: lags, past at t, future at that step's month."""
-    past = list(found.past) if found else []
-    future = [f"{c}_h{step}" for c in found.future] if found else []
-    static = list(found.static) if found else []
-    return lag_names(lookback) + past + future + static
-
-
 def train_samples(samples: DataFrame, calendar: DataFrame) -> DataFrame:
     """Samples of each window's train split: targets included, nothing after the cut."""
     cuts = calendar.select("window", "train_end_date")

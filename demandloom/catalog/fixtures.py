@@ -13,6 +13,7 @@ from demandloom.config import BacktestConfig
 from demandloom.functions.months import month_start
 from demandloom.operators.series import fill_months
 from demandloom.operators.windows import pin_calendar, window_calendar
+from demandloom.plans.sizes import fits_broadcast
 
 CUT = "2001-11-01"
 LOCAL = BacktestConfig(use_validation=False)
@@ -20,42 +21,49 @@ GLOBAL = BacktestConfig(retrain=3)
 TUNING = BacktestConfig(use_validation=False, tuning_windows=3)
 
 
-def lineitem(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+def lineitem(spark: SparkSession, sf: str, *columns) -> DataFrame:
     table = spark.read.parquet(f"{sf}/lineitem.parquet")
     return table.filter(F.col("l_shipdate") < F.lit(CUT).cast("timestamp_ntz")).select(*columns)
 
 
-def part(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+def part(spark: SparkSession, sf: str, *columns) -> DataFrame:
     return spark.read.parquet(f"{sf}/part.parquet").select(*columns)
 
 
-def brand_month(spark: SparkSession, sf: str, full: bool = False) -> DataFrame:
-    """One row per brand and month that has lines.
+def with_brand(spark: SparkSession, sf: str, lines: DataFrame, totals, again) -> DataFrame:
+    """Lines joined to their brand and aggregated by brand and ``lines``' other keys.
 
-    Lines are totalled per part and month before the join, so a part that holds a third of all
-    lines joins as a few dozen rows.
+    While the part table is small enough to broadcast, lines are joined where they are read and only
+    brand totals are shuffled.  Beyond that they are totalled per part first (``totals``, combined
+    by ``again``), so a part that holds a third of all lines joins as a few dozen rows.
     """
-    month = month_start(F.col("l_shipdate")).alias("time_index")
-    first = [F.sum("l_quantity").alias("value")]
-    again = [F.sum("value").alias("value")]
+    brands = part(spark, sf, "p_partkey", F.col("p_brand").alias("series_id"))
+    on = F.col("l_partkey") == F.col("p_partkey")
+    keys = [c for c in ("time_index",) if c in lines.columns]
+    if fits_broadcast(brands):
+        return lines.join(F.broadcast(brands), on).groupBy("series_id", *keys).agg(*totals)
+    per_part = lines.groupBy("l_partkey", *keys).agg(*totals)
+    return per_part.join(brands, on).groupBy("series_id", *keys).agg(*again)
+
+
+def brand_month(spark: SparkSession, sf: str, full: bool = False) -> DataFrame:
+    """One row per brand and month that has lines."""
+    totals, again = [F.sum("l_quantity").alias("value")], [F.sum("value").alias("value")]
     if full:
         # whole cents, so that the average does not depend on the order of summation
         cents = F.sum(F.round(F.col("l_discount") * 100).cast("long"))
-        first += [F.count(F.lit(1)).alias("lines"), cents.alias("cents")]
-        again += [
-            F.sum("lines").alias("past_lines"),
-            (F.sum("cents") / F.sum("lines") / 100).alias("past_avg_discount"),
-        ]
-    columns = ["l_partkey", "l_shipdate", "l_quantity"] + (["l_discount"] if full else [])
-    per_part = lineitem(spark, sf, *columns).groupBy("l_partkey", month).agg(*first)
-    brands = part(spark, sf, "p_partkey", "p_brand")
-    joined = per_part.join(brands, F.col("l_partkey") == F.col("p_partkey"))
-    out = joined.groupBy(F.col("p_brand").alias("series_id"), "time_index").agg(*again)
-    if full:
-        out = out.withColumns(
-            {"future_month": F.month("time_index"), "future_quarter": F.quarter("time_index")}
-        )
-    return out
+        totals += [F.count(F.lit(1)).alias("lines"), cents.alias("cents")]
+        again += [F.sum("lines").alias("lines"), F.sum("cents").alias("cents")]
+    columns = ["l_partkey", "l_quantity"] + (["l_discount"] if full else [])
+    lines = lineitem(spark, sf, *columns, month_start(F.col("l_shipdate")).alias("time_index"))
+    out = with_brand(spark, sf, lines, totals, again)
+    if not full:
+        return out
+    return out.select(
+        "series_id", "time_index", "value", F.col("lines").alias("past_lines"),
+        (F.col("cents") / F.col("lines") / 100).alias("past_avg_discount"),
+        F.month("time_index").alias("future_month"), F.quarter("time_index").alias("future_quarter"),
+    )
 
 
 def brand_series(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,11 +72,9 @@ def brand_series(spark: SparkSession, sf: str) -> DataFrame:
 
 def brand_ends(spark: SparkSession, sf: str) -> DataFrame:
     """Last shipment per brand: only keys and dates are read."""
-    last = F.max("l_shipdate").alias("time_index")
-    per_part = lineitem(spark, sf, "l_partkey", "l_shipdate").groupBy("l_partkey").agg(last)
-    brands = part(spark, sf, "p_partkey", "p_brand")
-    joined = per_part.join(brands, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.select(F.col("p_brand").alias("series_id"), "time_index")
+    lines = lineitem(spark, sf, "l_partkey", "l_shipdate")
+    last, again = F.max("l_shipdate").alias("last"), F.max("last").alias("last")
+    return with_brand(spark, sf, lines, [last], [again]).withColumnRenamed("last", "time_index")
 
 
 def brand_calendar(

@@ -78,7 +78,12 @@ class FactorModel:
         scaled = scaled.withColumn("_train", array_to_vector(F.slice("_z", 1, n_train)))
         k = min(self.factors, n_train)
         model = PCA(k=k, inputCol="_train", outputCol="_score").fit(scaled)
-        loaded = model.transform(scaled).withColumn("_score", vector_to_array("_score"))
+        # the loadings meet every month of their series below, so they are computed once
+        loaded = cut_lineage(
+            model.transform(scaled).select(
+                "series_id", "_lo", "_width", "_z", vector_to_array("_score").alias("_score")
+            )
+        )
         levels = self._factor_levels(loaded, k)
         cuts = {w: _number(rows[w]["validation_end_date"]) - origin for w in windows}
         weights = self._weights(levels, n_train, cuts, total)
@@ -86,7 +91,7 @@ class FactorModel:
         history = F.slice("_z", 1, n_train)
         value = _dot(history, F.col("weights")) * F.col("_width") + F.col("_lo")
         # weights: one row per window and step
-        return scaled.join(F.broadcast(table), F.col("series_id").isNotNull()).select(
+        return loaded.join(F.broadcast(table), F.col("series_id").isNotNull()).select(
             "window", "series_id", "step", value.alias("forecast")
         )
 

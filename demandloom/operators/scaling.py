@@ -40,24 +40,24 @@ def scale_split(
 ) -> DataFrame:
     """Fit on train and scale one split in a single pass over each series.
 
-    Train rows and split rows of a (window, series) pair sit in the same window-function partition,
-    so no fitted table is stored or joined.
+    The limits of all windows are taken over the series' rows as they are, side by side; only rows
+    of the split itself are then repeated per window.  No fitted table is stored or joined.
     """
-    rows = df.join(F.broadcast(calendar), F.col("time_index") <= F.col("forecast_end"))
-    pair = Window.partitionBy("window", "series_id")
-    fitted = rows.select("window", "train_end_date", "validation_end_date", "forecast_start",
-                         "forecast_end", *df.columns,
-                         *[F.min(F.when(_in_split("train"), F.col(v))).over(pair).alias(f"_lo_{v}")
-                           for v in variables],
-                         *[F.max(F.when(_in_split("train"), F.col(v))).over(pair).alias(f"_hi_{v}")
-                           for v in variables])
-    scaled = {
-        v: (F.col(v) - F.col(f"_lo_{v}")) / _width(F.col(f"_lo_{v}"), F.col(f"_hi_{v}"))
-        for v in variables
-    }
-    return (
-        fitted.filter(_in_split(which)).withColumns(scaled).select("window", *df.columns)
-    )
+    # one entry per window
+    cuts = [r["train_end_date"] for r in calendar.orderBy("window").collect()]
+    whole = Window.partitionBy("series_id")
+    limits = {}
+    for v in variables:
+        seen = [F.when(F.col("time_index") <= F.lit(cut), F.col(v)) for cut in cuts]
+        limits[f"_lo_{v}"] = F.array(*[F.min(x).over(whole) for x in seen])
+        limits[f"_hi_{v}"] = F.array(*[F.max(x).over(whole) for x in seen])
+    rows = df.withColumns(limits).join(F.broadcast(calendar), _in_split(which))
+
+    def scaled(v: str) -> Column:
+        low, high = F.col(f"_lo_{v}")[F.col("window")], F.col(f"_hi_{v}")[F.col("window")]
+        return ((F.col(v) - low) / _width(low, high)).alias(v)
+
+    return rows.select("window", *[scaled(c) if c in variables else c for c in df.columns])
 
 
 def apply_minmax(

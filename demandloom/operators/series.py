@@ -228,6 +228,7 @@ def sorted_slots(df: DataFrame, *order: str) -> DataFrame:
 
 
 def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Distinct values of ``column`` with their zero-based position in sort order."""
-    ranked = sorted_slots(df.select(column).distinct(), column)
+    """Distinct values of ``column`` with their zero-based position in sort order; NULL is no value."""
+    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    ranked = sorted_slots(values, column)
     return ranked.select(column, F.col("_rank").cast("int").alias(name))

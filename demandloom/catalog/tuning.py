@@ -10,7 +10,10 @@ from demandloom.catalog import query
 from demandloom.catalog.fixtures import sql
 from demandloom.operators import tuning as ops
 from demandloom.plans.storage import scratch_path
-from demandloom.plans.study import smoothing_pairs
+from demandloom.models.closed_form import SeasonalNaive
+from demandloom.models.per_series import FourierTrend
+from demandloom.operators.metrics import order_results
+from demandloom.plans.study import smoothing_pairs, tune_and_backtest
 
 SEED, N_TRIALS = 42, 20
 STUDIES = ["LevelSmoothing_utc_20010101_0000", "LevelSmoothing_utc_20010201_0000"]
@@ -347,3 +350,33 @@ def study_summary(spark: SparkSession, sf: str) -> DataFrame:
     summary = ops.study_summary(study_table(spark, sf))
     first = F.element_at("wape_by_window", 1).alias("wape_w0")
     return summary.select("study_name", "n_trials", "best_value", "best_trial", first)
+
+
+def _fourier(params: dict[str, str]) -> FourierTrend:
+    return FourierTrend(params["mode"] == "multiplicative", int(params["waves"]))
+
+
+@query()
+def tuned_backtest(spark: SparkSession, sf: str) -> DataFrame:
+    """Trend-and-waves model tuned on the windows before the backtest, then scored in it."""
+    space = ops.search_space(
+        spark,
+        {
+            "waves": {"type": "int", "low": 1, "high": 4},
+            "mode": {"type": "categorical", "values": ["additive", "multiplicative"]},
+        },
+    )
+    result = tune_and_backtest(
+        fx.supplier_series(spark, sf),
+        fx.supplier_lines(spark, sf),
+        fx.TUNING,
+        _fourier,
+        space,
+        {"waves": "3", "mode": "additive"},
+        n_trials=4,
+        model_name="FourierTrend",
+        timestamp="20010101_0000",
+        study_path=scratch_path(spark, "study"),
+        baselines=[SeasonalNaive()],
+    )
+    return order_results([result.window_df], "window")

@@ -1,15 +1,23 @@
-"""Trials of a forecaster scored on the tuning windows."""
+"""Trials scored on the tuning windows, and the run from data through tuning to backtest."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.config import BacktestConfig
 from demandloom.functions.errors import clip_nonneg
-from demandloom.models.base import horizon_months
+from demandloom.models.base import Forecaster, horizon_months
 from demandloom.models.closed_form import smoothing_levels
-from demandloom.operators.alignment import actuals
+from demandloom.operators import tuning
+from demandloom.operators.alignment import actuals, process_predictions
+from demandloom.operators.windows import assert_no_leakage, pin_calendar, window_calendar
+from demandloom.plans.backtest import BacktestResult, backtest
+
+Build = Callable[[dict[str, str]], Forecaster]
 
 
 def smoothing_pairs(
@@ -26,3 +34,81 @@ def smoothing_pairs(
         "trial_number", "window", "series_id", "time_index", clip_nonneg(F.col("level")).alias("forecast")
     )
     return forecasts.join(actuals(series, calendar), ["window", "series_id", "time_index"])
+
+
+def run_trials(
+    series: DataFrame,
+    calendar: DataFrame,
+    cfg: BacktestConfig,
+    build: Build,
+    packed: DataFrame,
+    study_name: str,
+) -> DataFrame:
+    """A study table: every trial of ``packed`` (trial_number, params) scored on the windows.
+
+    ``build`` turns a trial's parameters into a forecaster.  All trials are branches of one plan, so
+    Spark shares the series between them and runs them side by side.
+    """
+    started = datetime.now(timezone.utc)
+    truth = actuals(series, calendar)
+    parts = []
+    # as many rows as the configuration asks for trials
+    for row in packed.orderBy("trial_number").collect():
+        predicted = build(row["params"]).forecast(series, calendar, cfg)
+        parts.append(predicted.withColumn("trial_number", F.lit(row["trial_number"])))
+    predicted = parts[0]
+    for part in parts[1:]:
+        predicted = predicted.unionByName(part)
+    scores = tuning.trial_scores(process_predictions(truth, predicted), cfg.decimals)
+    return packed.join(scores, "trial_number", "left").select(
+        F.lit(study_name).alias("study_name"),
+        "trial_number",
+        "params",
+        "value",
+        "wape_by_window",
+        F.lit(started).alias("started"),
+        F.current_timestamp().alias("completed"),
+    )
+
+
+def tune_and_backtest(
+    series: DataFrame,
+    lines: DataFrame,
+    cfg: BacktestConfig,
+    build: Build,
+    space: DataFrame,
+    defaults: dict[str, str],
+    n_trials: int,
+    model_name: str,
+    timestamp: str,
+    study_path: str,
+    baselines: Sequence[Forecaster] = (),
+) -> BacktestResult:
+    """Tune on the windows before the backtest, then backtest with the best trial.
+
+    ``lines`` is any table with the series' ids and times, read for the calendars only.  Trials are
+    appended to the study table at ``study_path`` under ``<model_name>_utc_<timestamp>``; the best
+    trial of all the model's studies there wins over ``defaults``, which serve when there is none.
+    """
+    calendar = pin_calendar(window_calendar(lines, cfg))
+    spark = series.sparkSession
+    if n_trials:
+        tuning_calendar = pin_calendar(window_calendar(lines, cfg, "tuning"))
+        assert_no_leakage(tuning_calendar, calendar)
+        packed = tuning.pack_trials(tuning.make_trials(space, n_trials, cfg.random_state))
+        study = f"{model_name}_utc_{timestamp}"
+        tuning.append_trials(
+            run_trials(series, tuning_calendar, cfg, build, packed, study), study_path
+        )
+    stored = tuning.read_study(spark, study_path)
+    params = dict(defaults)
+    if stored is not None:
+        # one row
+        for row in tuning.best_trial(stored, model_name=model_name).collect():
+            params |= row["params"]
+    model = build(params)
+    ids = lines.select("series_id").distinct()
+    texts = {model.name: str(dict(sorted(params.items())))}
+    return backtest(
+        series, calendar, [model, *baselines], cfg, timestamp, hyperparameters=texts, ids=ids
+    )

@@ -140,3 +140,87 @@ def test_offset_months_are_discarded(spark, seasonal):
     first = calendar.filter("window = 0").first()
     assert min(months) == first["forecast_start"] and max(months) == first["forecast_end"]
     assert month(59) >= max(months)
+
+
+def _plain_smoothing(y, steps):
+    """The smoothing kernel's rule for one series, written as loops."""
+    n, best = len(y), None
+    start = sum(y[:12]) / 12
+    for a in (0.1, 0.3, 0.5, 0.8):
+        for b in (None, 0.05, 0.2):
+            for c in (None, 0.05, 0.2):
+                if n < (24 if c is not None else 15):
+                    continue
+                level, trend, sse = start, 0.0, 0.0
+                season = [v - start if c is not None else 0.0 for v in y[:12]]
+                for i in range(12, n):
+                    old = season[i % 12]
+                    sse += (y[i] - level - trend - old) ** 2
+                    new = a * (y[i] - old) + (1 - a) * (level + trend)
+                    trend = b * (new - level) + (1 - b) * trend if b is not None else 0.0
+                    level = new
+                    if c is not None:
+                        season[i % 12] = c * (y[i] - level) + (1 - c) * old
+                m = n - 12
+                k = 2 + 2 * (b is not None) + 13 * (c is not None)
+                score = m * math.log(max(sse / m, 1e-12)) + 2 * k * m / max(m - k - 1, 0.5)
+                if best is None or score < best[0]:
+                    best = (score, [level + h * trend + season[(n - 1 + h) % 12] for h in range(1, steps + 1)])
+    return best[1] if best else [sum(y) / n] * steps
+
+
+def _plain_autoregression(y, steps):
+    n, best = len(y), None
+    skip = 12 if n >= 24 else 3
+    if n < 8:
+        return [sum(y) / n] * steps
+    for lags in kernels.LAG_SETS:
+        if max(lags, default=0) > skip:
+            continue
+        x = np.array([[1.0] + [y[t - k] for k in lags] for t in range(skip, n)])
+        coef = np.linalg.lstsq(x, np.array(y[skip:]), rcond=None)[0]
+        sse, m, k = float(((np.array(y[skip:]) - x @ coef) ** 2).sum()), n - skip, len(lags) + 2
+        score = m * math.log(max(sse / m, 1e-12)) + 2 * k * m / max(m - k - 1, 0.5)
+        if best is None or score < best[0]:
+            path = list(y)
+            for _ in range(steps):
+                path.append(float(coef[0] + sum(c * path[-k] for c, k in zip(coef[1:], lags))))
+            best = (score, path[n:])
+    return best[1]
+
+
+@pytest.mark.parametrize("plain, kernel", [(_plain_smoothing, kernels.smoothing), (_plain_autoregression, kernels.autoregression)])
+def test_batched_fits_equal_plain_loops(plain, kernel):
+    rng = np.random.default_rng(1)
+    lengths = [60, 60, 40, 20, 9, 5]
+    y = np.full((len(lengths), 60), np.nan)
+    for i, n in enumerate(lengths):
+        y[i, :n] = 50 + 10 * np.sin(2 * np.pi * np.arange(n) / 12) * (i % 2) + rng.normal(0, 5, n)
+    known = np.array([[n - 3, n] for n in lengths])
+    got = kernel(y, known, 4)
+    for i in range(len(lengths)):
+        for w in range(2):
+            assert got[i, w] == pytest.approx(plain(list(y[i, : known[i, w]]), 4), rel=1e-6)
+
+
+def test_factor_forecast_equals_regression_on_the_factors(spark, seasonal):
+    """One window by hand: loadings, factor levels, and every series regressed on lagged factors."""
+    cfg = BacktestConfig(windows=1, use_validation=False)
+    calendar = pin_calendar(window_calendar(seasonal, cfg))
+    got = forecasts(FactorModel(factors=2), seasonal, calendar, cfg)
+    names = sorted({k[1] for k in got})
+    table = {(r["series_id"], r["time_index"]): r["value"] for r in seasonal.collect()}
+    n = 56
+    x = np.array([[table[(s, month(t))] for t in range(n)] for s in names])
+    low, width = x.min(axis=1), np.ptp(x, axis=1)
+    z = (x - low[:, None]) / width[:, None]
+    centred = z - z.mean(axis=0)
+    axes = np.linalg.svd(centred)[2][:2].T
+    loadings = z @ axes
+    levels = np.linalg.lstsq(loadings, z, rcond=None)[0].T
+    design = np.column_stack([np.ones(n), levels])
+    for i, s in enumerate(names):
+        for h in (2, 3, 4):
+            coef = np.linalg.lstsq(design[: n - h], z[i, h:], rcond=None)[0]
+            expected = (design[-1] @ coef) * width[i] + low[i]
+            assert got[(0, s, month(n - 1 + h))] == pytest.approx(expected, rel=1e-6)

@@ -1,9 +1,14 @@
 from datetime import datetime
 
 import pytest
-from conftest import as_rows
+from conftest import as_rows, long_frame
+from pyspark.sql import functions as F
+
+from demandloom.config import BacktestConfig
+from demandloom.models.closed_form import SeasonalNaive
 
 from demandloom.operators import tuning as ops
+from demandloom.plans.study import tune_and_backtest
 
 TRIALS = ("study_name string, trial_number int, params map<string,string>, value double, "
           "wape_by_window array<double>, started timestamp, completed timestamp")
@@ -102,3 +107,24 @@ def test_importance_finds_the_parameter_that_matters(spark):
     rows = [("S", i, {"good": str(i % 2), "noise": str(i // 2 % 2)}, 0.1 + 0.5 * (i % 2)) for i in range(8)]
     got = dict(as_rows(ops.param_importance(study(spark, *rows)), "name", "importance"))
     assert got["good"] == pytest.approx(1.0) and got["noise"] == pytest.approx(0.0)
+
+
+def test_tuned_backtest_uses_the_best_trial_and_resumes(spark, tmp_path):
+    """Seasons of 12 months: the trial with season 12 must win over 5 and 7."""
+    demand = long_frame(spark, {s: [10 + (t * 7 + k) % 12 for t in range(60)] for k, s in enumerate("ab")})
+    cfg = BacktestConfig(windows=2, tuning_windows=2, use_validation=False)
+    build = lambda p: SeasonalNaive(season=int(p["season"]), name="Naive")
+    space = ops.search_space(spark, {"season": {"type": "categorical", "values": [5, 7, 12]}})
+    path = str(tmp_path / "study")
+    run = lambda n: tune_and_backtest(
+        demand, demand, cfg, build, space, {"season": "5"}, n, "Naive", "20200101_0000", path
+    )
+    plain = run(0).window_df.collect()
+    assert plain[0]["model_hyperparameters"] == "{'season': '5'}" and plain[0]["avg_wape_across_periods"] > 0
+    tuned = run(8).window_df.collect()
+    assert {r["avg_wape_across_periods"] for r in tuned} == {0.0}
+    assert tuned[0]["model_hyperparameters"] == "{'season': '12'}"
+    again = run(0).window_df.collect()
+    assert again[0]["model_hyperparameters"] == "{'season': '12'}"
+    stored = ops.read_study(spark, path)
+    assert stored.count() == 8 and stored.filter(F.col("value").isNull()).count() == 0

@@ -15,7 +15,7 @@ from demandloom.config import BacktestConfig
 from demandloom.functions.months import months_apart
 from demandloom.models.base import FORECAST_COLUMNS, horizon_months
 from demandloom.operators.alignment import drop_offset
-from demandloom.operators.series import series_arrays
+from demandloom.operators.series import series_arrays, spread_series
 
 
 @dataclass(frozen=True)
@@ -152,7 +152,7 @@ def smoothing_levels(series: DataFrame, calendar: DataFrame, weights: DataFrame)
         F.min("validation_end_date").alias("_first_cut"),
         F.max("validation_end_date").alias("_last_cut"),
     )
-    arrays = series_arrays(series).join(
+    arrays = spread_series(series_arrays(series)).join(
         F.broadcast(bounds), F.col("first_month") <= F.col("_last_cut")
     )
     known_first = months_apart(F.col("_first_cut"), F.col("first_month")) + 1
@@ -187,7 +187,10 @@ def smoothing_levels(series: DataFrame, calendar: DataFrame, weights: DataFrame)
     folded = grid.select(
         *carried, "series_id", "_skipped", F.aggregate(later, start, step, lambda s: s["cuts"]).alias("_cuts")
     )
-    exploded = folded.select(*carried, "series_id", "_skipped", F.posexplode("_cuts").alias("_i", "_c"))
+    # never empty; the outer form keeps Spark from testing that by folding once more
+    exploded = folded.select(
+        *carried, "series_id", "_skipped", F.posexplode_outer("_cuts").alias("_i", "_c")
+    )
     return exploded.select(
         *carried,
         "series_id",

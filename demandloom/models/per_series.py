@@ -21,7 +21,7 @@ from demandloom.functions.months import month_number
 from demandloom.models import kernels
 from demandloom.models.base import FORECAST_COLUMNS, horizon_months
 from demandloom.operators.alignment import drop_offset
-from demandloom.operators.series import series_arrays
+from demandloom.operators.series import series_arrays, spread_series
 
 # the fits travel with the job, so executors need no installed copy of this package
 cloudpickle.register_pickle_by_value(kernels)
@@ -41,7 +41,7 @@ def fit_batches(
     # one entry per window
     ordered = F.array_sort(F.collect_list(F.struct("window", month_number(F.col("validation_end_date")).alias("cut"))))
     cuts = calendar.agg(F.transform(ordered, lambda c: c["cut"]).alias("cuts"))
-    arrays = series_arrays(series).select(
+    arrays = spread_series(series_arrays(series)).select(
         "series_id", month_number(F.col("first_month")).alias("first_no"), "history"
     )
     packed = arrays.join(F.broadcast(cuts), F.col("series_id").isNotNull())

@@ -217,7 +217,7 @@ class GlobalRecursive:
             )
             path = self._path(list(model.coefficients), float(model.intercept))
             parts.append(scoring.filter(F.col("window").isin(*windows)).withColumn("_path", path))
-        long = _union(parts).select("*", F.posexplode("_path").alias("_i", "_raw"))
+        long = _union(parts).select("*", F.posexplode_outer("_path").alias("_i", "_raw"))
         units = (F.col("_raw") * F.col("width") + F.col("low")).alias("forecast")
         months = horizon_months(calendar, cfg, with_offset=True).select("window", "step", "time_index")
         dated = (

@@ -88,42 +88,54 @@ def _std(column: str, name: str) -> Column:
     return F.round(F.stddev_samp(column), 4).alias(name)
 
 
-def exact_quantiles(
-    df: DataFrame, group: str, column: str, probabilities: Sequence[float]
-) -> DataFrame:
-    """Exact quantiles per group with linear interpolation, as (group, p, quantile).
+def ranked_values(df: DataFrame, group: str, column: str) -> DataFrame:
+    """(group, value, global rank), sorted across the cluster and materialised.
 
-    Rows are sorted across the cluster by group and value (and a hash of the row, so that a value
-    shared by many rows is spread too) and the ranks are looked up; a group holding a third of all
-    rows is never collected in one place.  NULL values do not count.
+    Rows are placed by group, value and a hash of the row, so that a value shared by many rows is
+    spread too; a group holding a third of all rows is never collected in one place.
     """
     others = [c for c in df.columns if c not in (group, column)]
-    rows = df.filter(F.col(column).isNotNull()).select(
-        group, F.col(column).cast("double").alias("_v"), F.xxhash64(*(others or [column])).alias("_h")
+    rows = df.select(
+        group,
+        F.col(column).cast("double").alias("value"),
+        F.xxhash64(*(others or [column])).alias("_hash"),
+    )
+    return sorted_slots(rows, group, "value", "_hash").drop("_hash")
+
+
+def quantiles_of(ranked: DataFrame, group: str, probabilities: Sequence[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, as (group, p, quantile); NULL values do not count."""
+    present = F.when(F.col("value").isNotNull(), F.col("_rank"))
+    sizes = ranked.groupBy(group).agg(
+        F.min(present).alias("_first"), F.count("value").alias("_n")
+    )
+    ps = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")
+    targets = (
+        sizes.filter(F.col("_n") > 0)
+        .select(group, "_first", "_n", ps)
+        .withColumn("_at", F.col("p") * (F.col("_n") - 1))
     )
-    ranked = sorted_slots(rows, group, "_v", "_h")
-    sizes = ranked.groupBy(group).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    targets = sizes.select(
-        group, "_first", "_n", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")
-    ).withColumn("_at", F.col("p") * (F.col("_n") - 1))
     low = (F.col("_first") + F.floor("_at")).cast("long")
     high = (F.col("_first") + F.ceil("_at")).cast("long")
-    wanted = targets.select(
-        F.col(group).alias("_group"), "p", "_at", F.explode(F.array_distinct(F.array(low, high))).alias("_rank")
-    )
+    wanted = targets.select("p", "_at", F.explode(F.array_distinct(F.array(low, high))).alias("_rank"))
     # ranks are unique, so this is an equi-join that keeps two rows per group and probability
     hits = ranked.join(wanted, "_rank")
     share = F.first("_at") - F.floor(F.first("_at"))
     return hits.groupBy(group, "p").agg(
-        (F.min("_v") + (F.max("_v") - F.min("_v")) * share).alias("quantile")
+        (F.min("value") + (F.max("value") - F.min("value")) * share).alias("quantile")
     )
 
 
-def quantile_columns(
-    df: DataFrame, group: str, column: str, named: dict[str, float]
+def exact_quantiles(
+    df: DataFrame, group: str, column: str, probabilities: Sequence[float]
 ) -> DataFrame:
-    """``exact_quantiles`` with one column per probability."""
-    long = exact_quantiles(df, group, column, list(named.values()))
+    """Exact quantiles of a column per group, as (group, p, quantile)."""
+    return quantiles_of(ranked_values(df, group, column), group, probabilities)
+
+
+def quantile_columns(ranked: DataFrame, group: str, named: dict[str, float]) -> DataFrame:
+    """``quantiles_of`` with one column per probability."""
+    long = quantiles_of(ranked, group, list(named.values()))
     picks = [
         F.max(F.when(F.col("p") == F.lit(float(p)), F.col("quantile"))).alias(name)
         for name, p in named.items()
@@ -133,14 +145,15 @@ def quantile_columns(
 
 def mape_summary(df: DataFrame, group: str = "model", column: str = "mape") -> DataFrame:
     """Mean, sample deviation, extremes and quartiles of MAPE, best group first."""
-    moments = df.groupBy(group).agg(
-        _mean(column, "mean_MAPE"),
-        _std(column, "std_MAPE"),
-        F.round(F.min(column), 4).alias("min_MAPE"),
-        F.round(F.max(column), 4).alias("max_MAPE"),
+    ranked = ranked_values(df, group, column)
+    moments = ranked.groupBy(group).agg(
+        _mean("value", "mean_MAPE"),
+        _std("value", "std_MAPE"),
+        F.round(F.min("value"), 4).alias("min_MAPE"),
+        F.round(F.max("value"), 4).alias("max_MAPE"),
     )
     quartiles = quantile_columns(
-        df, group, column, {"p25_MAPE": 0.25, "median_MAPE": 0.5, "p75_MAPE": 0.75}
+        ranked, group, {"p25_MAPE": 0.25, "median_MAPE": 0.5, "p75_MAPE": 0.75}
     )
     rounded = quartiles.select(
         group, *[F.round(c, 4).alias(c) for c in ("p25_MAPE", "median_MAPE", "p75_MAPE")]
@@ -178,10 +191,9 @@ def box_frame(df: DataFrame, group: str = "model", prefix: str = "wape_f") -> Da
     """Quartiles, whiskers (last points within 1.5 box heights) and points outside, per group."""
     ids = [group] + [c for c in ("series_name", "window") if c in df.columns]
     long = melt_horizons(df, ids, prefix).filter(F.col("value").isNotNull())
-    quartiles = quantile_columns(
-        long, group, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    )
-    joined = long.join(quartiles, group)
+    ranked = ranked_values(long, group, "value")
+    quartiles = quantile_columns(ranked, group, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    joined = ranked.join(quartiles, group)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return joined.groupBy(group).agg(
@@ -222,10 +234,10 @@ def ape_histogram(df: DataFrame, width: float = 0.05, group: str = "model") -> D
 def ape_distribution(df: DataFrame, group: str = "model") -> DataFrame:
     """Quartiles and count of APE per group."""
     long = ape_long(df, group).filter(F.col("ape").isNotNull())
-    quartiles = quantile_columns(
-        long, group, "ape", {"min_ape": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max_ape": 1.0}
-    )
-    return quartiles.join(long.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group)
+    ranked = ranked_values(long, group, "ape")
+    named = {"min_ape": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max_ape": 1.0}
+    counts = ranked.groupBy(group).agg(F.count("value").alias("n"))
+    return quantile_columns(ranked, group, named).join(counts, group)
 
 
 def actual_vs_forecast(

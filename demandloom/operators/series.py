@@ -196,6 +196,16 @@ def series_arrays(df: DataFrame) -> DataFrame:
     )
 
 
+def spread_series(arrays: DataFrame) -> DataFrame:
+    """One-row-per-series arrays over all shuffle partitions.
+
+    Fits cost far more per byte than the scans that adaptive execution sizes partitions for, so
+    they are spread by count.  What moves is one row per series.
+    """
+    n = int(arrays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return arrays.repartition(n, "series_id")
+
+
 def sorted_slots(df: DataFrame, *order: str) -> DataFrame:
     """Rows in global sort order with their zero-based ``_rank``.
 

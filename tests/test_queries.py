@@ -23,3 +23,15 @@ def test_query_equals_its_sql(spark, con, name):
 
 def test_entry_runs(spark):
     assert contract.entry(spark).count() == 6
+
+
+@pytest.mark.parametrize("name", ["demand_series", "select_by_role", "backtest_end_to_end", "minmax_fit"])
+def test_queries_agree_without_any_automatic_broadcast(spark, con, name):
+    """The other way of the size-checked join: totals per part first."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        status, _, note = oracle.compare(spark, con, contract.queries()[name], contract.oracle_sql()[name], SF)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert status in ("exact", "close") and not note, note

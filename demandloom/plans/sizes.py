@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame
 
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether the optimizer's size estimate of ``df`` is within Spark's own broadcast limit."""
-    setting = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    limit = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(setting)
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     if limit < 0:
         return False
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()

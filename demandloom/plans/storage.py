@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is only acceptable where driver and executors are one machine, so it is
-    the fallback for a local master and an error on a cluster.
+    Where that is unset, a folder in the warehouse is used: every executor reaches the warehouse, and
+    no machine-local folder is ever chosen.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -20,9 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rsplit("/", 1)[0]
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="demandloom-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -6,7 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import exact_dedup, mixing, query, sentencepiece_codec, simhash, toxicity
+from demandloom.llm import (
+    exact_dedup,
+    language_id,
+    mixing,
+    query,
+    sentencepiece_codec,
+    simhash,
+    token_counts,
+    toxicity,
+)
 
 PIECE_MODEL = "piece_bpe_32k.model"
 TOXIC_FOLDS, TOXIC_HELD_OUT = 3, 1
@@ -84,3 +93,27 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
+LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 5, 0
+
+
+@query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = toxicity.fold("doc_id", LANGUAGE_FOLDS)
+    model = language_id.train(docs.where(fold != LANGUAGE_HELD_OUT))
+    found = language_id.identify(docs, model)
+    held_out = F.coalesce(fold == LANGUAGE_HELD_OUT, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+RANK_FILE = "byte_bpe_50k.tiktoken"
+
+
+@query()
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path(RANK_FILE), "rb") as f:
+        ranks = f.read()
+    lengths = token_counts.token_lengths(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return token_counts.length_histogram(lengths)

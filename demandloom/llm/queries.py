@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from demandloom.llm import (
     exact_dedup,
     language_id,
+    license_scan,
     mixing,
     query,
     sentencepiece_codec,
@@ -117,3 +118,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ranks = f.read()
     lengths = token_counts.token_lengths(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
     return token_counts.length_histogram(lengths)
+
+
+@query()
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    labels = F.array_sort(F.array_union("base_labels", F.transform("detections", lambda d: d["label"])))
+    sure = F.coalesce(F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"),
+        sure.alias("score"),
+    )

@@ -11,6 +11,7 @@ from demandloom.llm import (
     language_id,
     license_scan,
     mixing,
+    quality_rules,
     query,
     sentencepiece_codec,
     simhash,
@@ -18,6 +19,8 @@ from demandloom.llm import (
     toxicity,
 )
 
+from demandloom.plans.storage import cut_lineage
+
 PIECE_MODEL = "piece_bpe_32k.model"
 TOXIC_FOLDS, TOXIC_HELD_OUT = 3, 1
 TOXIC_FROM = 0.7
@@ -135,3 +138,15 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(labels, ",").alias("labels"),
         sure.alias("score"),
     )
+
+
+@query()
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a few counts per document, read by the learner and by the verdict
+    stats = cut_lineage(quality_rules.text_stats(table(spark, sf_dir, "documents")))
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("label"))
+    rules = quality_rules.learn_rules(stats, labels)
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = stats.select("doc_id", *counts, failed.alias("base_failed"), quality_rules.verdict(rules).alias("rule"))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

@@ -10,6 +10,7 @@ from demandloom.llm import (
     exact_dedup,
     language_id,
     license_scan,
+    line_dedup,
     mixing,
     quality_rules,
     query,
@@ -150,3 +151,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     judged = stats.select("doc_id", *counts, failed.alias("base_failed"), quality_rules.verdict(rules).alias("rule"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+@query()
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.near_duplicate_lines(table(spark, sf_dir, "documents"))

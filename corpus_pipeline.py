@@ -3,6 +3,9 @@
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the columns
 of documents; the last one returns digests of the piece ids.  ``run`` writes each stage's rows as Parquet in the
 shared folder and rereads them, so a lost executor never costs more than one stage.
+
+Rows are kept or dropped by id: rows that repeat an id with equal texts stay or go together, null ids
+are compared like values, and every other column passes through.  An empty table passes as one.
 """
 
 from __future__ import annotations

@@ -207,22 +207,13 @@ def exact_duplicates(
 def _one_of_tied(rows: DataFrame, with_content: bool) -> DataFrame:
     """Keep one of the rows that repeat a group's smallest id; which one makes no difference.
 
-    Repeats are counted per partition, then the first partition that has one keeps its first: no group
-    is gathered.
+    Every row gets a number and the smallest of a group's candidates stays: no group is gathered.
     """
-    rows = rows.withColumn("slot", F.monotonically_increasing_id())
-    rows = cut_lineage(rows)
-    group = ["text_sha256", *(["same"] if with_content else [])]
-    first = rows.where("kept").groupBy(*group).agg(F.min("slot").alias("first_slot"))
+    rows = cut_lineage(rows.withColumn("slot", F.monotonically_increasing_id()))
+    first = rows.where("kept").groupBy(F.col("text_sha256").alias("of"), *(["same"] if with_content else []))
+    first = first.agg(F.min("slot").alias("first_slot")).withColumnsRenamed({"same": "content"})
+    on = F.col("text_sha256") == F.col("of")
     if with_content:
-        on = [rows[c].eqNullSafe(first[c]) for c in group]
-    else:
-        on = [rows["text_sha256"] == first["text_sha256"]]
-    return rows.join(first, on, "left").select(
-        rows["doc_id"],
-        "keep_id",
-        "group_size",
-        (F.col("kept") & (F.col("slot") == F.col("first_slot"))).alias("kept"),
-        rows["text_sha256"],
-    )
-
+        on = on & F.col("same").eqNullSafe(F.col("content"))
+    kept = F.col("kept") & (F.col("slot") == F.col("first_slot"))
+    return rows.join(first, on, "left").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")

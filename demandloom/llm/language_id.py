@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.llm.batches import text_slices
+
 UNDETERMINED = "und"
 # fixed values: first and last code point of the letters of each script
 SCRIPTS = (
@@ -46,9 +48,8 @@ SCRIPTS = (
 )
 WORD = re.compile(r"[^\W\d_]+")
 GRAM_SIZES = (1, 2, 3)
-# characters scored together, and words a task remembers
-SLICE_CHARS = 1 << 20
-CACHED_WORDS = 200_000
+# words a task remembers
+CACHED_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -239,17 +240,6 @@ def best_path(s: np.ndarray, penalty: float) -> list[tuple[int, int, int]]:
     return spans[::-1]
 
 
-def _sliced(texts: list[str]) -> Iterator[tuple[int, int]]:
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > SLICE_CHARS:
-            yield begin, i
-            begin, size = i, 0
-        size += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 LABELS = "doc_id long, lang_pred string, score double, spans array<struct<first:int,after:int,lang:string>>"
 _SPAN = pa.struct([("first", pa.int32()), ("after", pa.int32()), ("lang", pa.string())])
 
@@ -265,12 +255,11 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            for begin, end in _sliced(texts):
-                lang, score, spans = zip(*scorer.label(texts[begin:end]))
+            for part, texts in text_slices(batch, 1):
+                lang, score, spans = zip(*scorer.label([t or "" for t in texts]))
                 shown = [[{"first": a, "after": b, "lang": k} for a, b, k in s] for s in spans]
                 columns = [
-                    batch.column(0)[begin:end],
+                    part.column(0),
                     pa.array(lang, pa.string()),
                     pa.array(score, pa.float64()),
                     pa.array(shown, pa.list_(_SPAN)),

@@ -77,16 +77,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded_digest(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes): n_bytes is where the last piece ends."""
     model = public_tokenizers.path(PIECE_MODEL)
-    encoded = sentencepiece_codec.encode(docs, model)
-    digest = encoded.select(
+    return sentencepiece_codec.encode(docs, model, with_decoded=True).select(
         "doc_id",
-        "ids",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
         F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).alias("n_bytes"),
     )
-    decoded = sentencepiece_codec.decode(digest, model)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_bytes")
 
 
 @query()

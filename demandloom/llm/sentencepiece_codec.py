@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from demandloom.llm.batches import text_slices
+
 MARK = "▁"
 REPLACEMENT = "�".encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
-CACHED_CHUNKS = 200_000
+CACHED_CHUNKS = 100_000
 LONG_CHUNK = 64
-# text bytes encoded together
-SLICE_BYTES = 1 << 20
 
 
 class CharMap:
@@ -326,17 +326,6 @@ def _repaired(data: bytes) -> bytes:
         return b"".join(out)
 
 
-def _sliced(texts: list[str]) -> Iterator[tuple[int, int]]:
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > SLICE_BYTES:
-            yield begin, i
-            begin, size = i, 0
-        size += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def _model_bytes(model: str | bytes) -> bytes:
     if isinstance(model, bytes):
         return model
@@ -344,31 +333,44 @@ def _model_bytes(model: str | bytes) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: str | bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+PIECES = "doc_id long, ids array<int>, starts array<int>, ends array<int>"
+
+
+def encode(
+    docs: DataFrame, model: str | bytes, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False
+) -> DataFrame:
     """(doc_id, ids, starts, ends): piece ids of every text and the original bytes each stands for.
 
     ``model`` is the model file's content, or its path on the driver; the content (a vocabulary, its
-    size does not depend on the data) travels with the job.  A null text counts as empty and has no
-    pieces; repeated rows stay repeated; other columns are not read.
+    size does not depend on the data) travels with the job.  ``with_decoded`` adds ``decoded``, the text
+    decoded from the ids, in the same pass.  A null text counts as empty and has no pieces; repeated
+    rows stay repeated; other columns are not read.
     """
     content = _model_bytes(model)
+    names = ["doc_id", "ids", "starts", "ends", *(["decoded"] if with_decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(content)
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            for begin, end in _sliced(texts):
-                offsets, *values = codec.encode(texts[begin:end])
+            for part, texts in text_slices(batch, 1):
+                offsets, ids, starts, ends = codec.encode([t or "" for t in texts])
                 edges = pa.array(offsets, pa.int32())
-                lists = [pa.ListArray.from_arrays(edges, pa.array(v, pa.int32())) for v in values]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[begin:end], *lists], ["doc_id", "ids", "starts", "ends"])
+                columns = [pa.ListArray.from_arrays(edges, pa.array(v, pa.int32())) for v in (ids, starts, ends)]
+                if with_decoded:
+                    pieces = ids.tolist()
+                    decoded = (codec.decode(pieces[a:b]) for a, b in zip(offsets[:-1], offsets[1:]))
+                    columns.append(pa.array([d.decode() for d in decoded], pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+    return slim.mapInArrow(run, PIECES + (", decoded string" if with_decoded else ""))
 
 
 def decode(encoded: DataFrame, model: str | bytes) -> DataFrame:
-    """``encoded`` with ``decoded``, the text of its column ``ids``; null ids give an empty text."""
+    """``encoded`` with ``decoded``, the text of its column ``ids``; null ids give an empty text.
+
+    A column ``decoded`` that is there already is replaced.
+    """
     content = _model_bytes(model)
     names = [c for c in encoded.columns if c != "decoded"]
 
@@ -380,6 +382,6 @@ def decode(encoded: DataFrame, model: str | bytes) -> DataFrame:
             columns = [*batch.columns, pa.array([d.decode() for d in decoded], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "decoded"])
 
-    slim = encoded.select(*names)
+    slim = encoded.select(*(F.col(f"`{c}`") for c in names))
     schema = T.StructType([*slim.schema.fields, T.StructField("decoded", T.StringType())])
     return slim.mapInArrow(run, schema)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.llm.batches import text_slices
+
 # word characters are 0-9, A-Z (lower-cased), a-z and everything outside ASCII
 _WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -46,7 +48,7 @@ class FTRLConfig:
     epochs: int = 6
     positive_weight: float = 4.0
     max_rows: int = 16_000
-    shard_rows: int = 8_000
+    shard_rows: int = 4_000
     min_df: int = 4
     max_df: float = 0.2
 
@@ -83,6 +85,13 @@ def hashed_features(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(docs), np.concatenate(features)
 
 
+def distinct_by_text(doc: np.ndarray, feature: np.ndarray, n: int) -> list[np.ndarray]:
+    """The distinct features of each of ``n`` texts, ascending."""
+    pairs = np.unique(doc << 32 | feature)
+    edges = np.searchsorted(pairs, np.arange(n + 1) << 32)
+    return [(pairs[a:b] & 0xFFFFFFFF).astype(np.int32) for a, b in zip(edges[:-1], edges[1:])]
+
+
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     begin = size = 0
     for i, t in enumerate(texts):
@@ -142,7 +151,7 @@ def train(labelled: DataFrame, cfg: FTRLConfig = FTRLConfig()) -> ToxicityModel:
         rows: list[np.ndarray] = []
         for _, part in _chunks(texts):
             doc, feature = hashed_features(part, cfg.bits)
-            rows += [np.unique(feature[doc == i]) for i in range(len(part))]
+            rows += distinct_by_text(doc, feature, len(part))
         bias, features, weights = fit_ftrl(rows, group["label"].to_numpy(float), cfg)
         frame = pd.DataFrame({"feature": np.append(features, -1), "weight": np.append(weights, bias)})
         return frame.assign(rows=len(group))
@@ -161,15 +170,11 @@ def train(labelled: DataFrame, cfg: FTRLConfig = FTRLConfig()) -> ToxicityModel:
 
 def score_texts(texts: list[bytes], model: ToxicityModel, table: np.ndarray) -> np.ndarray:
     """Scores from 0 to 1; ``table`` holds the weights by feature."""
-    out = np.full(len(texts), model.bias)
-    for begin, part in _chunks(texts):
-        doc, feature = hashed_features(part, model.bits)
-        hit = np.flatnonzero(table[feature])
-        pairs = np.unique(doc[hit] << model.bits | feature[hit])
-        out[begin : begin + len(part)] += np.bincount(
-            pairs >> model.bits, table[pairs & (len(table) - 1)], minlength=len(part)
-        )
-    return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
+    doc, feature = hashed_features(texts, model.bits)
+    hit = np.flatnonzero(table[feature])
+    pairs = np.unique(doc[hit] << model.bits | feature[hit])
+    sums = np.bincount(pairs >> model.bits, table[pairs & (len(table) - 1)], minlength=len(texts))
+    return 1.0 / (1.0 + np.exp(-np.clip(model.bias + sums, -30, 30)))
 
 
 def dense_table(model: ToxicityModel) -> np.ndarray:
@@ -187,9 +192,9 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = dense_table(model)
         for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column(1)]
-            scores = pa.array(score_texts(texts, model, table), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), scores], ["doc_id", "score"])
+            for part, texts in text_slices(batch, 1):
+                scores = pa.array(score_texts([t or b"" for t in texts], model, table), pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column(0), scores], ["doc_id", "score"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return slim.mapInArrow(run, "doc_id long, score double")

@@ -37,13 +37,13 @@ STEPS = "range(1, 4) t(k)"
 
 def window_frame(spark: SparkSession, sf: str) -> DataFrame:
     """Window results with one WAPE column per step."""
-    frame = sc.results(spark, sf).window_df
+    frame = sc.results(spark, sf).window_table()
     return ops.expand_list(frame, "wape_per_period", "wape", fx.LOCAL.horizon)
 
 
 def series_frame(spark: SparkSession, sf: str, *lists: str) -> DataFrame:
     """Series results with the chosen lists expanded."""
-    frame = sc.results(spark, sf).series_df
+    frame = sc.results(spark, sf).series_table()
     for name in lists:
         frame = ops.expand_list(frame, name, length=fx.LOCAL.horizon)
     return frame
@@ -53,7 +53,7 @@ def _saved_csv(spark: SparkSession, sf: str) -> str:
     """A folder with both result tables of the backtest as CSV."""
     folder = scratch_path(spark, "results")
     result = sc.results(spark, sf)
-    write_results(result.window_df, result.series_df, folder, "local_models", sc.DATE, csv=True)
+    write_results(result.window_table(False), result.series_table(False), folder, "local_models", sc.DATE, csv=True)
     return folder
 
 
@@ -108,7 +108,7 @@ def save_results_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Saved as Parquet by model; reading one model touches its files only."""
     result = sc.results(spark, sf)
     folder = scratch_path(spark, "saved")
-    _, path = write_results(result.window_df, result.series_df, folder, "local_models", sc.DATE)
+    _, path = write_results(result.window_table(False), result.series_table(False), folder, "local_models", sc.DATE)
     one = read_saved(spark, path).filter(F.col("model") == "AR1")
     return one.select(
         "model", "series_name", "window", "mape", F.element_at("ape", 1).alias("ape_f1"),
@@ -125,7 +125,7 @@ FROM series_res, range(1, 4) t(k) WHERE k <= len(ape)""",
 )
 def parse_lists(spark: SparkSession, sf: str) -> DataFrame:
     """Lists written as text in both notations and parsed back."""
-    frame = sc.results(spark, sf).series_df
+    frame = sc.results(spark, sf).series_table()
     comma = list_text(F.col("actual_values"))
     spaced = F.regexp_replace(list_text(F.col("ape")), ",", " ")
     text = frame.select("model", "series_name", "window", comma.alias("_a"), spaced.alias("_e"))
@@ -139,7 +139,7 @@ def parse_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql(*WINDOW, WIDE_WINDOW_SQL, "SELECT * FROM wide"))
 def expand_lists(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.expand_list(sc.results(spark, sf).window_df, "wape_per_period", "wape")
+    return ops.expand_list(sc.results(spark, sf).window_table(), "wape_per_period", "wape")
 
 
 @query(
@@ -153,7 +153,7 @@ UNION ALL SELECT DISTINCT 'series_name', series_name FROM series_res""",
     )
 )
 def results_overview(spark: SparkSession, sf: str) -> DataFrame:
-    frame = sc.results(spark, sf).series_df
+    frame = sc.results(spark, sf).series_table()
     return ops.overview(frame, ["model", "base_date", "forecast_start", "forecast_end", "series_name"])
 
 
@@ -184,7 +184,7 @@ def wape_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def mape_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.mape_summary(sc.results(spark, sf).series_df)
+    return ops.mape_summary(sc.results(spark, sf).series_table())
 
 
 MELTED_SQL = """melted AS (
@@ -231,7 +231,7 @@ def box_frame(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql(*WINDOW, "SELECT model, base_date, avg_wape_across_periods FROM window_res"))
 def evolution_frame(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.evolution_frame(sc.results(spark, sf).window_df)
+    return ops.evolution_frame(sc.results(spark, sf).window_table())
 
 
 @query(sql(*WINDOW, MELTED_SQL, "SELECT model, step, label, round(avg(wape), 6) AS mean_wape FROM melted GROUP BY 1, 2, 3"))

@@ -1,7 +1,8 @@
 """Demand series derived from the shared tables, in Spark and in SQL.
 
-Series are brands (through part) or suppliers (straight from lineitem).  The last month of the
-tables is partial and cut off before anything else, on the raw timestamp.
+Series are brands (through part) or suppliers (straight from lineitem).  Loading and series
+construction read every line; a backtest leaves out the month of the latest line, which is unfinished
+(``BacktestConfig.drop_last_month``).
 """
 
 from __future__ import annotations
@@ -11,19 +12,18 @@ from pyspark.sql import functions as F
 
 from demandloom.config import BacktestConfig
 from demandloom.functions.months import month_start
-from demandloom.operators.series import fill_months
+from demandloom.operators.series import before_last_month, fill_months
 from demandloom.operators.windows import pin_calendar, window_calendar
-from demandloom.plans.sizes import fits_broadcast
 
-CUT = "2001-11-01"
 LOCAL = BacktestConfig(use_validation=False)
 GLOBAL = BacktestConfig(retrain=3)
 TUNING = BacktestConfig(use_validation=False, tuning_windows=3)
 
 
-def lineitem(spark: SparkSession, sf: str, *columns) -> DataFrame:
+def lineitem(spark: SparkSession, sf: str, *columns, whole: bool = False) -> DataFrame:
+    """Lines of finished months, or all of them."""
     table = spark.read.parquet(f"{sf}/lineitem.parquet")
-    return table.filter(F.col("l_shipdate") < F.lit(CUT).cast("timestamp_ntz")).select(*columns)
+    return (table if whole else before_last_month(table, "l_shipdate")).select(*columns)
 
 
 def part(spark: SparkSession, sf: str, *columns) -> DataFrame:
@@ -33,20 +33,17 @@ def part(spark: SparkSession, sf: str, *columns) -> DataFrame:
 def with_brand(spark: SparkSession, sf: str, lines: DataFrame, totals, again) -> DataFrame:
     """Lines joined to their brand and aggregated by brand and ``lines``' other keys.
 
-    While the part table is small enough to broadcast, lines are joined where they are read and only
-    brand totals are shuffled.  Beyond that they are totalled per part first (``totals``, combined
-    by ``again``), so a part that holds a third of all lines joins as a few dozen rows.
+    Lines are totalled per part first (``totals``, combined by ``again``), so a part that holds a third
+    of all lines joins as a few dozen rows; how the totals meet the parts is left to Spark.
     """
     brands = part(spark, sf, "p_partkey", F.col("p_brand").alias("series_id"))
     on = F.col("l_partkey") == F.col("p_partkey")
     keys = [c for c in ("time_index",) if c in lines.columns]
-    if fits_broadcast(brands):
-        return lines.join(F.broadcast(brands), on).groupBy("series_id", *keys).agg(*totals)
     per_part = lines.groupBy("l_partkey", *keys).agg(*totals)
     return per_part.join(brands, on).groupBy("series_id", *keys).agg(*again)
 
 
-def brand_month(spark: SparkSession, sf: str, full: bool = False) -> DataFrame:
+def brand_month(spark: SparkSession, sf: str, full: bool = False, whole: bool = False) -> DataFrame:
     """One row per brand and month that has lines."""
     totals, again = [F.sum("l_quantity").alias("value")], [F.sum("value").alias("value")]
     if full:
@@ -55,7 +52,8 @@ def brand_month(spark: SparkSession, sf: str, full: bool = False) -> DataFrame:
         totals += [F.count(F.lit(1)).alias("lines"), cents.alias("cents")]
         again += [F.sum("lines").alias("lines"), F.sum("cents").alias("cents")]
     columns = ["l_partkey", "l_quantity"] + (["l_discount"] if full else [])
-    lines = lineitem(spark, sf, *columns, month_start(F.col("l_shipdate")).alias("time_index"))
+    month = month_start(F.col("l_shipdate")).alias("time_index")
+    lines = lineitem(spark, sf, *columns, month, whole=whole)
     out = with_brand(spark, sf, lines, totals, again)
     if not full:
         return out
@@ -66,8 +64,8 @@ def brand_month(spark: SparkSession, sf: str, full: bool = False) -> DataFrame:
     )
 
 
-def brand_series(spark: SparkSession, sf: str) -> DataFrame:
-    return fill_months(brand_month(spark, sf))
+def brand_series(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return fill_months(brand_month(spark, sf, whole=whole))
 
 
 def brand_ends(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,8 +81,8 @@ def brand_calendar(
     return pin_calendar(window_calendar(brand_ends(spark, sf), cfg, mode))
 
 
-def supplier_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return lineitem(spark, sf, "l_suppkey", "l_shipdate", "l_quantity").select(
+def supplier_lines(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return lineitem(spark, sf, "l_suppkey", "l_shipdate", "l_quantity", whole=whole).select(
         F.col("l_suppkey").cast("string").alias("series_id"),
         F.col("l_shipdate").alias("time_index"),
         F.col("l_quantity").alias("value"),
@@ -114,27 +112,39 @@ def supplier_calendar(
 
 _MONTH = "CAST(date_trunc('month', l_shipdate) AS DATE)"
 
-BRAND_SQL = f"""demand AS (
+# lines of finished months
+_FINISHED = "l_shipdate < (SELECT date_trunc('month', max(l_shipdate)) FROM lineitem)"
+
+
+def _brand_sql(lines: str) -> str:
+    return f"""demand AS (
   SELECT p_brand AS series_id, {_MONTH} AS time_index, sum(l_quantity) AS value
-  FROM lineitem JOIN part ON l_partkey = p_partkey
-  WHERE l_shipdate < TIMESTAMP '{CUT}' GROUP BY 1, 2)"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {lines} GROUP BY 1, 2)"""
+
 
-BRAND_FULL_SQL = f"""demand AS (
+def _brand_full_sql(lines: str) -> str:
+    return f"""demand AS (
   SELECT p_brand AS series_id, {_MONTH} AS time_index, sum(l_quantity) AS value,
     count(*) AS past_lines,
     sum(CAST(round(l_discount * 100) AS BIGINT)) / count(*) / 100 AS past_avg_discount,
     CAST(month({_MONTH}) AS INTEGER) AS future_month,
     CAST(quarter({_MONTH}) AS INTEGER) AS future_quarter
-  FROM lineitem JOIN part ON l_partkey = p_partkey
-  WHERE l_shipdate < TIMESTAMP '{CUT}' GROUP BY p_brand, {_MONTH})"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {lines} GROUP BY p_brand, {_MONTH})"""
+
+
+def _key_sql(key: str, lines: str) -> str:
+    return f"""demand AS (
+  SELECT CAST({key} AS VARCHAR) AS series_id, {_MONTH} AS time_index, sum(l_quantity) AS value
+  FROM lineitem WHERE {lines} GROUP BY 1, 2)"""
 
-SUPPLIER_SQL = f"""demand AS (
-  SELECT CAST(l_suppkey AS VARCHAR) AS series_id, {_MONTH} AS time_index, sum(l_quantity) AS value
-  FROM lineitem WHERE l_shipdate < TIMESTAMP '{CUT}' GROUP BY 1, 2)"""
 
-PART_SQL = f"""demand AS (
-  SELECT CAST(l_partkey AS VARCHAR) AS series_id, {_MONTH} AS time_index, sum(l_quantity) AS value
-  FROM lineitem WHERE l_shipdate < TIMESTAMP '{CUT}' GROUP BY 1, 2)"""
+BRAND_SQL = _brand_sql(_FINISHED)
+BRAND_FULL_SQL = _brand_full_sql(_FINISHED)
+SUPPLIER_SQL = _key_sql("l_suppkey", _FINISHED)
+BRAND_ALL_SQL = _brand_sql("true")
+BRAND_FULL_ALL_SQL = _brand_full_sql("true")
+SUPPLIER_ALL_SQL = _key_sql("l_suppkey", "true")
+PART_ALL_SQL = _key_sql("l_partkey", "true")
 
 
 def filled_sql(columns: str = "coalesce(d.value, 0) AS value") -> str:

@@ -9,7 +9,8 @@ from demandloom.catalog import fixtures as fx
 from demandloom.catalog import query
 from demandloom.catalog.fixtures import sql
 from demandloom.models.base import horizon_months
-from demandloom.models.closed_form import OneLagAR, SeasonalNaive
+from demandloom.models.closed_form import LinearTrend, OneLagAR, SeasonalNaive
+from demandloom.models.per_series import AutoAR, ExpSmoothing
 from demandloom.operators import alignment, metrics
 from demandloom.operators.scaling import apply_minmax, fit_minmax
 from demandloom.operators.windows import retrain_flags
@@ -223,7 +224,7 @@ def results(spark: SparkSession, sf: str):
     )
 )
 def window_results(spark: SparkSession, sf: str) -> DataFrame:
-    frame = results(spark, sf).window_df
+    frame = results(spark, sf).window_table()
     return frame.select("*", F.posexplode("wape_per_period").alias("step", "wape")).drop(
         "wape_per_period"
     ).withColumn("step", (F.col("step") + 1).cast("long"))
@@ -240,7 +241,7 @@ def window_results(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def series_results(spark: SparkSession, sf: str) -> DataFrame:
-    frame = results(spark, sf).series_df
+    frame = results(spark, sf).series_table()
     zipped = F.arrays_zip("ape", "actual_values", "forecast_values")
     lists = ("ape", "actual_values", "forecast_values")
     exploded = frame.select(
@@ -320,3 +321,23 @@ def offset_discard(spark: SparkSession, sf: str) -> DataFrame:
     rows = last.join(F.broadcast(steps), "validation_end_date")
     kept = alignment.drop_offset(rows, fx.LOCAL.shift)
     return kept.select("window", "series_id", "step", "time_index", F.col("value").alias("forecast"))
+
+
+@query(
+    sql(
+        fx.SUPPLIER_SQL,
+        fx.FILLED_SQL,
+        fx.LOCAL_CAL_SQL,
+        """SELECT m.model, c."window", count(*) AS n_pairs, CAST(sum(value) AS DOUBLE) AS actual
+FROM filled f JOIN cal c ON f.time_index BETWEEN forecast_start AND forecast_end,
+  (VALUES ('AR1'), ('AutoAR'), ('ExponentialSmoothing'), ('LinearTrend'), ('SeasonalNaive')) m(model) GROUP BY 1, 2""",
+    )
+)
+def backtest_complete(spark: SparkSession, sf: str) -> DataFrame:
+    """Every model is scored on all actuals of every window: pairs with a forecast, and their sum."""
+    series, calendar = fx.supplier_series(spark, sf), fx.supplier_calendar(spark, sf, fx.LOCAL)
+    models = [SeasonalNaive(), OneLagAR(), LinearTrend(), AutoAR(), ExpSmoothing()]
+    pairs = scored_pairs(series, calendar, models, fx.LOCAL).where("forecast IS NOT NULL")
+    return pairs.groupBy("model", "window").agg(
+        F.count("*").alias("n_pairs"), F.sum("actual").cast("double").alias("actual")
+    )

@@ -22,10 +22,10 @@ COVARIATES_SQL = """cov AS (
 @query(
     f"""SELECT CAST(l_suppkey AS VARCHAR) AS series_id,
   CAST(date_trunc('month', l_shipdate) AS DATE) AS time_index, l_quantity AS value
-FROM lineitem WHERE l_shipdate < TIMESTAMP '{fx.CUT}'"""
+FROM lineitem"""
 )
 def load_demand(spark: SparkSession, sf: str) -> DataFrame:
-    return read_demand(spark, f"{sf}/lineitem.parquet", SUPPLIER_SPEC, before=fx.CUT)
+    return read_demand(spark, f"{sf}/lineitem.parquet", SUPPLIER_SPEC)
 
 
 def _covariates(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,39 +40,39 @@ def load_covariates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    sql(fx.BRAND_FULL_SQL, "SELECT series_id, time_index, value, past_lines, past_avg_discount FROM demand")
+    sql(fx.BRAND_FULL_ALL_SQL, "SELECT series_id, time_index, value, past_lines, past_avg_discount FROM demand")
 )
 def select_by_role(spark: SparkSession, sf: str) -> DataFrame:
-    table = fx.brand_month(spark, sf, full=True)
+    table = fx.brand_month(spark, sf, full=True, whole=True)
     return ops.select_roles(table, ops.roles(table.columns, use_future=False), "value")
 
 
 @query(
     f"""SELECT {fx._MONTH} AS time_index, count(*) AS n_lines,
   count(DISTINCT CAST(l_shipdate AS DATE)) AS n_days
-FROM lineitem WHERE l_shipdate < TIMESTAMP '{fx.CUT}' GROUP BY 1"""
+FROM lineitem GROUP BY 1"""
 )
 def month_index(spark: SparkSession, sf: str) -> DataFrame:
     month = fx.month_start(F.col("l_shipdate")).alias("time_index")
     days = F.countDistinct(F.col("l_shipdate").cast("date"))
     return (
-        fx.lineitem(spark, sf, "l_shipdate")
+        fx.lineitem(spark, sf, "l_shipdate", whole=True)
         .groupBy(month)
         .agg(F.count(F.lit(1)).alias("n_lines"), days.alias("n_days"))
     )
 
 
-@query(sql(fx.BRAND_SQL, "SELECT * FROM demand"))
+@query(sql(fx.BRAND_ALL_SQL, "SELECT * FROM demand"))
 def demand_series(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.brand_month(spark, sf)
+    return fx.brand_month(spark, sf, whole=True)
 
 
 def _part_lines(spark: SparkSession, sf: str) -> DataFrame:
     spec = SeriesSpec("l_partkey", "l_shipdate", "l_quantity")
-    return read_demand(spark, f"{sf}/lineitem.parquet", spec, before=fx.CUT, truncate=False)
+    return read_demand(spark, f"{sf}/lineitem.parquet", spec, truncate=False)
 
 
-@query(sql(fx.PART_SQL, fx.FILLED_SQL, "SELECT series_id, time_index FROM filled"))
+@query(sql(fx.PART_ALL_SQL, fx.FILLED_SQL, "SELECT series_id, time_index FROM filled"))
 def gap_fill(spark: SparkSession, sf: str) -> DataFrame:
     return ops.fill_months(ops.monthly_totals(_part_lines(spark, sf)), ()).select(
         "series_id", "time_index"
@@ -81,7 +81,7 @@ def gap_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     sql(
-        fx.PART_SQL,
+        fx.PART_ALL_SQL,
         fx.FILLED_SQL,
         """SELECT series_id, count(*) AS n_months, sum(value) AS total,
   count(*) FILTER (WHERE value = 0) AS n_zero FROM filled GROUP BY 1""",
@@ -98,7 +98,7 @@ def gap_fill_value(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     sql(
-        fx.BRAND_FULL_SQL,
+        fx.BRAND_FULL_ALL_SQL,
         fx.filled_sql(
             "coalesce(d.past_lines, 0) AS past_lines, coalesce(d.past_avg_discount, 0) AS past_avg_discount"
         ),
@@ -106,13 +106,13 @@ def gap_fill_value(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def past_covariates(spark: SparkSession, sf: str) -> DataFrame:
-    table = fx.brand_month(spark, sf, full=True)
+    table = fx.brand_month(spark, sf, full=True, whole=True)
     return ops.covariate_series(table, "past")
 
 
 @query(
     sql(
-        fx.BRAND_FULL_SQL,
+        fx.BRAND_FULL_ALL_SQL,
         fx.filled_sql(
             "coalesce(d.future_month, 0) AS future_month, coalesce(d.future_quarter, 0) AS future_quarter"
         ),
@@ -121,24 +121,27 @@ def past_covariates(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def future_covariates(spark: SparkSession, sf: str) -> DataFrame:
-    table = fx.brand_month(spark, sf, full=True)
+    table = fx.brand_month(spark, sf, full=True, whole=True)
     return ops.covariate_series(table, "future")
 
 
+# months that every series has
+_SHARED = "time_index BETWEEN (SELECT max(a) FROM span) AND (SELECT min(b) FROM span)"
+# the columns that SQL has to name; the query finds them in the data
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 
 @query(
     sql(
-        fx.BRAND_SQL,
+        fx.BRAND_ALL_SQL,
         fx.FILLED_SQL,
         "SELECT time_index, "
         + ", ".join(f"max(value) FILTER (WHERE series_id = '{b}') AS \"{b}\"" for b in BRANDS)
-        + " FROM filled GROUP BY 1",
+        + f" FROM filled WHERE {_SHARED} GROUP BY 1",
     )
 )
 def to_multivariate(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.to_wide(fx.brand_series(spark, sf), BRANDS, check_axis=False)
+    return ops.to_wide(ops.common_span(fx.brand_series(spark, sf, whole=True)))
 
 
 @query(
@@ -168,10 +171,10 @@ def static_part(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""SELECT CAST(p_partkey AS VARCHAR) AS series_id, p_brand AS static_brand, p_type AS static_type,
   p_size AS static_size, p_retailprice AS static_price, true AS static_consistent
-FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '{fx.CUT}')"""
+FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)"""
 )
 def static_covariates(spark: SparkSession, sf: str) -> DataFrame:
-    keys = fx.lineitem(spark, sf, "l_partkey").select(
+    keys = fx.lineitem(spark, sf, "l_partkey", whole=True).select(
         F.col("l_partkey").cast("string").alias("series_id")
     )
     return ops.static_dim(static_part(spark, sf).join(keys.distinct(), "series_id", "left_semi"))
@@ -179,23 +182,23 @@ def static_covariates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     sql(
-        fx.SUPPLIER_SQL,
+        fx.SUPPLIER_ALL_SQL,
         fx.FILLED_SQL,
         "SELECT series_id, time_index, CAST(value AS FLOAT) AS value FROM filled",
     )
 )
 def cast_float32(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.demand_series(fx.supplier_lines(spark, sf), as_float32=True)
+    return ops.demand_series(fx.supplier_lines(spark, sf, whole=True), as_float32=True)
 
 
-@query(sql(fx.BRAND_SQL, fx.FILLED_SQL, "SELECT series_id, time_index, value FROM filled"))
+@query(sql(fx.BRAND_ALL_SQL, fx.FILLED_SQL, f"SELECT series_id, time_index, value FROM filled WHERE {_SHARED}"))
 def to_univariate(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.to_long(ops.to_wide(fx.brand_series(spark, sf), BRANDS, check_axis=False))
+    return ops.to_long(ops.to_wide(ops.common_span(fx.brand_series(spark, sf, whole=True))))
 
 
 @query(
     sql(
-        fx.PART_SQL,
+        fx.PART_ALL_SQL,
         fx.FILLED_SQL,
         """SELECT (SELECT count(*) FROM span) AS n_series, (SELECT count(*) FROM span) AS n_components,
   (SELECT count(*) FROM filled) AS n_rows,

@@ -379,4 +379,4 @@ def tuned_backtest(spark: SparkSession, sf: str) -> DataFrame:
         study_path=scratch_path(spark, "study"),
         baselines=[SeasonalNaive()],
     )
-    return order_results([result.window_df], "window")
+    return order_results([result.window_table()], "window")

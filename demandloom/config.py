@@ -25,7 +25,8 @@ class BacktestConfig:
 
     ``horizon`` is the number of months forecast per window and ``shift`` the planning lag
     between the base month and the first forecast month.  ``retrain`` is True (every window),
-    False (first window only) or an int n (every n-th window).
+    False (first window only) or an int n (every n-th window).  ``drop_last_month`` says that the month
+    of the latest line counts as unfinished and is left out (``before_last_month``).
     """
 
     horizon: int = 3
@@ -36,6 +37,7 @@ class BacktestConfig:
     retrain: bool | int = False
     start_date: date | None = None
     tuning_start_date: date | None = None
+    drop_last_month: bool = True
     scale: bool = True
     use_static: bool = True
     use_past: bool = True

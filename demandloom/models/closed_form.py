@@ -108,7 +108,6 @@ class LinearTrend:
 
     def fits(self, series: DataFrame, calendar: DataFrame) -> DataFrame:
         order = Window.partitionBy("series_id").orderBy("time_index")
-        so_far = order.rowsBetween(Window.unboundedPreceding, 0)
         timed = series.select(
             "series_id",
             F.col("time_index").alias("validation_end_date"),
@@ -159,6 +158,7 @@ def smoothing_levels(series: DataFrame, calendar: DataFrame, weights: DataFrame)
     known_last = months_apart(F.col("_last_cut"), F.col("first_month")) + 1
     placed = arrays.select(
         "series_id",
+        "_first_cut",
         F.slice("history", 1, known_last).alias("_y"),
         F.greatest(known_first, F.lit(1)).alias("_from"),
         (F.greatest(known_first, F.lit(1)) - known_first).alias("_skipped"),
@@ -185,19 +185,23 @@ def smoothing_levels(series: DataFrame, calendar: DataFrame, weights: DataFrame)
 
     later = F.slice("_y", F.lit(2), F.greatest(F.size("_y") - 1, F.lit(0)))
     folded = grid.select(
-        *carried, "series_id", "_skipped", F.aggregate(later, start, step, lambda s: s["cuts"]).alias("_cuts")
+        *carried, "series_id", "_skipped", "_first_cut", F.aggregate(later, start, step, lambda s: s["cuts"]).alias("_cuts")
     )
     # never empty; the outer form keeps Spark from testing that by folding once more
     exploded = folded.select(
-        *carried, "series_id", "_skipped", F.posexplode_outer("_cuts").alias("_i", "_c")
+        *carried, "series_id", "_skipped", "_first_cut", F.posexplode_outer("_cuts").alias("_i", "_c")
     )
-    return exploded.select(
+    month = F.add_months("_first_cut", F.col("_i") + F.col("_skipped"))
+    levels = exploded.select(
         *carried,
         "series_id",
-        (F.col("_i") + F.col("_skipped")).alias("window"),
+        month.alias("validation_end_date"),
         F.col("_c.level").alias("level"),
         F.col("_c.sse").alias("sse"),
     )
+    # months between the calendar's cuts drop out here
+    cuts = F.broadcast(calendar.select("window", "validation_end_date"))
+    return levels.join(cuts, "validation_end_date").select(*carried, "series_id", "window", "level", "sse")
 
 
 @dataclass(frozen=True)

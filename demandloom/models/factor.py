@@ -31,7 +31,10 @@ def _dot(left: Column, right: Column) -> Column:
 
 @dataclass(frozen=True)
 class FactorModel:
+    """Series must start in the same month; with ``common_span`` all are cut to the latest start."""
+
     factors: int = 3
+    common_span: bool = False
     name: str = "FactorModel"
 
     def forecast(self, series: DataFrame, calendar: DataFrame, cfg: BacktestConfig) -> DataFrame:
@@ -43,7 +46,9 @@ class FactorModel:
                 "series_id", month_number(F.col("first_month")).alias("first_no"), "history"
             )
         )
-        origin = arrays.agg(F.min("first_no")).first()[0]
+        earliest, origin = arrays.agg(F.min("first_no"), F.max("first_no")).first()
+        if earliest != origin and not self.common_span:
+            raise ValueError("series start in different months; set common_span to cut them to the latest start")
         parts = []
         for window, windows in model_windows(calendar, cfg).items():
             cut_no = _number(rows[window]["train_end_date"])
@@ -59,11 +64,11 @@ class FactorModel:
     def _served(self, arrays, origin, cut_no, last_no, windows, rows, total) -> DataFrame:
         """Forecasts of the windows that use the model trained up to ``cut_no``."""
         n_train, n_all = cut_no - origin + 1, last_no - origin + 1
-        # every series on the months origin..last; before its start it is zero, after it cut off
-        on_axis = F.slice(
-            F.concat(F.array_repeat(F.lit(0.0), F.col("first_no") - origin), F.col("history")), 1, n_all
-        )
-        placed = arrays.filter(F.col("first_no") <= cut_no).select(
+        if n_train <= total:
+            raise ValueError("the common span is too short to train on")
+        # every series on the months origin..last
+        on_axis = F.slice("history", F.lit(origin) - F.col("first_no") + 1, F.lit(n_all))
+        placed = arrays.select(
             "series_id", F.transform(on_axis, lambda v: v.cast("double")).alias("_x")
         )
         train = F.slice("_x", 1, n_train)

@@ -48,7 +48,6 @@ def smoothing(y: np.ndarray, known: np.ndarray, steps: int) -> np.ndarray:
     season = np.where(seasonal[:, :, None], (first_year - start[:, None])[None], 0.0).copy()
     season = np.nan_to_num(season)
     sse = np.zeros_like(level)
-    best = np.full((series, known.shape[1]), np.inf)
     ahead = np.arange(1, steps + 1)
     # seasonal variants need two full years, others one year and a little more to score on
     enough = np.where(seasonal, 2 * SEASON, SEASON + 3)
@@ -82,7 +81,6 @@ def smoothing(y: np.ndarray, known: np.ndarray, steps: int) -> np.ndarray:
             rows, pick = rows[found], pick[found]
             base = level[pick, rows, None] + trend[pick, rows, None] * ahead[None, :]
             out[rows, w, :] = base + season[pick[:, None], rows[:, None], (i + ahead)[None, :] % SEASON]
-            best[rows, w] = 0.0
     return out
 
 

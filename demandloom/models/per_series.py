@@ -40,7 +40,10 @@ def fit_batches(
     total = cfg.shift + cfg.horizon
     # one entry per window
     ordered = F.array_sort(F.collect_list(F.struct("window", month_number(F.col("validation_end_date")).alias("cut"))))
-    cuts = calendar.agg(F.transform(ordered, lambda c: c["cut"]).alias("cuts"))
+    cuts = calendar.agg(ordered.alias("_c")).select(
+        F.transform("_c", lambda c: c["cut"]).alias("cuts"),
+        F.transform("_c", lambda c: c["window"]).alias("windows"),
+    )
     arrays = spread_series(series_arrays(series)).select(
         "series_id", month_number(F.col("first_month")).alias("first_no"), "history"
     )
@@ -68,10 +71,12 @@ def _fit_chunk(chunk: pd.DataFrame, total: int, kernel: Kernel) -> pd.DataFrame:
     known = np.clip(cuts - first[:, None] + 1, 0, lengths[:, None])
     out = kernel(y, known, total, first)
     series, windows, steps = out.shape
+    # the calendar's own ids, whatever part of a calendar it is
+    ids = np.asarray(chunk["windows"].iloc[0], dtype=np.int32)
     return pd.DataFrame(
         {
             "series_id": np.repeat(chunk["series_id"].to_numpy(), windows * steps),
-            "window": np.tile(np.repeat(np.arange(windows, dtype=np.int32), steps), series),
+            "window": np.tile(np.repeat(ids, steps), series),
             "step": np.tile(np.arange(1, steps + 1, dtype=np.int32), series * windows),
             "forecast": out.ravel(),
         }

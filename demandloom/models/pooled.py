@@ -109,6 +109,8 @@ def model_windows(calendar: DataFrame, cfg: BacktestConfig) -> dict[int, list[in
     """Windows served by each trained model; the calendar has a handful of rows."""
     served: dict[int, list[int]] = {}
     for row in model_of_window(retrain_flags(calendar, cfg.retrain)).collect():
+        if row["model_window"] is None:
+            raise ValueError(f"window {row['window']} comes before any window that trains a model")
         served.setdefault(row["model_window"], []).append(row["window"])
     return served
 

@@ -32,6 +32,19 @@ def align(actual: DataFrame, predicted: DataFrame) -> DataFrame:
     return predicted.join(actual, KEYS)
 
 
+def align_all(actual: DataFrame, predicted: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Every actual once per model; the forecast is NULL where the model has none."""
+    wanted = actual.select(F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), *KEYS, "actual")
+    return wanted.join(predicted.select("model", *KEYS, "forecast"), ["model", *KEYS], "left")
+
+
+def assert_complete(pairs: DataFrame) -> None:
+    """Raise for a pair without a forecast."""
+    bad = pairs.where(F.col("forecast").isNull()).select("model", *KEYS).take(1)
+    if bad:
+        raise AlignmentError(f"no prediction for {bad[0].asDict()}")
+
+
 def drop_offset(steps: DataFrame, shift: int) -> DataFrame:
     """For models without a native shift: forget the first ``shift`` of ``shift + horizon`` steps."""
     return steps.filter(F.col("step") > shift).withColumn("step", F.col("step") - shift)

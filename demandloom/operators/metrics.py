@@ -32,11 +32,14 @@ def mape(pairs: DataFrame) -> DataFrame:
 
 
 def wape(pairs: DataFrame, by: Sequence[str] = ("model", "window", "time_index")) -> DataFrame:
-    """Sum of absolute errors over sum of actuals across series; NULL where actuals sum to zero."""
+    """Sum of absolute errors over sum of actuals across series; NULL where actuals sum to zero.
+
+    Pairs without a forecast count on neither side.
+    """
     error = absolute_error(F.col("actual"), F.col("forecast"))
     return (
         pairs.groupBy(*by)
-        .agg(F.sum(error).alias("_error"), F.sum("actual").alias("_actual"))
+        .agg(F.sum(error).alias("_error"), F.sum(F.when(error.isNotNull(), F.col("actual"))).alias("_actual"))
         .select(*by, ratio(F.col("_error"), F.col("_actual")).alias("wape"))
     )
 
@@ -54,8 +57,10 @@ def window_results(
     backtest_date: str,
     hyperparameters: dict[str, str] | None = None,
     decimals: int = 6,
+    count_missing: bool = False,
 ) -> DataFrame:
     """One row per model and window.  ``flagged_calendar`` comes from ``retrain_flags``."""
+    missing = pairs.groupBy("model", "window").agg(_n_missing())
     ordered = F.array_sort(F.collect_list(F.struct("time_index", "wape")))
     grouped = (
         wape(pairs)
@@ -68,6 +73,8 @@ def window_results(
         )
     )
     flags = flagged_calendar.select("window", "base_date", "retrained")
+    if count_missing:
+        grouped = grouped.join(missing, ["model", "window"])
     return grouped.join(F.broadcast(flags), "window").select(
         F.lit(backtest_date).alias("backtest_date"),
         "model",
@@ -79,9 +86,14 @@ def window_results(
         "avg_wape_across_periods",
         "wape_per_period",
         _params_text(hyperparameters).alias("model_hyperparameters"),
+        *(["n_missing"] if count_missing else []),
     )
 
 
+def _n_missing():
+    return F.count_if(F.col("forecast").isNull()).alias("n_missing")
+
+
 def series_results(
     pairs: DataFrame,
     flagged_calendar: DataFrame,
@@ -89,6 +101,7 @@ def series_results(
     hyperparameters: dict[str, str] | None = None,
     decimals: int = 6,
     ids: DataFrame | None = None,
+    count_missing: bool = False,
 ) -> DataFrame:
     """One row per model, window and series with its values in month order.
 
@@ -105,6 +118,7 @@ def series_results(
             F.round(F.avg("ape"), decimals).alias("mape"),
             F.count(F.when(F.col("ape").isNull(), 1)).alias("n_undefined"),
             ordered.alias("_p"),
+            _n_missing(),
         )
     )
     flags = flagged_calendar.select("window", "base_date", "retrained")
@@ -127,6 +141,7 @@ def series_results(
         F.transform("_p", lambda p: p["actual"]).alias("actual_values"),
         F.transform("_p", lambda p: p["forecast"]).alias("forecast_values"),
         _params_text(hyperparameters).alias("model_hyperparameters"),
+        *(["n_missing"] if count_missing else []),
     )
 
 

@@ -44,17 +44,18 @@ def scale_split(
     of the split itself are then repeated per window.  No fitted table is stored or joined.
     """
     # one entry per window
-    cuts = [r["train_end_date"] for r in calendar.orderBy("window").collect()]
+    cuts = {r["window"]: r["train_end_date"] for r in calendar.collect()}
+    place = F.create_map(*(F.lit(x) for pair in zip(cuts, range(len(cuts))) for x in pair))
     whole = Window.partitionBy("series_id")
     limits = {}
     for v in variables:
-        seen = [F.when(F.col("time_index") <= F.lit(cut), F.col(v)) for cut in cuts]
+        seen = [F.when(F.col("time_index") <= F.lit(cut), F.col(v)) for cut in cuts.values()]
         limits[f"_lo_{v}"] = F.array(*[F.min(x).over(whole) for x in seen])
         limits[f"_hi_{v}"] = F.array(*[F.max(x).over(whole) for x in seen])
     rows = df.withColumns(limits).join(F.broadcast(calendar), _in_split(which))
 
     def scaled(v: str) -> Column:
-        low, high = F.col(f"_lo_{v}")[F.col("window")], F.col(f"_hi_{v}")[F.col("window")]
+        low, high = F.col(f"_lo_{v}")[place[F.col("window")]], F.col(f"_hi_{v}")[place[F.col("window")]]
         return ((F.col(v) - low) / _width(low, high)).alias(v)
 
     return rows.select("window", *[scaled(c) if c in variables else c for c in df.columns])

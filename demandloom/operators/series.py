@@ -59,6 +59,16 @@ def monthly_totals(
     return df.groupBy(*keys, month).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
+def before_last_month(lines: DataFrame, time_index: str = "time_index") -> DataFrame:
+    """Rows before the month of the latest one, which may still be unfinished.
+
+    The latest time is read first (one column), so the condition is a constant that reaches the scan.
+    An empty table stays empty.
+    """
+    last = lines.agg(F.trunc(F.max(time_index), "MM")).first()[0]
+    return lines if last is None else lines.filter(F.col(time_index) < F.lit(last).cast("timestamp_ntz"))
+
+
 def fill_months(
     df: DataFrame,
     value_cols: Sequence[str] = ("value",),
@@ -152,6 +162,14 @@ def axis_report(df: DataFrame) -> DataFrame:
     )
 
 
+def common_span(df: DataFrame) -> DataFrame:
+    """The months that every series has: from the latest first to the earliest last one."""
+    ends = df.groupBy("series_id").agg(F.min("time_index").alias("_a"), F.max("time_index").alias("_b"))
+    # one row
+    span = ends.agg(F.max("_a").alias("_a"), F.min("_b").alias("_b"))
+    return df.join(F.broadcast(span), F.col("time_index").between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+
+
 def to_wide(
     df: DataFrame, series_ids: Sequence[str] | None = None, check_axis: bool = True
 ) -> DataFrame:

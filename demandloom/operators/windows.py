@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandloom.config import BacktestConfig
-from demandloom.functions.months import month_start, months_apart
+from demandloom.functions.months import month_start
 
 
 class LeakageError(ValueError):
@@ -79,9 +79,11 @@ def pin_calendar(calendar: DataFrame) -> DataFrame:
     evaluated once and travels as constants from then on.
     """
     dates = ", ".join(f"CAST({c} AS DATE) AS {c}" for c in calendar.columns if c != "window")
+    found = calendar.collect()
+    if not found or any(v is None for row in found for v in row):
+        raise ValueError("the demand is empty, so it has no calendar")
     rows = ", ".join(
-        "(" + ", ".join(str(v) if isinstance(v, int) else f"'{v}'" for v in row) + ")"
-        for row in calendar.collect()
+        "(" + ", ".join(str(v) if isinstance(v, int) else f"'{v}'" for v in row) + ")" for row in found
     )
     names = ", ".join(calendar.columns)
     return calendar.sparkSession.sql(f"SELECT window, {dates} FROM VALUES {rows} AS c({names})")
@@ -176,16 +178,21 @@ def expanding(
     """Aggregates of each series over all rows up to each window's cut month.
 
     ``aggregates`` maps an output name to (function, column) with function min, max, sum or count.
-    Windows expand by one month at a time, so a row is aggregated once, into the first window that
-    contains it; running aggregates over the few windows of a series do the rest.  Rows are never
-    repeated per window.
+    A row is aggregated once, into the first cut that contains it; running aggregates over the few cuts
+    of a series do the rest.  Rows are never repeated per window.  The calendar may be any part of a
+    calendar: results carry its own window ids.
     """
     if cut not in ("train_end_date", "validation_end_date"):
         raise ValueError(f"cannot expand up to {cut!r}")
-    bounds = calendar.agg(
-        F.min(cut).alias("_cut"), F.max(cut).alias("_last_cut"), F.max("window").alias("_last")
+    # one entry per window, ordered by cut
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(cut).alias("cut"), "window")))
+    bounds = calendar.agg(ordered.alias("_cuts")).select(
+        F.transform("_cuts", lambda c: c["cut"]).alias("_cuts"),
+        F.element_at("_cuts", -1)["cut"].alias("_last_cut"),
+        (F.size("_cuts") - 1).alias("_last"),
+        F.transform("_cuts", lambda c: c["window"]).alias("_windows"),
     )
-    first_window = F.greatest(F.lit(0), months_apart(F.col("time_index"), F.col("_cut")))
+    first_window = F.size(F.filter("_cuts", lambda c: c < F.col("time_index")))
     once = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
     again = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.sum}
     placed = (
@@ -194,6 +201,7 @@ def expanding(
         .groupBy(*keys, "_window")
         .agg(
             F.first("_last").alias("_last"),
+            F.first("_windows").alias("_windows"),
             *[once[f](c).alias(name) for name, (f, c) in aggregates.items()],
         )
     )
@@ -204,11 +212,11 @@ def expanding(
         *keys,
         "_window",
         until.alias("_until"),
+        "_windows",
         *[again[f](name).over(so_far).alias(name) for name, (f, _) in aggregates.items()],
     )
-    return running.select(
-        F.explode(F.sequence("_window", "_until")).alias("window"), *keys, *aggregates
-    )
+    served = F.slice("_windows", F.col("_window") + 1, F.col("_until") - F.col("_window") + 1)
+    return running.select(F.explode(served).alias("window"), *keys, *aggregates)
 
 
 def retrain_flags(calendar: DataFrame, frequency: bool | int) -> DataFrame:

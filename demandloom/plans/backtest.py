@@ -6,21 +6,23 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from demandloom.config import BacktestConfig
 from demandloom.models.base import Forecaster
-from demandloom.operators.alignment import (
-    actuals,
-    assert_aligned,
-    process_predictions,
-)
+from demandloom.functions.errors import clip_nonneg
+from demandloom.operators.alignment import actuals, align_all, assert_complete
 from demandloom.operators.metrics import order_results, series_results, window_results
 from demandloom.operators.windows import retrain_flags
+from demandloom.plans.storage import cut_lineage
 
 
 @dataclass(frozen=True)
 class BacktestResult:
-    """Scored pairs and the settings of their run; each result table is planned when asked for."""
+    """Scored pairs, written once, and the settings of their run; both result tables are derived from them.
+
+    ``count_missing`` adds ``n_missing`` to the tables, the pairs without a forecast.
+    """
 
     pairs: DataFrame
     flags: DataFrame
@@ -28,20 +30,21 @@ class BacktestResult:
     hyperparameters: dict[str, str] | None
     decimals: int
     ids: DataFrame
+    count_missing: bool = False
 
-    @property
-    def window_df(self) -> DataFrame:
+    def window_table(self, ordered: bool = True) -> DataFrame:
         table = window_results(
-            self.pairs, self.flags, self.backtest_date, self.hyperparameters, self.decimals
-        )
-        return order_results([table], "window")
+            self.pairs, self.flags, self.backtest_date, self.hyperparameters, self.decimals,
+            count_missing=self.count_missing,
+        )
+        return order_results([table], "window") if ordered else table
 
-    @property
-    def series_df(self) -> DataFrame:
+    def series_table(self, ordered: bool = True) -> DataFrame:
         table = series_results(
-            self.pairs, self.flags, self.backtest_date, self.hyperparameters, self.decimals, self.ids
-        )
-        return order_results([table], "series")
+            self.pairs, self.flags, self.backtest_date, self.hyperparameters, self.decimals, self.ids,
+            count_missing=self.count_missing,
+        )
+        return order_results([table], "series") if ordered else table
 
 
 def forecast_all(
@@ -63,14 +66,22 @@ def scored_pairs(
     calendar: DataFrame,
     models: Sequence[Forecaster],
     cfg: BacktestConfig,
-    check: bool = False,
+    check: bool = True,
 ) -> DataFrame:
-    """Actual and forecast in original units, aligned and clipped."""
+    """Every actual once per model with its forecast in original units, clipped, written once.
+
+    The pairs are scored from the actuals' side, so all models are judged on the same series and months.
+    A model that has no forecast for one raises; without ``check`` the pair stays with a NULL forecast.
+    The pairs (a row per model, window, series and month of the horizon) are cut in the shared folder:
+    whatever is derived from them, each model is fitted once.
+    """
     truth = actuals(series, calendar)
     predicted = forecast_all(series, calendar, models, cfg)
+    pairs = align_all(truth, predicted, [m.name for m in models])
+    pairs = cut_lineage(pairs.withColumn("forecast", clip_nonneg(F.col("forecast"))))
     if check:
-        assert_aligned(truth, predicted, [m.name for m in models])
-    return process_predictions(truth, predicted)
+        assert_complete(pairs)
+    return pairs
 
 
 def backtest(
@@ -81,16 +92,16 @@ def backtest(
     backtest_date: str = "00000000_0000",
     hyperparameters: dict[str, str] | None = None,
     retrain: bool | int | None = None,
-    check: bool = False,
+    check: bool = True,
     ids: DataFrame | None = None,
 ) -> BacktestResult:
     """Forecast, score and summarise.
 
-    Everything stays lazy except the optional alignment check, the fits of global models and the
-    numbering of series.  ``ids`` (the series ids, if a cheaper table than ``series`` has them) is
-    what the numbering reads.
+    The forecasts are computed and written here; the result tables stay lazy.  Without ``check``
+    missing forecasts are counted in ``n_missing`` instead of raising.  ``ids`` (the series ids, if a
+    cheaper table than ``series`` has them) is what the numbering of series reads.
     """
     pairs = scored_pairs(series, calendar, models, cfg, check)
     flags = retrain_flags(calendar, cfg.retrain if retrain is None else retrain)
     known = series.select("series_id") if ids is None else ids
-    return BacktestResult(pairs, flags, backtest_date, hyperparameters, cfg.decimals, known)
+    return BacktestResult(pairs, flags, backtest_date, hyperparameters, cfg.decimals, known, not check)

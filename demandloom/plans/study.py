@@ -13,12 +13,18 @@ from demandloom.functions.errors import clip_nonneg
 from demandloom.models.base import Forecaster, horizon_months
 from demandloom.models.closed_form import smoothing_levels
 from demandloom.operators import tuning
-from demandloom.operators.alignment import actuals, process_predictions
+from demandloom.operators.alignment import actuals, align_all, assert_complete
 from demandloom.operators.windows import assert_no_leakage, pin_calendar, window_calendar
 from demandloom.plans.backtest import BacktestResult, backtest
+from demandloom.plans.storage import cut_lineage
 
 Build = Callable[[dict[str, str]], Forecaster]
 
+STUDY_SCHEMA = (
+    "study_name string, trial_number int, params map<string,string>, value double, "
+    "wape_by_window array<double>, started timestamp, completed timestamp"
+)
+
 
 def smoothing_pairs(
     series: DataFrame, calendar: DataFrame, trials: DataFrame, cfg: BacktestConfig
@@ -46,29 +52,26 @@ def run_trials(
 ) -> DataFrame:
     """A study table: every trial of ``packed`` (trial_number, params) scored on the windows.
 
-    ``build`` turns a trial's parameters into a forecaster.  All trials are branches of one plan, so
-    Spark shares the series between them and runs them side by side.
+    ``build`` turns a trial's parameters into a forecaster.  Each trial is a job of its own with its own
+    start and end, so plans do not grow with their number; the series are written once for all.  One
+    row per trial comes back to the driver.
     """
-    started = datetime.now(timezone.utc)
-    truth = actuals(series, calendar)
-    parts = []
+    series = cut_lineage(series)
+    truth = cut_lineage(actuals(series, calendar))
+    rows = []
     # as many rows as the configuration asks for trials
     for row in packed.orderBy("trial_number").collect():
-        predicted = build(row["params"]).forecast(series, calendar, cfg)
-        parts.append(predicted.withColumn("trial_number", F.lit(row["trial_number"])))
-    predicted = parts[0]
-    for part in parts[1:]:
-        predicted = predicted.unionByName(part)
-    scores = tuning.trial_scores(process_predictions(truth, predicted), cfg.decimals)
-    return packed.join(scores, "trial_number", "left").select(
-        F.lit(study_name).alias("study_name"),
-        "trial_number",
-        "params",
-        "value",
-        "wape_by_window",
-        F.lit(started).alias("started"),
-        F.current_timestamp().alias("completed"),
-    )
+        started = datetime.now(timezone.utc)
+        model = build(row["params"])
+        pairs = align_all(truth, model.forecast(series, calendar, cfg), [model.name])
+        assert_complete(pairs := cut_lineage(pairs))
+        scored = pairs.withColumns(
+            {"forecast": clip_nonneg(F.col("forecast")), "trial_number": F.lit(row["trial_number"])}
+        )
+        score = tuning.trial_scores(scored, cfg.decimals).first()
+        ended = datetime.now(timezone.utc)
+        rows.append((study_name, row["trial_number"], row["params"], score["value"], score["wape_by_window"], started, ended))
+    return packed.sparkSession.createDataFrame(rows, STUDY_SCHEMA)
 
 
 def tune_and_backtest(
@@ -83,20 +86,28 @@ def tune_and_backtest(
     timestamp: str,
     study_path: str,
     baselines: Sequence[Forecaster] = (),
+    study_name: str | None = None,
+    rank: int = 0,
+    direction: str = "minimize",
 ) -> BacktestResult:
     """Tune on the windows before the backtest, then backtest with the best trial.
 
     ``lines`` is any table with the series' ids and times, read for the calendars only.  Trials are
-    appended to the study table at ``study_path`` under ``<model_name>_utc_<timestamp>``; the best
-    trial of all the model's studies there wins over ``defaults``, which serve when there is none.
+    appended to the study table at ``study_path`` under ``<model_name>_utc_<timestamp>``, numbered and
+    drawn on from those stored there before.  The trial of that ``rank`` (0: the best in ``direction``)
+    of the study ``study_name``, or of all the model's studies, wins over ``defaults``, which serve when
+    there is none.
     """
     calendar = pin_calendar(window_calendar(lines, cfg))
     spark = series.sparkSession
     if n_trials:
         tuning_calendar = pin_calendar(window_calendar(lines, cfg, "tuning"))
         assert_no_leakage(tuning_calendar, calendar)
-        packed = tuning.pack_trials(tuning.make_trials(space, n_trials, cfg.random_state))
         study = f"{model_name}_utc_{timestamp}"
+        known = tuning.read_study(spark, study_path)
+        last = known.where(F.col("study_name") == study).agg(F.max("trial_number")).first()[0] if known is not None else None
+        first = 0 if last is None else last + 1
+        packed = tuning.pack_trials(tuning.make_trials(space, n_trials, cfg.random_state, first))
         tuning.append_trials(
             run_trials(series, tuning_calendar, cfg, build, packed, study), study_path
         )
@@ -104,7 +115,8 @@ def tune_and_backtest(
     params = dict(defaults)
     if stored is not None:
         # one row
-        for row in tuning.best_trial(stored, model_name=model_name).collect():
+        wanted = {"study_name": study_name} if study_name else {"model_name": model_name}
+        for row in tuning.best_trial(stored, **wanted, rank=rank, direction=direction).collect():
             params |= row["params"]
     model = build(params)
     ids = lines.select("series_id").distinct()

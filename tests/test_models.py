@@ -13,7 +13,9 @@ from demandloom.models.factor import FactorModel
 from demandloom.models.per_series import AutoAR, ExpSmoothing, FourierTrend
 from demandloom.models.pooled import GlobalDirect, GlobalRecursive
 from demandloom.operators.metrics import wape
-from demandloom.plans.backtest import scored_pairs
+from demandloom.operators.alignment import AlignmentError
+from demandloom.operators.scaling import fit_minmax, scale_split
+from demandloom.plans.backtest import backtest, scored_pairs
 from demandloom.operators.windows import pin_calendar, window_calendar
 
 LOCAL = BacktestConfig(windows=3, use_validation=False)
@@ -224,3 +226,82 @@ def test_factor_forecast_equals_regression_on_the_factors(spark, seasonal):
             coef = np.linalg.lstsq(design[: n - h], z[i, h:], rcond=None)[0]
             expected = (design[-1] @ coef) * width[i] + low[i]
             assert got[(0, s, month(n - 1 + h))] == pytest.approx(expected, rel=1e-6)
+
+
+@pytest.mark.parametrize("windows", [(1, 2), (2,), (0, 2)])
+@pytest.mark.parametrize("model", LOCAL_MODELS, ids=lambda m: m.name)
+def test_part_of_a_calendar_gives_the_same_forecasts(seasonal, model, windows):
+    calendar = pin_calendar(window_calendar(seasonal, LOCAL))
+    whole = forecasts(model, seasonal, calendar, LOCAL)
+    part = forecasts(model, seasonal, calendar.filter(F.col("window").isin(*windows)), LOCAL)
+    assert part == {k: pytest.approx(v) for k, v in whole.items() if k[0] in windows}
+
+
+def test_part_of_a_calendar_gives_the_same_scaling(seasonal):
+    calendar = pin_calendar(window_calendar(seasonal, LOCAL))
+    later = calendar.filter("window > 0")
+    keys = ("window", "series_id", "low", "high")
+    rows = lambda df, cols: {tuple(r[c] for c in cols) for r in df.collect()}
+    assert rows(fit_minmax(seasonal, later), keys) == {r for r in rows(fit_minmax(seasonal, calendar), keys) if r[0] > 0}
+    keys = ("window", "series_id", "time_index", "value")
+    scaled = rows(scale_split(seasonal, calendar, "test"), keys)
+    assert rows(scale_split(seasonal, later, "test"), keys) == {r for r in scaled if r[0] > 0}
+
+
+def test_global_models_reject_windows_without_a_model(seasonal):
+    calendar = pin_calendar(window_calendar(seasonal, GLOBAL)).filter("window = 1")
+    with pytest.raises(ValueError, match="window 1"):
+        GlobalDirect(lookback=6).forecast(seasonal, calendar, GLOBAL)
+
+
+@pytest.fixture(scope="module")
+def late(spark):
+    """Three series, one of which starts 16 months before the end."""
+    histories = {s: [50 + 10 * math.sin(t / 2 + k) for t in range(60)] for k, s in enumerate("ab")}
+    return long_frame(spark, histories | {"late": [float(t + 3) for t in range(16)]}, {"late": 44}).cache()
+
+
+@pytest.mark.parametrize("model", LOCAL_MODELS + GLOBAL_MODELS, ids=lambda m: m.name)
+def test_a_late_series_is_scored_or_raises(late, model):
+    cfg = BacktestConfig(windows=6, retrain=3, use_validation=False)
+    calendar = pin_calendar(window_calendar(late, cfg))
+    try:
+        pairs = scored_pairs(late, calendar, [model], cfg)
+    except (AlignmentError, ValueError) as e:
+        assert "prediction" in str(e) or "start" in str(e)
+    else:
+        assert pairs.count() == 54 and pairs.where("forecast IS NULL").count() == 0
+
+
+def test_missing_forecasts_are_counted_on_request(late):
+    cfg = BacktestConfig(windows=6, use_validation=False)
+    calendar = pin_calendar(window_calendar(late, cfg))
+    result = backtest(late, calendar, [SeasonalNaive()], cfg, check=False)
+    by_window = {r["window"]: r["n_missing"] for r in result.window_table().collect()}
+    by_series = result.series_table().where("n_missing > 0").collect()
+    assert sum(by_window.values()) == sum(r["n_missing"] for r in by_series) == 9
+    assert {r["series_name"] for r in by_series} == {"late"}
+
+
+def test_every_model_is_fitted_once_for_both_tables(spark, seasonal):
+    done = spark.sparkContext.accumulator(0)
+    tick = F.udf(lambda v: (done.add(1), v)[1], "double")
+
+    class Counted(OneLagAR):
+        def forecast(self, series, calendar, cfg):
+            return super().forecast(series, calendar, cfg).withColumn("forecast", tick("forecast"))
+
+    calendar = pin_calendar(window_calendar(seasonal, LOCAL))
+    result = backtest(seasonal, calendar, [Counted(name="Counted")], LOCAL)
+    result.window_table().collect()
+    result.series_table().collect()
+    assert done.value == 3 * 8 * 3
+
+
+def test_joint_model_needs_one_start_or_a_common_span(late):
+    cfg = BacktestConfig(windows=3, use_validation=False)
+    calendar = pin_calendar(window_calendar(late, cfg))
+    with pytest.raises(ValueError, match="different months"):
+        FactorModel(factors=1).forecast(late, calendar, cfg)
+    found = forecasts(FactorModel(factors=1, common_span=True), late, calendar, cfg)
+    assert len(found) == 27 and all(math.isfinite(v) for v in found.values())

@@ -27,7 +27,7 @@ def test_entry_runs(spark):
 
 @pytest.mark.parametrize("name", ["demand_series", "select_by_role", "backtest_end_to_end", "minmax_fit"])
 def test_queries_agree_without_any_automatic_broadcast(spark, con, name):
-    """The other way of the size-checked join: totals per part first."""
+    """Totals per part meet the parts by a shuffled join."""
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

@@ -63,9 +63,9 @@ def test_result_tables_are_consistent_with_each_other(spark):
     demand = long_frame(spark, {"a": [5 + i % 12 for i in range(40)], "b": [i * i % 17 for i in range(40)]})
     cfg = BacktestConfig(windows=3, use_validation=False)
     calendar = window_calendar(demand, cfg)
-    result = backtest(demand, calendar, [SeasonalNaive(), OneLagAR()], cfg, retrain=True, check=True,
+    result = backtest(demand, calendar, [SeasonalNaive(), OneLagAR()], cfg, retrain=True,
                       hyperparameters={"AR1": "{'lags': 1}"})
-    series = result.series_df.collect()
+    series = result.series_table().collect()
     assert [r["model"] for r in series] == sorted(r["model"] for r in series)
     assert {(r["series_name"], r["series_index"]) for r in series} == {("a", 0), ("b", 1)}
     for r in series:
@@ -74,7 +74,7 @@ def test_result_tables_are_consistent_with_each_other(spark):
             assert (e is None and a == 0) or e == pytest.approx(abs(a - f) / a, abs=1e-6)
         defined = [e for e in r["ape"] if e is not None]
         assert r["mape"] == pytest.approx(sum(defined) / len(defined), abs=2e-6)
-    for r in result.window_df.collect():
+    for r in result.window_table().collect():
         assert r["avg_wape_across_periods"] == pytest.approx(sum(r["wape_per_period"]) / 3, abs=2e-6)
         assert r["retrained"] is True
         assert r["model_hyperparameters"] == ("{'lags': 1}" if r["model"] == "AR1" else "{}")

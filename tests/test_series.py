@@ -98,3 +98,12 @@ def test_readers_rename_prune_and_push_down(spark, tmp_path):
     assert "LessThan(ts" in plan and "past_p" not in plan
     cov = read_covariates(spark, path, "ts")
     assert cov.columns == ["time_index", "past_p"]
+
+
+def test_the_month_of_the_latest_line_is_left_out(spark):
+    from demandloom.operators.series import before_last_month
+
+    lines = spark.sql("SELECT id, timestamp_ntz'2001-09-15' + make_interval(0, 0, 0, id * 20) AS time_index FROM range(4)")
+    kept = before_last_month(lines)
+    assert as_rows(kept, "id") == [(0,), (1,), (2,)]
+    assert before_last_month(lines.limit(0)).count() == 0

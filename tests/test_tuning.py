@@ -119,12 +119,27 @@ def test_tuned_backtest_uses_the_best_trial_and_resumes(spark, tmp_path):
     run = lambda n: tune_and_backtest(
         demand, demand, cfg, build, space, {"season": "5"}, n, "Naive", "20200101_0000", path
     )
-    plain = run(0).window_df.collect()
+    plain = run(0).window_table().collect()
     assert plain[0]["model_hyperparameters"] == "{'season': '5'}" and plain[0]["avg_wape_across_periods"] > 0
-    tuned = run(8).window_df.collect()
+    tuned = run(8).window_table().collect()
     assert {r["avg_wape_across_periods"] for r in tuned} == {0.0}
     assert tuned[0]["model_hyperparameters"] == "{'season': '12'}"
-    again = run(0).window_df.collect()
+    again = run(0).window_table().collect()
     assert again[0]["model_hyperparameters"] == "{'season': '12'}"
     stored = ops.read_study(spark, path)
     assert stored.count() == 8 and stored.filter(F.col("value").isNull()).count() == 0
+    # a resumed study draws on, and the trials' own times are stored
+    run(4)
+    rows = ops.read_study(spark, path).orderBy("trial_number").collect()
+    assert [r["trial_number"] for r in rows] == list(range(12))
+    space = ops.search_space(spark, {"season": {"type": "categorical", "values": [5, 7, 12]}})
+    drawn = ops.make_trials(space, 12, cfg.random_state).orderBy("trial_number").collect()
+    assert [r["params"]["season"] for r in rows] == [r["param_value"] for r in drawn]
+    assert all(a["completed"] <= b["started"] for a, b in zip(rows, rows[1:]))
+    assert all(r["completed"] > r["started"] for r in rows)
+    # a named study, its rank and direction
+    worst = tune_and_backtest(
+        demand, demand, cfg, build, space, {"season": "5"}, 0, "Naive", "x", path,
+        study_name="Naive_utc_20200101_0000", direction="maximize",
+    )
+    assert worst.window_table().first()["model_hyperparameters"] != "{'season': '12'}"

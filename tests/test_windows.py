@@ -115,3 +115,8 @@ def test_samples_hold_lags_and_shifted_targets(spark):
     first = rows[0]
     assert [first[f"lag_{k}"] for k in range(3)] == [2.0, 1.0, 0.0]
     assert (first["y_1"], first["y_2"], first["sample_end"]) == (4.0, 5.0, date(2000, 6, 1))
+
+
+def test_empty_demand_has_no_calendar(spark):
+    with pytest.raises(ValueError, match="empty"):
+        ops.pin_calendar(ops.window_calendar(long_frame(spark, {"a": [1]}).limit(0), CFG))

@@ -56,30 +56,32 @@ def window_hashes(words: Column, window: int = WINDOW) -> Column:
 def repeated_words(words: Column, hashes: Column, window: int = WINDOW) -> Column:
     """Words in windows that occur twice or more, all occurrences counted, each word once.
 
-    Windows are brought together by hash and compared word by word with their neighbours.
+    Windows are brought together by hash and compared word by word with their neighbours.  Arrays that
+    a lambda reads are bound first; as expressions they would be made again for every element.
     """
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("at"))))
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("at"))))
+    bound = F.array(F.struct(words.alias("words"), placed.alias("placed")))
 
-    def same(a: Column, b: Column) -> Column:
-        return (a["h"] == b["h"]) & (F.slice(words, a["at"], window) == F.slice(words, b["at"], window))
+    def count(t: Column) -> Column:
+        def same(a: Column, b: Column) -> Column:
+            equal = F.slice(t["words"], a["at"], window) == F.slice(t["words"], b["at"], window)
+            return F.coalesce((a["h"] == b["h"]) & equal, F.lit(False))
 
-    def neighbour(i: Column) -> Column:
-        here = F.get(placed, i)
-        return F.coalesce(same(here, F.get(placed, i - 1)), F.lit(False)) | F.coalesce(
-            same(here, F.get(placed, i + 1)), F.lit(False)
+        repeated = F.filter(
+            t["placed"],
+            lambda x, i: same(x, F.get(t["placed"], i - 1)) | same(x, F.get(t["placed"], i + 1)),
         )
+        covered = F.aggregate(
+            F.sort_array(F.transform(repeated, lambda x: x["at"])),
+            F.struct(F.lit(0).alias("reached"), F.lit(0).alias("n")),
+            lambda s, at: F.struct(
+                (at + window).alias("reached"),
+                (s["n"] + F.least(F.lit(window), at + window - s["reached"])).alias("n"),
+            ),
+        )
+        return covered["n"].cast("long")
 
-    repeated = F.filter(placed, lambda x, i: neighbour(i))
-    starts = F.sort_array(F.transform(repeated, lambda x: x["at"]))
-    covered = F.aggregate(
-        starts,
-        F.struct(F.lit(0).alias("reached"), F.lit(0).alias("n")),
-        lambda s, at: F.struct(
-            (at + window).alias("reached"),
-            (s["n"] + F.least(F.lit(window), at + window - s["reached"])).alias("n"),
-        ),
-    )
-    return covered["n"].cast("long")
+    return F.get(F.transform(bound, count), F.lit(0))
 
 
 def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -39,44 +39,53 @@ def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return trimmed.withColumn("k", F.xxhash64("line"))
 
 
-def _segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of each segment of a line of ``length`` characters; the last are the longer."""
+def _sized(lines: DataFrame, threshold: int, name: str) -> DataFrame:
+    """Lines (their hash as ``name``) with their length and, for it and every length down to the threshold, how segments are cut.
+
+    short_d is the length of a short segment of a line that is d characters shorter and first_long_d the
+    number of the first segment that is one longer.  They are columns, so each is evaluated once a line.
+    """
     parts = threshold + 1
-    short = F.floor(length / parts).cast("int")
-    first_long = F.lit(parts) - (length - short * parts)
-    return [
-        (F.lit(1) + short * i + F.greatest(F.lit(i) - first_long, F.lit(0)), short + (F.lit(i) >= first_long).cast("int"))
-        for i in range(parts)
-    ]
+    out = lines.select(F.col("k").alias(name), "line", F.char_length("line").alias("length"))
+    for shorter in range(parts):
+        target = F.col("length") - shorter
+        short = F.floor(target / parts).cast("int")
+        out = out.withColumn(f"short_{shorter}", short)
+        out = out.withColumn(f"first_long_{shorter}", F.lit(parts) - (target - F.col(f"short_{shorter}") * parts))
+    return out
+
 
+def _segment(shorter: int, number: int) -> tuple[Column, Column]:
+    """Start (from 1) and length of a segment of a line that is ``shorter`` characters shorter."""
+    short, first_long = F.col(f"short_{shorter}"), F.col(f"first_long_{shorter}")
+    start = F.lit(1) + short * number + F.greatest(F.lit(number) - first_long, F.lit(0))
+    return start, short + (F.lit(number) >= first_long).cast("int")
 
-def _key(line: Column, length: Column, number: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(number), F.substr(line, start, size))
 
+def _key(shorter: int, number: int, start: Column, size: Column) -> Column:
+    return F.xxhash64(F.col("length") - shorter, F.lit(number), F.substr("line", start, size))
 
-def index_rows(lines: DataFrame, threshold: int) -> DataFrame:
-    """(key, k): the segments of every line."""
-    length = F.char_length("line")
-    keys = [_key(F.col("line"), length, i, start, size) for i, (start, size) in enumerate(_segments(length, threshold))]
-    return lines.select("k", F.explode(F.array(*keys)).alias("key"))
 
+def index_rows(sized: DataFrame, threshold: int) -> DataFrame:
+    """(a, key): the segments of every line."""
+    keys = [_key(0, i, *_segment(0, i)) for i in range(threshold + 1)]
+    return sized.select("a", F.explode(F.array(*keys)).alias("key"))
 
-def probe_rows(lines: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """(key, k, same): the substrings to look up; ``same`` where the index line is of equal length."""
-    line, length = F.col("line"), F.char_length("line")
+
+def probe_rows(sized: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+    """(b, key, same): the substrings to look up; ``same`` where the index line is of equal length."""
     probes = []
     for shorter in range(threshold + 1):
-        target = length - shorter
-        for i, (start, size) in enumerate(_segments(target, threshold)):
+        for i in range(threshold + 1):
+            start, size = _segment(shorter, i)
             low = max(-i, shorter - (threshold - i))
             high = min(i, shorter + (threshold - i))
             for shift in range(low, high + 1):
                 at = start + shift
-                possible = (target >= min_chars) & (at >= 1) & (at + size - 1 <= length)
-                probe = F.struct(_key(line, target, i, at, size).alias("key"), F.lit(shorter == 0).alias("same"))
-                probes.append(F.when(possible, probe))
-    exploded = lines.select("k", F.explode(F.array_compact(F.array(*probes))).alias("p"))
-    return exploded.select("k", "p.key", "p.same")
+                possible = (F.col("length") - shorter >= min_chars) & (at >= 1) & (at + size - 1 <= F.col("length"))
+                key = F.when(possible, _key(shorter, i, at, size))
+                probes.append(F.struct(key.alias("key"), F.lit(shorter == 0).alias("same")))
+    return sized.select("b", F.inline(F.array(*probes))).where("key IS NOT NULL")
 
 
 def _letter_counts(line: Column) -> Column:
@@ -87,13 +96,15 @@ def candidates(lines: DataFrame, threshold: int, min_chars: int, hot_segment: in
     """(a, b): hashes of lines that share a segment; b is the longer or, at equal length, the larger."""
     long_lines = lines.where(F.char_length("line") >= min_chars)
     per_key = F.count("*").over(Window.partitionBy("key"))
-    index = index_rows(long_lines, threshold).select("key", F.col("k").alias("a")).withColumn("sharing", per_key)
-    probes = probe_rows(long_lines, threshold, min_chars).withColumnRenamed("k", "b")
+    # both branches below use the same columns of these two, so Spark deals each of them out once
+    index = index_rows(_sized(long_lines, threshold, "a"), threshold).withColumn("sharing", per_key)
+    probes = probe_rows(_sized(long_lines, threshold, "b"), threshold, min_chars)
     once = (F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b")))
     cold = index.where(F.col("sharing") <= hot_segment).join(probes, "key").where(once).select("a", "b")
 
     hot_index = index.where(F.col("sharing") > hot_segment).select("key", "a")
-    hot_probes = probes.join(hot_index.select("key").distinct(), "key", "left_semi")
+    shared = hot_index.withColumnRenamed("key", "hot_key")
+    hot_probes = probes.join(shared, (F.col("key") == F.col("hot_key")) & (F.col("a") != F.col("b")), "left_semi")
     counted = long_lines.select("k", _letter_counts(F.col("line")).alias("letters"))
     left = hot_index.join(counted.withColumnsRenamed({"k": "a", "letters": "letters_a"}), "a")
     right = hot_probes.join(counted.withColumnsRenamed({"k": "b", "letters": "letters_b"}), "b")
@@ -103,62 +114,65 @@ def candidates(lines: DataFrame, threshold: int, min_chars: int, hot_segment: in
 
 
 def within_distance(s: Column, r: Column, threshold: int) -> Column:
-    """Whether strings of 1 to threshold characters' difference in length are at most ``threshold`` edits apart.
+    """Whether two texts, ``s`` at most ``threshold`` characters the shorter, are that many edits apart.
 
     The band of 2 x threshold + 1 cells around the diagonal is one bit vector per character of ``r``
     (vertical differences of the distance matrix); the score follows the diagonal and then the last row.
-    ``s`` must not be longer than ``r``.
+    Arrays and vectors that a lambda reads are bound first, so each is made once.
     """
-    a, b = F.split(s, ""), F.split(r, "")
-    top = 1 << (WORD - 1)
-    full = (1 << WORD) - 1
-    m, n = F.char_length(s), F.char_length(r)
+    top, full = 1 << (WORD - 1), (1 << WORD) - 1
+    inverted = lambda x: x.bitwiseXOR(F.lit(full))
     start = F.struct(
         F.lit(full & ~((1 << (WORD - threshold - 1)) - 1)).cast("long").alias("vp"),
         F.lit(0).cast("long").alias("vn"),
         F.lit(threshold).alias("score"),
         F.lit(top >> 1).cast("long").alias("edge"),
     )
-    inverted = lambda x: x.bitwiseXOR(F.lit(full))
 
-    def step(state: Column, i: Column) -> Column:
-        # bit WORD - 1 stands for character i + threshold of s (from 0), lower bits for those before it
-        char = F.get(b, i)
-        match = F.lit(0).cast("long")
+    def matches(t: Column, i: Column) -> Column:
+        """Bit WORD - 1 stands for character i + threshold of s (from 0), lower bits for those before it."""
+        char, out = F.get(t["b"], i), F.lit(0).cast("long")
         for back in range(2 * threshold + 1):
-            same = F.get(a, i + (threshold - back)) == char
-            match = match.bitwiseOR(F.when(same, F.lit(top >> back).cast("long")).otherwise(F.lit(0).cast("long")))
-        return F.struct(state["vp"].alias("vp"), state["vn"].alias("vn"), state["score"].alias("score"), state["edge"].alias("edge"), match.alias("x"), i.alias("i"))
-
-    def advance(state: Column, i: Column) -> Column:
-        # each name is bound once, so the expression stays small
-        bound = F.transform(F.array(step(state, i)), _zero)
-        vertical = F.transform(bound, _horizontal)
-        return F.get(F.transform(vertical, _next), F.lit(0))
-
-    def _zero(t: Column) -> Column:
-        x, vp, vn = t["x"], t["vp"], t["vn"]
+            bit = F.when(F.get(t["a"], i + (threshold - back)) == char, F.lit(top >> back)).otherwise(F.lit(0))
+            out = out.bitwiseOR(bit.cast("long"))
+        return out
+
+    def passed(state: Column, *names: str) -> list[Column]:
+        return [state[n].alias(n) for n in names]
+
+    def diagonal(u: Column) -> Column:
+        x, vp, vn = u["x"], u["vp"], u["vn"]
         total = (x.bitwiseAND(vp) + vp).bitwiseAND(F.lit(full))
         d0 = total.bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn)
-        return F.struct(d0.alias("d0"), vp.alias("vp"), vn.alias("vn"), t["score"].alias("score"), t["edge"].alias("edge"), t["i"].alias("i"))
+        return F.struct(d0.alias("d0"), *passed(u, "vp", "vn", "score", "edge", "on"))
 
-    def _horizontal(t: Column) -> Column:
-        hp = t["vn"].bitwiseOR(inverted(t["d0"].bitwiseOR(t["vp"])))
-        hn = t["d0"].bitwiseAND(t["vp"])
-        return F.struct(hp.alias("hp"), hn.alias("hn"), F.shiftright(t["d0"], 1).alias("down"), t["d0"].alias("d0"), t["score"].alias("score"), t["edge"].alias("edge"), t["i"].alias("i"))
+    def horizontal(u: Column) -> Column:
+        hp = u["vn"].bitwiseOR(inverted(u["d0"].bitwiseOR(u["vp"])))
+        hn = u["d0"].bitwiseAND(u["vp"])
+        return F.struct(hp.alias("hp"), hn.alias("hn"), *passed(u, "d0", "score", "edge", "on"))
 
-    def _next(t: Column) -> Column:
-        on_diagonal = t["i"] < m - threshold
-        missed = (t["d0"].bitwiseAND(F.lit(top)) == 0).cast("int")
-        row = (t["hp"].bitwiseAND(t["edge"]) != 0).cast("int") - (t["hn"].bitwiseAND(t["edge"]) != 0).cast("int")
+    def vertical(u: Column) -> Column:
+        down = F.shiftright(u["d0"], 1)
+        missed = (u["d0"].bitwiseAND(F.lit(top)) == 0).cast("int")
+        row = (u["hp"].bitwiseAND(u["edge"]) != 0).cast("int") - (u["hn"].bitwiseAND(u["edge"]) != 0).cast("int")
         return F.struct(
-            t["hn"].bitwiseOR(inverted(t["down"].bitwiseOR(t["hp"]))).alias("vp"),
-            t["down"].bitwiseAND(t["hp"]).alias("vn"),
-            (t["score"] + F.when(on_diagonal, missed).otherwise(row)).alias("score"),
-            F.when(on_diagonal, t["edge"]).otherwise(F.shiftright(t["edge"], 1)).alias("edge"),
+            u["hn"].bitwiseOR(inverted(down.bitwiseOR(u["hp"]))).alias("vp"),
+            down.bitwiseAND(u["hp"]).alias("vn"),
+            (u["score"] + F.when(u["on"], missed).otherwise(row)).alias("score"),
+            F.when(u["on"], u["edge"]).otherwise(F.shiftright(u["edge"], 1)).alias("edge"),
         )
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), start, advance)["score"] <= threshold
+    def distance(t: Column) -> Column:
+        def advance(state: Column, i: Column) -> Column:
+            on = i < t["m"] - threshold
+            first = F.struct(matches(t, i).alias("x"), on.alias("on"), *passed(state, "vp", "vn", "score", "edge"))
+            steps = F.transform(F.transform(F.transform(F.array(first), diagonal), horizontal), vertical)
+            return F.get(steps, F.lit(0))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(t["b"]) - 1), start, advance)["score"]
+
+    texts = F.struct(F.split(s, "").alias("a"), F.split(r, "").alias("b"), F.char_length(s).alias("m"))
+    return F.get(F.transform(F.array(texts), distance), F.lit(0)) <= threshold
 
 
 def line_links(

@@ -49,7 +49,7 @@ SCRIPTS = (
 WORD = re.compile(r"[^\W\d_]+")
 GRAM_SIZES = (1, 2, 3)
 # words a task remembers
-CACHED_WORDS = 100_000
+CACHED_WORDS = 250_000
 
 
 @dataclass(frozen=True)
@@ -149,48 +149,56 @@ class Scorer:
     def __init__(self, model: LanguageModel) -> None:
         self.model = model
         self.n = len(model.languages)
+        self.place = {f: i for i, f in enumerate(model.logs)}
+        # one row per feature, then the row of unseen ones
+        rows = [*model.logs.values(), model.unseen]
+        self.logs = np.array(rows, dtype=np.float64).reshape(len(rows), self.n)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.scores, self.letters = array("f"), array("i")
 
-    def _word(self, word: str) -> int:
-        """Number of a word; -1 if it has no letter."""
-        number = self.known.get(word)
-        if number is not None:
-            return number
-        if not any(c.isalpha() for c in word):
-            number = -1
-        else:
-            number = len(self.letters)
-            self.scores.extend(self._score(word))
-            self.letters.append(len(word))
-        self.known[word] = number
-        return number
-
-    def _score(self, word: str) -> np.ndarray:
-        """Log-score by language, 0 for the best, not below the floor."""
-        logs, unseen = self.model.logs, self.model.unseen
-        first, *grams = word_features(word)
-        total = np.sum([logs.get(g, unseen) for g in grams], axis=0) / len(GRAM_SIZES)
-        if first in logs:
-            total = total + logs[first]
-        possible = self.model.candidates.get(script_of(word))
-        if possible is None or not any(possible):
-            return np.zeros(self.n)
-        total = total - total[list(possible)].max()
-        return np.where(possible, np.clip(total, self.model.cfg.floor, 0.0), self.model.cfg.floor)
+    def _learn(self, words: list[str]) -> None:
+        """Number new words; -1 for those without a letter."""
+        lettered = [w for w in words if any(c.isalpha() for c in w)]
+        self.known.update(dict.fromkeys(words, -1))
+        first = len(self.letters)
+        self.known.update({w: first + i for i, w in enumerate(lettered)})
+        self.letters.extend(map(len, lettered))
+        if lettered:
+            self.scores.frombytes(self._scores(lettered).astype(np.float32).tobytes())
+
+    def _scores(self, words: list[str]) -> np.ndarray:
+        """Log-scores by language, 0 for a word's best, not below the floor."""
+        get, unseen, floor = self.place.get, len(self.logs) - 1, self.model.cfg.floor
+        flat, counts, whole, possible = [], [], [], []
+        for word in words:
+            itself, *grams = word_features(word)
+            flat += [get(g, unseen) for g in grams]
+            counts.append(len(grams))
+            whole.append(get(itself, -1))
+            possible.append(self.model.candidates.get(script_of(word)) or (False,) * self.n)
+        starts = np.cumsum(counts) - counts
+        total = np.add.reduceat(self.logs[flat], starts, axis=0) / len(GRAM_SIZES)
+        known = np.array(whole)
+        total[known >= 0] += self.logs[known[known >= 0]]
+        allowed = np.array(possible, dtype=bool)
+        total[~allowed] = -np.inf
+        best = total.max(axis=1, initial=-np.inf, keepdims=True)
+        total = np.clip(np.where(allowed, total - np.where(np.isfinite(best), best, 0.0), floor), floor, 0.0)
+        # a script no language was learned in speaks for none
+        total[~allowed.any(axis=1)] = 0.0
+        return total
 
     def label(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """(language, share of letters, spans of (first word, word after the last, language)) per text."""
         if len(self.known) > CACHED_WORDS:
             self.clear()
-        get, word = self.known.get, self._word
-        numbers = []
-        for text in texts:
-            found = [n if (n := get(w)) is not None else word(w) for w in WORD.findall(text.lower())]
-            numbers.append(np.array(found, dtype=np.int64))
+        found = [WORD.findall(text.lower()) for text in texts]
+        self._learn(sorted(set().union(*found) - self.known.keys()))
+        number = self.known.__getitem__
+        numbers = [np.fromiter(map(number, words), dtype=np.int64, count=len(words)) for words in found]
         scores = np.frombuffer(self.scores, np.float32).reshape(-1, max(1, self.n))
         letters = np.frombuffer(self.letters, np.int32)
         return [self._label(n[n >= 0], scores, letters) for n in numbers]

@@ -58,7 +58,7 @@ def test_shortcut_agrees_with_the_path(language_model):
     for _ in range(60):
         text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 40)))
         (lang, _, spans), = scorer.label([text])
-        s = np.array([scorer._score(w) for w in language_id.WORD.findall(text.lower())])
+        s = scorer._scores(language_id.WORD.findall(text.lower()))
         worth = lambda sp: sum(s[a:b, language_model.languages.index(k) if isinstance(k, str) else k].sum() for a, b, k in sp) - 16 * (len(sp) - 1)
         assert worth(spans) == pytest.approx(worth(language_id.best_path(s, 16.0)), abs=1e-3)
 

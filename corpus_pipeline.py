@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
 of documents; the last one returns digests of the piece ids.  ``run`` writes each stage's rows as Parquet in the
 shared folder and rereads them, so a lost executor never costs more than one stage.
 
-Rows are kept or dropped by id: rows that repeat an id with equal texts stay or go together, null ids
-are compared like values, and every other column passes through.  An empty table passes as one.
+Every row is judged by itself, also where its id is repeated or null: a toxic row goes whatever rows share
+its id, and of each group of copies one row stays.  Every column passes through; an empty table passes as one.
 """
 
 from __future__ import annotations
@@ -13,33 +13,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import exact_dedup, mixing, queries, simhash
+from demandloom.llm import exact_dedup, mixing, queries, simhash, toxicity
 from demandloom.plans.storage import scratch_path
 
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, kept_ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept_ids`` (null ids match null)."""
-    ids = kept_ids.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator doesn't reject."""
-    scores = queries.toxic_scores(docs, queries.table(spark, sf_dir, "labels"))
-    return _only(docs, scores.where("predicted = 0"))
+    model = queries.toxic_model(docs, queries.table(spark, sf_dir, "labels"))
+    return toxicity.rows_below(docs, model, queries.TOXIC_FROM)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return _only(docs, exact_dedup.exact_duplicates(docs).where("kept"))
+    return exact_dedup.distinct_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component (shingles of 3 words, 2 bits)."""
-    found = simhash.near_duplicates(docs, shingle=3, distance=2)
-    return _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return simhash.distinct_rows(docs, shingle=3, distance=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

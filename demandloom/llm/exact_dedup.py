@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.llm.kept_rows import rows_at
 from demandloom.plans.storage import cut_lineage
 
 WHITE_RUN = r"[\x20\x09-\x0D]+"
@@ -168,6 +169,11 @@ def content_groups(hashed: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFra
     return folded.repartition("digest").mapInArrow(_reduce_side(table_bytes), RECORDS)
 
 
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("norm"))
+    return slim.select("doc_id", F.sha2("norm", 256).alias("digest"), F.col("norm").cast("binary").alias("content"))
+
+
 def exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES
 ) -> DataFrame:
@@ -178,9 +184,7 @@ def exact_duplicates(
     group is kept, also where the smallest id is repeated or null.  Other columns of ``docs`` are not
     read.  An empty table gives no rows.
     """
-    norm = normalised(text_col)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm"))
-    hashed = slim.select("doc_id", F.sha2("norm", 256).alias("digest"), F.col("norm").cast("binary").alias("content"))
+    hashed = _hashed(docs, id_col, text_col)
     groups = cut_lineage(content_groups(hashed, table_bytes))
     n_shared, n_tied = groups.agg(
         F.count("content"), F.count_if((F.col("n_first") > 1) | F.col("first_id").isNull())
@@ -217,3 +221,14 @@ def _one_of_tied(rows: DataFrame, with_content: bool) -> DataFrame:
         on = on & F.col("same").eqNullSafe(F.col("content"))
     kept = F.col("kept") & (F.col("slot") == F.col("first_slot"))
     return rows.join(first, on, "left").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def distinct_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES
+) -> DataFrame:
+    """One whole row of ``docs`` for each group of :func:`exact_duplicates`: one that has the smallest id."""
+    groups = cut_lineage(content_groups(_hashed(docs, id_col, text_col), table_bytes))
+    norm = normalised(text_col)
+    content = None if groups.where("content IS NOT NULL").isEmpty() else norm.cast("binary")
+    kept = groups.select("first_id", "digest", F.col("n_first").alias("n_rows"), "content")
+    return rows_at(docs, kept, F.sha2(norm, 256), content, id_col)

@@ -44,13 +44,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def toxic_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    """Learned from the labelled rows outside the held-out fold."""
+    cfg = toxicity.FTRLConfig()
+    outside = toxicity.fold("doc_id", TOXIC_FOLDS) != TOXIC_HELD_OUT
+    known = labels.where(outside).select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.train(toxicity.labelled_sample(docs, known, cfg.max_rows), cfg)
+
+
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted), learned from the labelled rows outside the held-out fold."""
+    """(doc_id, held_out, score, predicted) of every row."""
     fold = toxicity.fold("doc_id", TOXIC_FOLDS)
-    cfg = toxicity.FTRLConfig()
-    known = labels.where(fold != TOXIC_HELD_OUT).select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.train(toxicity.labelled_sample(docs, known, cfg.max_rows), cfg)
-    return toxicity.score(docs, model).select(
+    return toxicity.score(docs, toxic_model(docs, labels)).select(
         "doc_id",
         F.coalesce(fold == TOXIC_HELD_OUT, F.lit(False)).alias("held_out"),
         "score",

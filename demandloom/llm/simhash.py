@@ -14,15 +14,17 @@ whose shared coarse key is cold meets there, and otherwise both of its members a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from demandloom.llm.components import connected_components
+from demandloom.llm.kept_rows import rows_at
 from demandloom.plans.storage import cut_lineage
 
 BITS = 64
@@ -54,8 +56,10 @@ def text_fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint): one row per row of ``docs``, the 64 bits as a long.
+def fingerprints(
+    docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", carried: Sequence[str] = ()
+) -> DataFrame:
+    """(doc_id, fingerprint, *carried): one row per row of ``docs``, the 64 bits as a long.
 
     Words are runs outside ASCII white space, A-Z lower-cased; texts of fewer words than a shingle are
     hashed whole; null and wordless texts have fingerprint zero.  Repeated rows and null ids stay.
@@ -65,10 +69,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
         for batch in batches:
             marks = [text_fingerprint(t.as_py() or b"", shingle) for t in batch.column(1)]
             signed = pa.array(np.array(marks, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed], ["doc_id", "fingerprint"])
+            columns = [batch.column(0), signed, *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fingerprint", *carried])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fingerprint long")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *carried)
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "fingerprint")])
+    return slim.mapInArrow(run, T.StructType([*schema, *(slim.schema[c] for c in carried)]))
 
 
 def _signed(mask: int) -> int:
@@ -119,10 +125,33 @@ def near_duplicates(
     """
     rows = cut_lineage(fingerprints(docs, shingle, id_col, text_col))
     prints = cut_lineage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("smallest")))
-    roots = connected_components(fingerprint_links(prints.select("fingerprint"), distance))
-    rooted = prints.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", F.coalesce("root", "fingerprint").alias("root"), "smallest"
-    )
+    rooted = _rooted(prints, distance)
     smallest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     labels = rooted.join(smallest, "root").select("fingerprint", "component_id")
     return rows.join(labels, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def _rooted(prints: DataFrame, distance: int) -> DataFrame:
+    """(fingerprint, root, smallest) of ``prints(fingerprint, smallest)``: root names the component."""
+    roots = connected_components(fingerprint_links(prints.select("fingerprint"), distance))
+    return prints.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
+        "fingerprint", F.coalesce("root", "fingerprint").alias("root"), "smallest"
+    )
+
+
+def distinct_rows(
+    docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One whole row of ``docs`` for each component of :func:`near_duplicates`.
+
+    It has the smallest id (null only where all are), of several texts under it the one with the least digest.
+    """
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    rows = fingerprints(docs.withColumn("_digest", digest), shingle, id_col, text_col, ["_digest"])
+    # equal ids and texts are folded map-side; no row is gathered
+    counted = cut_lineage(rows.groupBy("fingerprint", "doc_id", "_digest").agg(F.count("*").alias("n_rows")))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_digest", "n_rows")
+    prints = cut_lineage(counted.groupBy("fingerprint").agg(F.min(place).alias("smallest")))
+    firsts = _rooted(prints, distance).groupBy("root").agg(F.min("smallest").alias("first"))
+    kept = firsts.select(F.col("first.doc_id").alias("first_id"), F.col("first._digest").alias("digest"), "first.n_rows")
+    return rows_at(docs, kept, digest, id_col=id_col)

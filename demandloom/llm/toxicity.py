@@ -200,6 +200,20 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     return slim.mapInArrow(run, "doc_id long, score double")
 
 
+def rows_below(docs: DataFrame, model: ToxicityModel, limit: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose own score is below ``limit``, all columns unchanged; no row is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = dense_table(model)
+        for batch in batches:
+            for part, texts in text_slices(batch, at):
+                scores = score_texts([(t or "").encode() for t in texts], model, table)
+                yield part.filter(pa.array(scores < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(id_col: str, folds: int) -> Column:
     """Fold of a document: CRC-32 of its id as text."""
     return F.crc32(F.col(id_col).cast("string")) % folds

@@ -191,3 +191,25 @@ def test_stages_take_odd_rows_and_empty_tables(spark, docs):
         for _, stage in corpus_pipeline.STAGES:
             frame = stage(spark, frame, SF)
         assert frame.count() <= 3 * len(rows)
+
+
+def test_stages_judge_rows_not_ids(spark, docs):
+    """Repeated and null ids: a toxic row goes beside a clean one of its id, one copy of each text stays."""
+    rejected = {r.doc_id for r in run(spark, "op5_toxicity") if r.predicted}
+    toxic = [docs[i].text for i in sorted(rejected)[:3]]
+    clean = [docs[i].text for i in sorted(set(docs) - rejected)[:4]]
+    base = queries.table(spark, SF, "documents")
+    added = [(-1, toxic[0]), (-1, clean[0]), (-2, clean[1]), (-2, clean[1]), (None, toxic[1]), (None, clean[2])]
+    added += [(None, clean[3]), (None, clean[3]), (-3, clean[3]), (-1, toxic[2])]
+    named = [{"doc_id": i, "text": t} for i, t in added]
+    extra = spark.createDataFrame([tuple(d.get(c) for c in base.columns) for d in named], base.schema)
+    # the added rows alone pass the stages; the model still learns from the labelled ones
+    left = corpus_pipeline.drop_toxic(spark, base.unionByName(extra), SF).where("doc_id IS NULL OR doc_id < 0")
+    assert sorted(r.text for r in left.collect()) == sorted(t for _, t in added if t not in toxic)
+    exact = corpus_pipeline.drop_exact_copies(spark, left, SF)
+    assert exact.columns == base.columns
+    assert sorted(normal(r.text) for r in exact.collect()) == sorted(map(normal, clean))
+    near = corpus_pipeline.drop_near_copies(spark, left, SF)
+    prints = {fingerprint(r.text) for r in left.collect()}
+    root = {f: min(g for g in prints if bin(f ^ g).count("1") <= 2) for f in prints}
+    assert near.count() == len(set(root.values()))

@@ -5,10 +5,11 @@ sees one row per pattern (``max_patterns`` at most) and routes word capacity fro
 quotas.  Taking a pattern again costs more each time (0, 1, 2, ...), so quotas are met with as little
 repetition as possible.  Every pattern then takes whole passes over its documents and a rest.
 
-The rest is chosen by a hash of seed, id and text: the documents up to a threshold hash, plus one or
-two that fit what is still missing.  The threshold is found from sums by hash bucket and a running sum
+The rest is chosen by a hash of seed, id and text: the documents up to a threshold hash.  Those larger
+than what is then missing are left out and the next ones up to a higher threshold are taken, again
+until no untaken document fits.  A threshold is found from sums by hash bucket and a running sum
 inside one bucket, so no pattern's documents are ordered in one place; and since the choice is a
-condition on the hash, it is applied to the documents without a join on ids.
+condition on hash and size, it is applied to the documents without a join on ids.
 """
 
 from __future__ import annotations
@@ -30,8 +31,7 @@ SEED = 20
 MAX_REPEATS = 3
 # documents a hash bucket holds on average
 BUCKET_ROWS = 2048
-# single documents added to close the gap below the threshold
-FILL_ROUNDS = 2
+WORDS = r"[^\x20\x09-\x0D]+"
 
 Source = str | None
 
@@ -158,17 +158,24 @@ PLAN = T.StructType(
         T.StructField("pattern", T.ArrayType(T.StringType())),
         T.StructField("passes", T.LongType()),
         T.StructField("last_h", T.LongType()),
-        T.StructField("picks", T.ArrayType(T.LongType())),
+        T.StructField(
+            "fills", T.ArrayType(T.StructType([T.StructField("last_h", T.LongType()), T.StructField("limit", T.LongType())]))
+        ),
     ]
 )
 
 
 @dataclass(frozen=True)
 class MixPlan:
-    """What a mix takes: quotas by source, and by pattern whole passes, threshold and picked hashes."""
+    """What a mix takes: quotas by source, and by pattern whole passes, a threshold hash and fills.
+
+    A fill is a further threshold with the most words a document under it may have.  ``units`` has (pattern, h,
+    unit), the words of all rows under one hash, for hashes of several rows; None if there are none.
+    """
 
     quotas: dict[Source, Quota]
     choice: DataFrame
+    units: DataFrame | None = None
 
 
 def _bounded(rows: DataFrame, most: int, what: str) -> list:
@@ -198,14 +205,36 @@ def plan_mix(
     passes = {k: words[k] // s if s else 0 for k, s in patterns.items()}
     rest = {k: words[k] - passes[k] * s for k, s in patterns.items()}
     bits = min(24, max(0, math.ceil(math.log2(max(1, sum(r["n"] for r in totals)) / BUCKET_ROWS))))
-    last, left = _thresholds(rows, rest, bits)
-    picks: dict[tuple, list[int]] = {k: [] for k in patterns}
-    for _ in range(FILL_ROUNDS):
-        for key, size, h in _best_fits(rows, last, left, picks):
-            picks[key].append(h)
-            left[key] -= size
-    choice = [(list(k), passes[k], last[k], picks[k]) for k in patterns]
-    return MixPlan(quotas, spark.createDataFrame(choice, PLAN))
+    first = _prefixes(rows.withColumn("unit", F.col("size")), rest, bits)
+    last = {k: first[k][0] if k in first else None for k in patterns}
+    left = {k: rest[k] - (first[k][1] if k in first else 0) for k in patterns}
+    missing = {k: v for k, v in left.items() if v > 0}
+    units = _shared_hashes(rows) if missing else None
+    spare = _with_units(rows, units).where("size > 0")
+    fills: dict[tuple, list[tuple[int, int]]] = {k: [] for k in patterns}
+    reached = dict(last)
+    while missing:
+        taken = _prefixes(spare, missing, bits, reached)
+        for key, (h, words) in taken.items():
+            fills[key].append((h, missing[key]))
+            reached[key] = h
+        missing = {k: missing[k] - words for k, (_, words) in taken.items() if missing[k] > words}
+    choice = [(list(k), passes[k], last[k], fills[k]) for k in patterns]
+    return MixPlan(quotas, spark.createDataFrame(choice, PLAN), units)
+
+
+def _shared_hashes(rows: DataFrame) -> DataFrame | None:
+    """(pattern, h, unit): the words of all rows under one hash, where several rows have it."""
+    groups = rows.groupBy("pattern", "h").agg(F.sum("size").alias("unit"), F.count("*").alias("n"))
+    units = cut_lineage(groups.where("n > 1").select("pattern", "h", "unit"))
+    return None if units.isEmpty() else units
+
+
+def _with_units(rows: DataFrame, units: DataFrame | None) -> DataFrame:
+    """``rows`` with ``unit``: the words taken when a row is, those of its copies included."""
+    if units is None:
+        return rows.withColumn("unit", F.col("size"))
+    return rows.join(units, ["pattern", "h"], "left").withColumn("unit", F.coalesce("unit", "size"))
 
 
 def _small(spark, values: dict, name: str) -> DataFrame:
@@ -213,67 +242,54 @@ def _small(spark, values: dict, name: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(list(k), v) for k, v in values.items()], schema))
 
 
-def _thresholds(rows: DataFrame, rest: dict, bits: int) -> tuple[dict, dict]:
-    """By pattern the greatest hash still taken (None: none), and the words missing below ``rest``.
+def _prefixes(rows: DataFrame, rest: dict, bits: int, after: dict | None = None) -> dict:
+    """By pattern the last hash and the words of the longest run of rows, in hash order, within ``rest``.
 
-    Rows with equal hashes (same id and text) are taken together or not at all.
+    Rows with equal hashes (same id and text) are taken together or not at all.  With ``after`` only rows
+    beyond that hash whose unit fits into ``rest`` count.  Patterns without such rows are left out.
     """
-    asked = rows.join(_small(rows.sparkSession, rest, "rest"), "pattern").where("rest > 0")
+    spark = rows.sparkSession
+    asked = rows.join(_small(spark, rest, "rest"), "pattern").where("rest > 0")
+    if after is not None:
+        asked = asked.join(_small(spark, {k: after[k] for k in rest}, "after"), "pattern")
+        asked = asked.where("unit <= rest AND (after IS NULL OR h > after)")
     bucket = F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("long")
     asked = asked.withColumn("bucket", bucket)
-    sums = asked.groupBy("pattern", "rest", "bucket").agg(F.sum("size").alias("s"))
+    sums = asked.groupBy("pattern", "rest", "bucket").agg(F.sum("size").alias("s"), F.max("h").alias("top"))
     before = F.sum("s").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("s")
-    edge = sums.withColumn("before", before).where("before <= rest AND rest < before + s")
-    edges = {tuple(r["pattern"]): r for r in edge.collect()}
-
-    at = _small(rows.sparkSession, {k: r["bucket"] for k, r in edges.items()}, "edge")
-    start = _small(rows.sparkSession, {k: r["before"] for k, r in edges.items()}, "before")
+    whole = F.col("before") + F.col("s") <= F.col("rest")
+    ends = sums.withColumn("before", before).where("before <= rest").groupBy("pattern").agg(
+        F.max(F.when(whole, F.col("top"))).alias("top"),
+        F.coalesce(F.sum(F.when(whole, F.col("s"))), F.lit(0)).alias("sum"),
+        F.max(F.when(~whole, F.col("bucket"))).alias("edge"),
+    )
+    ends = {tuple(r["pattern"]): r for r in ends.collect()}
+    found = {k: (r["top"], r["sum"]) for k, r in ends.items() if r["top"] is not None}
+    edges = {k: r for k, r in ends.items() if r["edge"] is not None}
+    if not edges:
+        return found
+
+    at = _small(spark, {k: r["edge"] for k, r in edges.items()}, "edge")
+    start = _small(spark, {k: r["sum"] for k, r in edges.items()}, "before")
     inside = asked.join(at, "pattern").where("bucket = edge").join(start, "pattern")
     running = F.col("before") + F.sum("size").over(Window.partitionBy("pattern").orderBy("h"))
     taken = inside.withColumn("running", running).where("running <= rest")
-    found = {
-        tuple(r["pattern"]): r
-        for r in taken.groupBy("pattern").agg(F.max("h").alias("h"), F.max("running").alias("sum")).collect()
-    }
-    last, left = {}, {}
-    for key, words in rest.items():
-        if key in found:
-            last[key], left[key] = found[key]["h"], words - found[key]["sum"]
-        elif key in edges:
-            # the first hash of the bucket is already too much: everything in the buckets before it
-            low = edges[key]["bucket"] << (64 - bits) if bits else -(1 << 63)
-            last[key], left[key] = (low - 1 if low > -(1 << 63) else None), words - edges[key]["before"]
-        else:
-            last[key], left[key] = None, words
-    return last, left
-
-
-def _best_fits(rows: DataFrame, last: dict, left: dict, picks: dict) -> Iterator[tuple]:
-    """By pattern the largest untaken document (rows of one hash together) that fits into what is missing."""
-    spark = rows.sparkSession
-    missing = {k: v for k, v in left.items() if v > 0}
-    if not missing:
-        return
-    state = [(list(k), v, last[k], picks[k]) for k, v in missing.items()]
-    schema = T.StructType([PLAN["pattern"], T.StructField("missing", T.LongType()), PLAN["last_h"], PLAN["picks"]])
-    untaken = F.col("last_h").isNull() | (F.col("h") > F.col("last_h"))
-    open_ = rows.join(F.broadcast(spark.createDataFrame(state, schema)), "pattern").where(
-        untaken & (F.col("size") > 0) & (F.col("size") <= F.col("missing")) & ~F.array_contains("picks", F.col("h"))
-    )
-    units = open_.groupBy("pattern", "h", "missing").agg(F.sum("size").alias("size")).where("size <= missing")
-    for r in units.groupBy("pattern").agg(F.max(F.struct("size", "h")).alias("best")).collect():
-        yield tuple(r["pattern"]), r["best"]["size"], r["best"]["h"]
+    for r in taken.groupBy("pattern").agg(F.max("h").alias("h"), F.max("running").alias("sum")).collect():
+        found[tuple(r["pattern"])] = (r["h"], r["sum"])
+    return found
 
 
-def repeats(plan: MixPlan) -> Column:
-    """How often a row is taken, from the columns of the plan's choice and the row's ``h``."""
-    chosen = (F.col("h") <= F.col("last_h")) | F.array_contains("picks", F.col("h"))
+def repeats(unit: Column) -> Column:
+    """How often a row is taken, from the columns of the plan's choice, the row's ``h`` and its unit of words."""
+    fits = F.exists("fills", lambda f: (F.col("h") <= f["last_h"]) & (unit <= f["limit"]))
+    chosen = (F.col("h") <= F.col("last_h")) | ((unit > 0) & fits)
     return F.col("passes") + F.coalesce(chosen, F.lit(False)).cast("long")
 
 
 def mixed_sizes(rows: DataFrame, plan: MixPlan) -> DataFrame:
     """(doc_id, pattern, size, repeats, taken) for every row of ``rows``; taken counts repeats."""
-    joined = rows.join(F.broadcast(plan.choice), "pattern").withColumn("repeats", repeats(plan))
+    joined = _with_units(rows, plan.units).join(F.broadcast(plan.choice), "pattern")
+    joined = joined.withColumn("repeats", repeats(F.col("unit")))
     return joined.select("doc_id", "pattern", "size", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
@@ -283,7 +299,13 @@ def mixed_documents(
     """The rows of ``docs`` as often as the mix takes them, columns unchanged; no text is shuffled."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     keyed = docs.select(row, pattern_of(memberships).alias("pattern"), order_hash(id_col, text_col, seed).alias("h"))
-    joined = keyed.join(F.broadcast(plan.choice), "pattern").withColumn("repeats", repeats(plan))
+    joined = keyed.join(F.broadcast(plan.choice), "pattern")
+    # words are counted only between the threshold and the last fill
+    near = F.col("h") <= F.get("fills", F.size("fills") - 1)["last_h"]
+    own = F.coalesce(F.size(F.regexp_extract_all(F.col(f"row.`{text_col}`"), F.lit(WORDS), F.lit(0))), F.lit(0)).cast("long")
+    counted = F.when(near & (F.col("last_h").isNull() | (F.col("h") > F.col("last_h"))), own).alias("size")
+    joined = joined.select("*", counted)
+    joined = _with_units(joined, plan.units).withColumn("repeats", repeats(F.col("unit")))
     taken = joined.where("repeats > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
     return taken.select("row.*")
 

@@ -72,3 +72,27 @@ def test_too_many_patterns_are_an_error(make_docs):
     rows = mixing.sized(make_docs(corpus(8)), F.array("source"), 1)
     with pytest.raises(ValueError, match="patterns"):
         mixing.plan_mix(rows, max_patterns=3)
+
+
+def test_no_untaken_document_fits_what_is_missing(make_docs):
+    """Sources with one document of half their words, and repeated rows; also as documents."""
+    rows = []
+    for n in range(8):
+        sizes = [1500] + [20 + (i * 37 + n) % 40 for i in range(40)]
+        rows += [(100 * n + i, " ".join(["w"] * size) + f"\n{i}", None, f"s{n}") for i, size in enumerate(sizes)]
+        rows += [rows[-1], rows[-1], rows[-2]]
+    docs = make_docs(rows)
+    sized, plan = mixing.mix(docs, F.array("source"))
+    taken = mixing.mixed_sizes(sized, plan).collect()
+    copies = {}
+    for r in taken:
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + r["size"]
+    for (name,), q in ((("s%d" % n,), plan.quotas["s%d" % n]) for n in range(8)):
+        own = [r for r in taken if tuple(r.pattern) == (name,)]
+        passes = min(r.repeats for r in own)
+        missing = round(q.target) - sum(r.taken for r in own)
+        assert missing >= 0
+        assert all(copies[r.doc_id] > missing for r in own if r.repeats == passes and r.repeats < 3)
+    want = {r.doc_id: sum(x.repeats for x in taken if x.doc_id == r.doc_id) for r in taken if r.repeats}
+    found = mixing.mixed_documents(docs, F.array("source"), plan).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in found} == want

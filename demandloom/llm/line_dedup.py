@@ -23,8 +23,10 @@ from demandloom.plans.storage import cut_lineage
 
 WHITE_CHARS = " \t\n\x0b\x0c\r"
 THRESHOLD = 2
-# shorter lines are only compared for equality
+# shorter lines are only compared for equality, unless a caller asks for less
 MIN_CHARS = 24
+# the shortest lines the band can compare
+SHORTEST = 2 * THRESHOLD + 2
 # index lines of one segment before letter counts are tested
 HOT_SEGMENT = 64
 COUNTED_LETTERS = ("a", "e", "i", "o", "n", "r", "s", "t")

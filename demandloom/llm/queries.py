@@ -157,4 +157,4 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.near_duplicate_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.near_duplicate_lines(table(spark, sf_dir, "documents"), min_chars=line_dedup.SHORTEST)

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from conftest import as_rows
 from samples import make_docs, odd_rows  # noqa: F401
-from demandloom.llm import line_dedup
+from demandloom.llm import line_dedup, queries
 from pyspark.sql import functions as F
 
 
@@ -94,3 +94,30 @@ def test_documents_keep_first_places(make_docs, odd_rows):
 
 def test_no_documents(make_docs):
     assert line_dedup.near_duplicate_lines(make_docs([])).count() == 0
+
+
+def short_lines(rng, n):
+    base = ["".join(rng.choice("abcdefghé") for _ in range(size)) for size in (4, 6, 7, 8, 9, 11, 14, 18, 22, 25)]
+    return sorted({mutated(rng, rng.choice(base), rng.randrange(4)) for _ in range(n)} - {""})
+
+
+def test_links_of_short_lines_equal_brute_force(spark):
+    lines = short_lines(random.Random(13), 200)
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, line_no int, line string")
+    rows = rows.withColumn("k", F.xxhash64("line"))
+    key = {r.k: r.line for r in rows.collect()}
+    long_enough = [x for x in lines if len(x) >= line_dedup.SHORTEST]
+    want = {frozenset((a, b)) for a in long_enough for b in long_enough if a < b and edits(a, b) <= 2}
+    assert {len(x) for pair in want for x in pair} >= set(range(6, 24, 2))
+    for hot in (64, 2):
+        links = line_dedup.line_links(rows, min_chars=line_dedup.SHORTEST, hot_segment=hot)
+        found = [frozenset((key[a], key[b])) for a, b in as_rows(links, "a", "b")]
+        assert len(found) == len(set(found))
+        assert set(found) == want
+
+
+def test_the_query_links_short_lines(spark, tmp_path):
+    rows = [(1, "Read more\nHome"), (2, "Read more!\nContact us today"), (3, "Reed mores")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: (r.n_near, r.n_links, r.removed) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {1: (0, 2, []), 2: (1, 2, [0]), 3: (1, 2, [0])}

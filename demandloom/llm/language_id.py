@@ -23,8 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from demandloom.llm.batches import text_slices
+from demandloom.plans.storage import cut_lineage
 
 UNDETERMINED = "und"
 # fixed values: first and last code point of the letters of each script
@@ -56,9 +58,9 @@ CACHED_WORDS = 250_000
 class LanguageConfig:
     """``max_rows`` bounds the rows learned from, ``max_features`` the words and n-grams kept.
 
-    ``switch_penalty`` is the log-score a change of language costs, ``floor`` the most one word can
-    speak against a language, ``script_share`` the share of a script's words that makes a language a
-    candidate for it.
+    Both are shared evenly by the languages, however rare one is in the corpus.  ``switch_penalty`` is the
+    log-score a change of language costs, ``floor`` the most one word can speak against a language,
+    ``script_share`` the share of a language's words that makes it a candidate for their script.
     """
 
     max_rows: int = 10_000
@@ -117,29 +119,53 @@ def _counted(sample: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "feature").agg(F.sum("n").alias("n"))
 
 
+def _chosen(ids: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of ``ids(doc_id, lang)``, shared by the languages as evenly as their sizes allow."""
+    sizes = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}
+    quotas, left = {}, most
+    for i, (lang, size) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        quotas[lang] = min(size, left // (len(sizes) - i))
+        left -= quotas[lang]
+    # below the bound a language has its quota of ids and a margin, so what is ranked stays small
+    state = [(k, q, min(1.0, (q + 6 * q**0.5 + 20) / sizes[k])) for k, q in quotas.items()]
+    quota = ids.sparkSession.createDataFrame(state, "of string, quota long, bound double")
+    place = F.xxhash64(F.lit(2), "doc_id").bitwiseAND(F.lit((1 << 63) - 1))
+    near = ids.withColumn("place", place).join(F.broadcast(quota), F.col("lang") == F.col("of"))
+    near = near.where(F.col("place") <= F.col("bound") * float(1 << 63))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    return near.withColumn("rank", rank).where("rank <= quota").select("doc_id", "lang")
+
+
 def train(
     docs: DataFrame, cfg: LanguageConfig = LanguageConfig(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> LanguageModel:
-    """Learn from at most ``max_rows`` rows of ``docs`` that have a language, chosen by a hash of the id."""
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL")
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id").limit(cfg.max_rows)
+    """Learn from at most ``max_rows`` ids of ``docs`` that have a language, chosen by a hash within each language."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    slim = slim.where("lang IS NOT NULL")
+    chosen = _chosen(slim.select("doc_id", "lang").distinct(), cfg.max_rows).withColumnRenamed("lang", "of")
     # bounded by max_rows
-    sample = slim.where("lang IS NOT NULL").join(F.broadcast(chosen), slim["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
-    table = _counted(sample).groupBy("feature").agg(
-        F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"), F.sum("n").alias("total")
+    same = slim["doc_id"].eqNullSafe(chosen["doc_id"]) & (F.col("lang") == F.col("of"))
+    sample = slim.join(F.broadcast(chosen), same, "left_semi")
+    # the table of a bounded sample
+    counted = cut_lineage(_counted(sample))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "feature"))
+    table = counted.where("feature NOT LIKE '@%'").withColumn("rank", rank).groupBy("feature").agg(
+        F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"), F.min("rank").alias("rank")
     )
-    rows = table.orderBy(F.desc("total"), "feature").limit(cfg.max_features).collect()
+    rows = table.orderBy("rank", "feature").limit(cfg.max_features).collect()
+    scripts: dict[str, dict[str, int]] = {}
+    for r in counted.where("feature LIKE '@%'").collect():
+        scripts.setdefault(r["feature"][1:], {})[r["lang"]] = r["n"]
     languages = tuple(sorted({lang for r in rows for lang in r["by_lang"]}))
     counts = {r["feature"]: np.array([r["by_lang"].get(x, 0) for x in languages], float) for r in rows}
     words = np.sum([c for f, c in counts.items() if f[0] == "="], axis=0) if counts else np.zeros(0)
     size = max(1, len(counts))
     # half a count for what a language has not shown
     scale = np.log(words + 0.5 * size) if counts else np.zeros(0)
-    logs = {f: tuple(np.log(c + 0.5) - scale) for f, c in counts.items() if f[0] != "@"}
-    candidates = {
-        f[1:]: tuple(c >= cfg.script_share * c.sum()) for f, c in counts.items() if f[0] == "@"
-    }
+    logs = {f: tuple(np.log(c + 0.5) - scale) for f, c in counts.items()}
+    by_script = {s: np.array([by_lang.get(x, 0) for x in languages], float) for s, by_lang in scripts.items()}
+    own = np.sum(list(by_script.values()), axis=0) if by_script else np.zeros(len(languages))
+    candidates = {s: tuple((c > 0) & (c >= cfg.script_share * own)) for s, c in by_script.items()}
     return LanguageModel(languages, cfg, logs, tuple(np.log(0.5) - scale), candidates)
 
 

@@ -89,6 +89,17 @@ def test_nothing_to_learn_from(make_docs):
     assert language_id.identify(make_docs([]), model).count() == 0
 
 
+def test_a_rare_language_is_learned_beside_a_hot_one(make_docs):
+    rng = random.Random(6)
+    speak = lambda lang: " ".join(rng.choice(SAMPLES[lang].split()) for _ in range(40))
+    rows = [(i, speak("en"), "en") for i in range(3000)] + [(9000 + i, speak("fr"), "fr") for i in range(3)]
+    asked = make_docs([(1, SAMPLES["fr"]), (2, SAMPLES["en"])])
+    for cfg in (language_id.LanguageConfig(), language_id.LanguageConfig(max_rows=40, max_features=400)):
+        model = language_id.train(make_docs(rows), cfg)
+        assert len(model.logs) <= cfg.max_features
+        assert {r.doc_id: r.lang_pred for r in language_id.identify(asked, model).collect()} == {1: "fr", 2: "en"}
+
+
 # ---- licenses
 
 PHRASES = [p for p, _ in license_scan.BASE_PHRASES]

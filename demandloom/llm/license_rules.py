@@ -183,8 +183,8 @@ _WRITTEN = (
     ("freetype", r"freetype(?: project)? license", "ftl", EXACT, 0.9),
     ("ijg license", r"ijg license", "ijg", EXACT, 0.9),
     ("independent jpeg group", r"based in part on the work of the independent jpeg group", "ijg", EXACT, 0.95),
-    ("licensed under", r"licensed under (?:the )?", "licensed", HINT, 0.3),
-    ("released under", r"released under (?:the )?(?:terms of )?", "licensed", HINT, 0.2),
+    ("licensed under", r"licensed under(?: the)?", "licensed", HINT, 0.3),
+    ("released under", r"released under(?: the)?(?: terms of)?", "licensed", HINT, 0.2),
     ("licensed to", r"licensed to the apache software foundation", "apache", EXACT, 1.0),
     ("license agreement", r"licen[cs]e agreement", "eula", HINT, 0.4),
     ("see the license", r"see the license for the specific language governing permissions", "apache", EXACT, 0.95),

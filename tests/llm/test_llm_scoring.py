@@ -263,3 +263,36 @@ def test_hidden_columns_do_not_matter(make_docs, language_model):
     one = language_id.identify(make_docs([(1, SAMPLES["en"], "fr", "z")]), language_model)
     two = language_id.identify(make_docs([(1, SAMPLES["en"], None, None)]).withColumn("spans", F.lit(1)), language_model)
     assert one.collect() == two.collect()
+
+
+def sample_of(parsed, most):
+    """A text that a signature describes, with as few or as many repetitions as it allows."""
+    out = ""
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "IN":
+            kind, first = value[-1 if most else 0]
+            out += chr(first if str(kind) == "LITERAL" else first[0]) if str(kind) != "CATEGORY" else "1"
+        elif name == "MAX_REPEAT":
+            low, high, part = value
+            out += sample_of(part, most) * (min(high, low + 1) if most else low)
+        elif name == "SUBPATTERN":
+            out += sample_of(value[3], most)
+        elif name == "BRANCH":
+            out += sample_of(value[1][0], most)
+        elif name == "ANY":
+            out += "x"
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+    return out
+
+
+def test_every_rule_matches_a_sample():
+    import re._parser as parser
+
+    for rule in all_rules():
+        samples = [" ".join(words_of(sample_of(parser.parse(rule.signature), most))) for most in (False, True)]
+        matched = [t for t in samples if re.search(f"(?<= )(?:{rule.signature})(?= )", f" {t} ")]
+        assert any(rule.keyword in f" {t} " for t in matched), (rule.signature, samples)

@@ -222,7 +222,8 @@ def _cell(a: pa.Table, r: pa.Table, same_label: bool, pick: Callable) -> Iterato
         able = ((labels == anchor["label"]) == same_label) & (numbers != anchor["row"])
         if (lowest := anchor.get("lowest")) is not None:
             able &= upper[i] >= lowest
-        if (highest := anchor.get("highest")) is not None:
+        # scores held at the end of a long may lie anywhere above it
+        if (highest := anchor.get("highest")) is not None and highest < float(LONG[1]):
             able &= lower[i] <= highest
         at = np.flatnonzero(able)
         if len(at):

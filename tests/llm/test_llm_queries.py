@@ -69,7 +69,7 @@ def pieces(text):
 
 def test_all_operators_are_registered():
     names = [n for n in contract.queries() if re.match(r"op\d+_|pipeline$", n)]
-    assert len(names) == 11 and "op1_exact_dedup" in contract.oracle_sql()
+    assert len(names) == 14 and {"op1_exact_dedup", "op11_divergence", "op13_hard_negatives"} <= set(contract.oracle_sql())
 
 
 def test_exact_dedup(spark, docs):
@@ -213,3 +213,22 @@ def test_stages_judge_rows_not_ids(spark, docs):
     prints = {fingerprint(r.text) for r in left.collect()}
     root = {f: min(g for g in prints if bin(f ^ g).count("1") <= 2) for f in prints}
     assert near.count() == len(set(root.values()))
+
+
+def test_minhash(spark, docs):
+    def shingles(text):
+        words = WORD.findall(lowered(text))
+        return frozenset(zip(words, words[1:])) if len(words) > 1 else frozenset(words)
+
+    sets = {i: shingles(r.text) for i, r in docs.items()}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if root[a] != root[b] and both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if x == high else x for i, x in root.items()}
+    found = run(spark, "op12_minhash")
+    assert sorted(r.doc_id for r in found) == sorted(sets)
+    for r in found:
+        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root[r.doc_id], root[r.doc_id] == r.doc_id)

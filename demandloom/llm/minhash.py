@@ -12,13 +12,16 @@ their whole sets.  Texts of equal word sequences are one node from the start.
 
 No bucket is expanded into its pairs.  First each member is tested against one hub of its bucket, and the
 links found are gathered into components; a bucket of near copies is one component then and done.  Only
-pairs of one bucket in different components can still matter: buckets with many members get further hubs
-as long as those join something, and the pairs that are left across components are tested one by one.
+pairs of one bucket in different components can still matter.  Small buckets test them directly.  The members of large ones
+(near copies just too far apart, texts that share a passage) are keyed again, exactly: with the shingles
+of a set ordered from rare to frequent, two similar sets share one of their first few, and the places of the first
+shared one bound how similar they can be at all.  So a text with more shingles of its own than the similarity allows meets nobody,
+however large its bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 from math import ceil, log
 
@@ -34,8 +37,12 @@ from demandloom.plans.storage import cut_lineage
 COORDS = 128
 BAND_ROWS = 4
 SEED = 42
-# a bucket of more nodes gets further hubs before its remaining pairs are tested
-HOT_BUCKET = 64
+# the members of a bucket of more nodes are keyed again by their rarest shingles
+HOT_BUCKET = 16
+# slots of the table of approximate shingle counts, which only orders shingles: its size is fixed
+COUNT_SLOTS = 1 << 18
+# pairs across components per member of a bucket from which another hub is tried first
+CROWDED = 50
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -155,12 +162,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b")
 
 
-def _labelled(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, with their component."""
+def _with_roots(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with their component and the bucket's size."""
     roots = connected_components(links)
-    known = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
-    return cut_lineage(known.join(mixed.where("lo <> hi").select("key", "members"), "key"))
+    known = members.drop("root", "members").join(roots, "node", "left")
+    known = known.withColumn("root", F.coalesce("root", "node"))
+    ends = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
+    return cut_lineage(known.join(ends.where("lo <> hi").select("key", "members"), "key"))
 
 
 def _hub_pairs(members: DataFrame, order: Column, percent: int) -> DataFrame:
@@ -172,35 +180,113 @@ def _hub_pairs(members: DataFrame, order: Column, percent: int) -> DataFrame:
     return both.select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
 
 
-def set_links(nodes: DataFrame, sets_of, percent: int = 80, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def _count_table(sets: DataFrame) -> np.ndarray:
+    """How many sets have a shingle of each slot: approximate counts in a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNT_SLOTS, dtype=np.int64)
+        for batch in batches:
+            slots = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(COUNT_SLOTS)
+            counts += np.bincount(slots.astype(np.int64), minlength=COUNT_SLOTS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["slot", "n"])
+
+    found = sets.select("members").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    table = np.zeros(COUNT_SLOTS, dtype=np.int64)
+    # one row per slot at most
+    for r in found.collect():
+        table[r["slot"]] = r["n"]
+    return table
+
+
+def rare_prefix(members: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set from rare to frequent, of which similar sets share one."""
+    slots = (members % np.uint64(len(counts))).astype(np.int64)
+    ordered = members[np.lexsort((members, counts[slots]))]
+    return ordered[: len(members) + (-percent * len(members)) // 100 + 1]
+
+
+def _prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(key, node, n, place): the first shingles of every set, places counted from 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, nodes, sizes, places = [], [], [], []
+            for i, node in enumerate(batch.column(0).to_pylist()):
+                members = batch.column(1)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                first = rare_prefix(members, counts, percent)
+                keys.append(first.view(np.int64))
+                nodes.append(np.full(len(first), node))
+                sizes.append(np.full(len(first), len(members)))
+                places.append(np.arange(1, len(first) + 1))
+            columns = [pa.array(np.concatenate(c or [[]]).astype(np.int64)) for c in (keys, nodes, sizes, places)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "node", "n", "place"])
+
+    return sets.select("node", "members").mapInArrow(run, "key long, node long, n long, place long")
+
+
+def _across(left: DataFrame, right: DataFrame, percent: int, placed: bool) -> DataFrame:
+    """(a, b): pairs of one bucket in different components that can be similar by their sizes and places."""
+    other = right.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "root")], *([F.col("place").alias("place_b")] if placed else []))
+    able = (F.col("root") != F.col("root_b")) & _similar_sizes(F.col("n"), F.col("n_b"), percent)
+    if placed:
+        # nothing before the first shared shingle is shared
+        most = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1
+        able = able & ((100 + percent) * most >= percent * (F.col("n") + F.col("n_b")))
+    pairs = left.join(other, "key").where(able)
+    return pairs.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct()
+
+
+def _minority(members: DataFrame) -> DataFrame:
+    """Members outside the largest component of their bucket: one of every two components is among them."""
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("own"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("own", "root")).alias("top"))
+    return members.join(largest.select("key", F.col("top.root").alias("top_root")), "key").where("root <> top_root").drop("top_root")
+
+
+def set_links(
+    nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80, hot_bucket: int | None = None
+) -> DataFrame:
     """(a, b): links that join the nodes of ``nodes(node, n, bands)`` as all links of similar candidates do.
 
     A pair whose ends other links join already may be missing.  ``sets_of(wanted)`` gives (node, members) of the nodes asked for.
     """
+    hot_bucket = HOT_BUCKET if hot_bucket is None else hot_bucket
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
     several = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     shared = cut_lineage(keyed.join(several, "key").select("key", "node", "n"))
     sets = cut_lineage(sets_of(shared.select("node").distinct()))
     tested = cut_lineage(_hub_pairs(shared.withColumn("root", F.col("node")), F.col("node"), percent))
     links = cut_lineage(_verified(tested, sets, percent))
+    mixed = _with_roots(shared, links)
+    small = mixed.where(F.col("members") <= hot_bucket)
+    pairs = _across(small, small, percent, False)
+    again = mixed.where(F.col("members") > hot_bucket).select("node").distinct()
+    hot = cut_lineage(sets.join(again, "node", "left_semi"))
+    if not hot.isEmpty():
+        prefixes = _prefixes(hot, _count_table(hot), percent)
+        links, members = _crowds(cut_lineage(prefixes), links, sets, percent)
+        pairs = pairs.unionByName(_across(_minority(members), members, percent, True))
+    rest = pairs.distinct().join(tested, ["a", "b"], "left_anti")
+    return links.unionByName(_verified(rest, sets, percent))
+
+
+def _crowds(prefixes: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, members with their components): further hubs for buckets of many components, as long as they join a tenth
+    of those outside the largest one."""
     turn = 0
     while True:
-        mixed = _labelled(shared, links)
-        hot = mixed.where(F.col("members") > hot_bucket)
+        members = _with_roots(prefixes, links)
+        outside = cut_lineage(_minority(members))
+        by_key = outside.groupBy("key").agg(F.count("*").alias("n")).join(members.select("key", "members").distinct(), "key")
+        load = by_key.agg(F.sum(F.col("n") * F.col("members")), F.sum("members")).first()
+        if not load[0] or load[0] <= CROWDED * load[1]:
+            return links, members
         turn += 1
-        pairs = _hub_pairs(hot, F.xxhash64(F.lit(turn), "root", "node"), percent)
-        pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = cut_lineage(_verified(pairs, sets, percent))
-        tested = tested.unionByName(pairs)
-        if found.isEmpty():
-            break
+        found = cut_lineage(_verified(_hub_pairs(members, F.xxhash64(F.lit(turn), "root", "node"), percent), sets, percent))
         links = links.unionByName(found)
-    left = mixed.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    across = mixed.join(left, "key").where(
-        (F.col("node") > F.col("b")) & (F.col("root") != F.col("root_b")) & _similar_sizes(F.col("n"), F.col("n_b"), percent)
-    )
-    rest = across.select(F.col("node").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
-    return links.unionByName(_verified(rest, sets, percent))
+        if 10 * found.count() < outside.select("node").distinct().count():
+            return links, _with_roots(prefixes, links)
 
 
 def near_duplicates(

@@ -82,11 +82,39 @@ def test_a_hot_bucket_is_not_expanded_into_pairs(make_docs, monkeypatch):
 def test_hot_buckets_without_a_common_hub(make_docs, monkeypatch):
     """Copies too different from any hub: further hubs and the pairs left across components find the links."""
     rows = [(i, t, "en", "a") for i, t in enumerate(near_copies(150, length=40, edits=8))]
-    for hot in (4, 1000):
+    for hot, crowded in ((4, 1000), (4, 0.1), (1000, 50)):
         monkeypatch.setattr(minhash, "HOT_BUCKET", hot)
+        monkeypatch.setattr(minhash, "CROWDED", crowded)
         assert result(near_duplicates(make_docs(rows), 2)) == expected(rows, 2)
 
 
+def test_similar_sets_share_a_rare_shingle_within_their_bounds():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 50, 64)
+    for _ in range(300):
+        both = rng.integers(0, 2**63, rng.integers(20, 60)).astype(np.uint64)
+        a, b = (np.concatenate([both, rng.integers(0, 2**63, rng.integers(0, 8)).astype(np.uint64)]) for _ in range(2))
+        whole = len(np.intersect1d(a, b))
+        if 100 * whole < 80 * len(np.union1d(a, b)):
+            continue
+        first, second = (minhash.rare_prefix(x, counts, 80).tolist() for x in (a, b))
+        common = [k for k in first if k in set(second)]
+        assert common
+        i, j = first.index(common[0]) + 1, second.index(common[0]) + 1
+        assert 180 * (1 + min(len(a) - i, len(b) - j)) >= 80 * (len(a) + len(b))
+
+
+def test_texts_that_share_a_passage_test_no_pairs(make_docs, monkeypatch):
+    """A passage in many texts fills large buckets; the texts' own shingles tell that none can be similar."""
+    passage = prose(60, 99)
+    rows = [(i, f"{prose(40, 1000 + i)} {passage}", "en", "a") for i in range(200)]
+    tested = []
+    verified = minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, *a: tested.append(pairs.count()) or verified(pairs, *a))
+    assert all(r[3] for r in result(near_duplicates(make_docs(rows), 2)))
+    assert sum(tested) < 20 * len(rows)
+
+
 def test_links_reach_along_a_chain(make_docs):
     words = prose(100, 9).split()
     rows = [(50 - k, edited(words, set(range(0, 3 * k, 3))), "en", "a") for k in range(12)]

@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.operators.series import sorted_slots
+from demandloom.operators.quantiles import radix_quantiles, sorted_quantiles
+from demandloom.plans.storage import cut_lineage
 
 
 def _number(column: str) -> int:
@@ -47,6 +48,16 @@ def expand_list(
     return df.select(*[c for c in df.columns if c != column], *cells)
 
 
+def expand_lists(df: DataFrame, columns: Sequence[str], length: int | None = None) -> DataFrame:
+    """:func:`expand_list` over several columns; their longest lists are looked up in one pass."""
+    lengths = dict.fromkeys(columns, length)
+    if length is None and columns:
+        lengths = df.agg(*[F.max(F.size(c)).alias(c) for c in columns]).first().asDict()
+    for c in columns:
+        df = expand_list(df, c, length=lengths[c] or 0)
+    return df
+
+
 def overview(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct values of each column as (item, entry) rows."""
     parts = [
@@ -88,78 +99,46 @@ def _std(column: str, name: str) -> Column:
     return F.round(F.stddev_samp(column), 4).alias(name)
 
 
-def ranked_values(df: DataFrame, group: str, column: str) -> DataFrame:
-    """(group, value, global rank), sorted across the cluster and materialised.
+def group_values(df: DataFrame, group: str, column: str) -> DataFrame:
+    """(group, value), materialised: a group and a value per row, read by every pass of the quantiles."""
+    return cut_lineage(df.select(group, F.col(column).cast("double").alias("value")))
 
-    Rows are placed by group, value and a hash of the row, so that a value shared by many rows is
-    spread too; a group holding a third of all rows is never collected in one place.
-    """
-    others = [c for c in df.columns if c not in (group, column)]
-    rows = df.select(
-        group,
-        F.col(column).cast("double").alias("value"),
-        F.xxhash64(*(others or [column])).alias("_hash"),
-    )
-    return sorted_slots(rows, group, "value", "_hash").drop("_hash")
-
-
-def quantiles_of(ranked: DataFrame, group: str, probabilities: Sequence[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, as (group, p, quantile); NULL values do not count."""
-    present = F.when(F.col("value").isNotNull(), F.col("_rank"))
-    sizes = ranked.groupBy(group).agg(
-        F.min(present).alias("_first"), F.count("value").alias("_n")
-    )
-    ps = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")
-    targets = (
-        sizes.filter(F.col("_n") > 0)
-        .select(group, "_first", "_n", ps)
-        .withColumn("_at", F.col("p") * (F.col("_n") - 1))
-    )
-    low = (F.col("_first") + F.floor("_at")).cast("long")
-    high = (F.col("_first") + F.ceil("_at")).cast("long")
-    wanted = targets.select("p", "_at", F.explode(F.array_distinct(F.array(low, high))).alias("_rank"))
-    # ranks are unique, so this is an equi-join that keeps two rows per group and probability
-    hits = ranked.join(wanted, "_rank")
-    share = F.first("_at") - F.floor(F.first("_at"))
-    return hits.groupBy(group, "p").agg(
-        (F.min("value") + (F.max("value") - F.min("value")) * share).alias("quantile")
-    )
 
+def exact_quantiles(df: DataFrame, group: str, column: str, probabilities: Sequence[float]) -> DataFrame:
+    """Exact quantiles of a column per group, as (group, p, quantile); NULL values do not count.
 
-def exact_quantiles(
-    df: DataFrame, group: str, column: str, probabilities: Sequence[float]
-) -> DataFrame:
-    """Exact quantiles of a column per group, as (group, p, quantile)."""
-    return quantiles_of(ranked_values(df, group, column), group, probabilities)
+    Few groups are read by radix selection, more of them by one sort.
+    """
+    values = group_values(df, group, column)
+    found = radix_quantiles(values, group, probabilities)
+    return sorted_quantiles(values, group, probabilities) if found is None else found
 
 
-def quantile_columns(ranked: DataFrame, group: str, named: dict[str, float]) -> DataFrame:
-    """``quantiles_of`` with one column per probability."""
-    long = quantiles_of(ranked, group, list(named.values()))
-    picks = [
-        F.max(F.when(F.col("p") == F.lit(float(p)), F.col("quantile"))).alias(name)
-        for name, p in named.items()
-    ]
-    return long.groupBy(group).agg(*picks)
+def group_quantiles(values: DataFrame, group: str, named: dict[str, float]) -> DataFrame:
+    """:func:`exact_quantiles` of :func:`group_values`, with one column per probability."""
+    found = radix_quantiles(values, group, list(named.values()))
+    if found is None:
+        found = sorted_quantiles(values, group, list(named.values()))
+    picks = [F.max(F.when(F.col("p") == F.lit(float(p)), F.col("quantile"))).alias(name) for name, p in named.items()]
+    return found.groupBy(group).agg(*picks)
 
 
 def mape_summary(df: DataFrame, group: str = "model", column: str = "mape") -> DataFrame:
     """Mean, sample deviation, extremes and quartiles of MAPE, best group first."""
-    ranked = ranked_values(df, group, column)
-    moments = ranked.groupBy(group).agg(
+    values = group_values(df, group, column)
+    moments = values.groupBy(group).agg(
         _mean("value", "mean_MAPE"),
         _std("value", "std_MAPE"),
         F.round(F.min("value"), 4).alias("min_MAPE"),
         F.round(F.max("value"), 4).alias("max_MAPE"),
     )
-    quartiles = quantile_columns(
-        ranked, group, {"p25_MAPE": 0.25, "median_MAPE": 0.5, "p75_MAPE": 0.75}
-    )
+    quartiles = group_quantiles(values, group, {"p25_MAPE": 0.25, "median_MAPE": 0.5, "p75_MAPE": 0.75})
     rounded = quartiles.select(
-        group, *[F.round(c, 4).alias(c) for c in ("p25_MAPE", "median_MAPE", "p75_MAPE")]
+        F.col(group).alias("_group"), *[F.round(c, 4).alias(c) for c in ("p25_MAPE", "median_MAPE", "p75_MAPE")]
     )
     order = ["mean_MAPE", "std_MAPE", "min_MAPE", "p25_MAPE", "median_MAPE", "p75_MAPE", "max_MAPE"]
-    return moments.join(rounded, group, "left").select(group, *order).orderBy("mean_MAPE", group)
+    joined = moments.join(rounded, F.col(group).eqNullSafe(F.col("_group")), "left")
+    return joined.select(group, *order).orderBy("mean_MAPE", group)
 
 
 def melt_horizons(
@@ -189,11 +168,11 @@ def horizon_means(df: DataFrame, group: str = "model", prefix: str = "wape_f") -
 
 def box_frame(df: DataFrame, group: str = "model", prefix: str = "wape_f") -> DataFrame:
     """Quartiles, whiskers (last points within 1.5 box heights) and points outside, per group."""
-    ids = [group] + [c for c in ("series_name", "window") if c in df.columns]
-    long = melt_horizons(df, ids, prefix).filter(F.col("value").isNotNull())
-    ranked = ranked_values(long, group, "value")
-    quartiles = quantile_columns(ranked, group, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    joined = ranked.join(quartiles, group)
+    long = melt_horizons(df, [group], prefix).filter(F.col("value").isNotNull())
+    values = group_values(long, group, "value")
+    quartiles = group_quantiles(values, group, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    boxes = quartiles.withColumnRenamed(group, "_group")
+    joined = values.join(boxes, F.col(group).eqNullSafe(F.col("_group")))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return joined.groupBy(group).agg(
@@ -233,11 +212,11 @@ def ape_histogram(df: DataFrame, width: float = 0.05, group: str = "model") -> D
 
 def ape_distribution(df: DataFrame, group: str = "model") -> DataFrame:
     """Quartiles and count of APE per group."""
-    long = ape_long(df, group).filter(F.col("ape").isNotNull())
-    ranked = ranked_values(long, group, "ape")
+    values = group_values(ape_long(df, group).filter(F.col("ape").isNotNull()), group, "ape")
     named = {"min_ape": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max_ape": 1.0}
-    counts = ranked.groupBy(group).agg(F.count("value").alias("n"))
-    return quantile_columns(ranked, group, named).join(counts, group)
+    counts = values.groupBy(F.col(group).alias("_group")).agg(F.count("value").alias("n"))
+    quantiles = group_quantiles(values, group, named)
+    return quantiles.join(counts, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def actual_vs_forecast(

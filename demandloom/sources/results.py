@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandloom.functions.lists import list_text, parse_list
-from demandloom.operators.analysis import expand_list
+from demandloom.operators.analysis import expand_list, expand_lists
 
 WINDOW_SCHEMA = (
     "backtest_date string, model string, window int, base_date date, retrained boolean, "
@@ -56,9 +56,7 @@ def read_series_results(
     """
     out = _read_csv(spark, folder, "series", SERIES_SCHEMA)
     out = out.withColumns({c: parse_list(F.col(c)) for c in cols_to_split})
-    for c in cols_to_split:
-        out = expand_list(out, c, length=length)
-    return out
+    return expand_lists(out, cols_to_split, length)
 
 
 def read_results(

@@ -26,7 +26,7 @@ class BacktestConfig:
     ``horizon`` is the number of months forecast per window and ``shift`` the planning lag
     between the base month and the first forecast month.  ``retrain`` is True (every window),
     False (first window only) or an int n (every n-th window).  ``drop_last_month`` says that the month
-    of the latest line counts as unfinished and is left out (``before_last_month``).
+    of the latest line counts as unfinished: ``backtest_lines`` leaves it out of series and calendar.
     """
 
     horizon: int = 3

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandloom.functions.months import month_sequence, month_start
+from demandloom.config import BacktestConfig
+from demandloom.functions.months import month_number, month_sequence, month_start
 from demandloom.plans.storage import cut_lineage
 
 PREFIXES = {"static": "static_", "past": "past_", "future": "future_"}
@@ -69,6 +70,11 @@ def before_last_month(lines: DataFrame, time_index: str = "time_index") -> DataF
     return lines if last is None else lines.filter(F.col(time_index) < F.lit(last).cast("timestamp_ntz"))
 
 
+def finished_lines(lines: DataFrame, cfg: BacktestConfig, time_index: str = "time_index") -> DataFrame:
+    """The lines that a backtest reads: without the latest month where ``cfg.drop_last_month`` says so."""
+    return before_last_month(lines, time_index) if cfg.drop_last_month else lines
+
+
 def fill_months(
     df: DataFrame,
     value_cols: Sequence[str] = ("value",),
@@ -173,10 +179,10 @@ def common_span(df: DataFrame) -> DataFrame:
 def to_wide(
     df: DataFrame, series_ids: Sequence[str] | None = None, check_axis: bool = True
 ) -> DataFrame:
-    """One column per series on a shared month axis.
+    """One column per series over the union of their months; NULL where a series has no month.
 
     Width is bounded by Spark's own ``spark.sql.pivotMaxValues``; beyond it the long form is the
-    only form.  A shared axis is required, as joining series of different spans would leave holes.
+    only form.  With ``check_axis`` series of different spans raise instead of leaving holes.
     """
     if check_axis and len(axis_report(df).take(2)) > 1:
         raise ValueError("series do not share one time axis; cut them to a common span first")
@@ -185,11 +191,10 @@ def to_wide(
 
 
 def to_long(wide: DataFrame) -> DataFrame:
-    """Wide form back to one row per series and month."""
+    """Wide form back to one row per series and month; the NULLs of months that a series lacks go."""
     names = [c for c in wide.columns if c != "time_index"]
-    return wide.unpivot("time_index", names, "series_id", "value").select(
-        "series_id", "time_index", "value"
-    )
+    long = wide.unpivot("time_index", names, "series_id", "value")
+    return long.where(F.col("value").isNotNull()).select("series_id", "time_index", "value")
 
 
 def profile(df: DataFrame, components: int = 1) -> DataFrame:
@@ -214,6 +219,19 @@ def series_arrays(df: DataFrame) -> DataFrame:
     )
 
 
+def month_arrays(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per series: its first month and one array per column in month order.
+
+    ``df`` is gap-free, so an array has one entry per month and is as long as the series.
+    """
+    entry = F.struct("time_index", *[F.col(c).cast("double").alias(c) for c in columns])
+    grouped = df.groupBy("series_id").agg(
+        F.min("time_index").alias("first_month"), F.array_sort(F.collect_list(entry)).alias("_rows")
+    )
+    arrays = [F.transform("_rows", lambda r: r[c]).alias(c) for c in columns]
+    return grouped.select("series_id", "first_month", month_number(F.col("first_month")).alias("first_no"), *arrays)
+
+
 def spread_series(arrays: DataFrame) -> DataFrame:
     """One-row-per-series arrays over all shuffle partitions.
 

@@ -1,10 +1,16 @@
+import random
+
+import numpy as np
 import pytest
 from conftest import as_rows, long_frame, month
 from pyspark.sql import functions as F
 
 from demandloom.config import BacktestConfig
+from demandloom.models.pooled import GlobalDirect
+from demandloom.operators import scalers
 from demandloom.operators import scaling as ops
-from demandloom.operators.windows import split, window_calendar
+from demandloom.operators.scaling import apply_minmax, invert_minmax
+from demandloom.operators.windows import pin_calendar, split, window_calendar
 
 CFG = BacktestConfig(windows=2)
 
@@ -56,3 +62,46 @@ def test_instance_norm_undoes_itself(spark, demand):
     back = ops.undo_instance_norm(normed.withColumn("x", F.col("value_norm")), "x")
     assert all(abs(r["x"] - r["value"]) < 1e-9 for r in back.collect())
     assert back.filter("series_id = 'a'").count() == 25
+
+
+def test_scalers_equal_numpy_on_every_window(spark):
+    rng = random.Random(9)
+    table = {"a": [rng.uniform(0, 9) for _ in range(40)], "flat": [3.0] * 40, "late": [rng.uniform(0, 9) for _ in range(8)]}
+    df = long_frame(spark, table, {"late": 32})
+    cfg = BacktestConfig(windows=3)
+    calendar = pin_calendar(window_calendar(df, cfg))
+    ends = {r["window"]: (r["train_end_date"].year - 2000) * 12 + r["train_end_date"].month for r in calendar.collect()}
+    plain = {
+        "minmax": lambda x: (x.min(), x.max()),
+        "standard": lambda x: (x.mean(), x.mean() + x.std()),
+        "robust": lambda x: (np.median(x), np.median(x) + np.quantile(x, 0.75) - np.quantile(x, 0.25)),
+    }
+    for scaler in (scalers.MinMax(), scalers.Standard(), scalers.Robust()):
+        got = {(r["window"], r["series_id"]): (r["low"], r["high"]) for r in scalers.fit_scaler(df, calendar, scaler).collect()}
+        want = {}
+        for window, n in ends.items():
+            for name, values in table.items():
+                known = np.array(values[: max(0, n - (32 if name == "late" else 0))])
+                if len(known):
+                    want[window, name] = pytest.approx(plain[scaler.name](known), rel=1e-9)
+        assert got == want
+        low, high = got[0, "flat"]
+        assert low == 3.0 and high == low
+    params = scalers.fit_scaler(df, calendar, scaler)
+    restored = invert_minmax(apply_minmax(df.withColumn("window", F.lit(0)), params), params, "value")
+    assert {(r["series_id"], r["time_index"]): r["value"] for r in restored.collect()} == {
+        (r["series_id"], r["time_index"]): pytest.approx(r["value"]) for r in df.collect() if (0, r["series_id"]) in want
+    }
+
+
+@pytest.mark.parametrize("scaler", [scalers.Standard(), scalers.Robust()], ids=lambda s: s.name)
+def test_a_scaler_can_be_plugged_into_a_global_model(spark, scaler):
+    rng = random.Random(10)
+    df = long_frame(spark, {f"s{i}": [10 * (i + 1) + rng.random() + (t % 3) for t in range(40)] for i in range(4)})
+    cfg = BacktestConfig(windows=2, use_validation=False)
+    calendar = pin_calendar(window_calendar(df, cfg))
+    model = GlobalDirect(lookback=3, scaler=scaler, instance_norm=False)
+    actual = {(r["series_id"], r["time_index"]): r["value"] for r in df.collect()}
+    rows = model.forecast(df, calendar, cfg).collect()
+    assert len(rows) == 2 * 4 * 3
+    assert all(abs(r["forecast"] - actual[r["series_id"], r["time_index"]]) < 2 for r in rows)

@@ -1,148 +1,109 @@
-"""Least-squares and smoothing fits for a batch of series at once.
+"""Trend with change points and yearly waves by least squares, for a batch of series at once.
 
 A batch is a matrix with one left-aligned series per row (NaN after its last month).  ``known`` says
-how many months of each series are known at each window's cut.  Every function returns forecasts of
-shape (series, windows, steps); rows with nothing known are NaN.
+how many months of each series are known at each window's cut.  Results have shape (series, windows, ..);
+rows with nothing known are NaN.
 """
 
 from __future__ import annotations
 
-import itertools
+from dataclasses import dataclass
 
 import numpy as np
 
 SEASON = 12
 
 
+@dataclass(frozen=True)
+class Waves:
+    """Bounds of the fit: the trend may bend every ``knot_every`` months in the first ``knot_share`` of the months known
+    (0: never), against a penalty of ``ridge`` on the squared bends.  Below ``min_seasonal`` months there are no waves and no
+    bends, below ``min_history`` the mean."""
+
+    waves: int = 3
+    multiplicative: bool = False
+    knot_every: int = 0
+    knot_share: float = 0.8
+    ridge: float = 5.0
+    min_seasonal: int = 2 * SEASON
+    min_history: int = 3
+
+
 def _fill_by_level(y: np.ndarray, known: np.ndarray, steps: int) -> np.ndarray:
     """Mean of the known months: what remains for series too short for a model."""
-    out = np.full((len(y), known.shape[1], steps), np.nan)
-    position = np.arange(y.shape[1])
-    for w in range(known.shape[1]):
-        seen = position[None, :] < known[:, w, None]
-        count = seen.sum(axis=1)
-        total = np.where(seen, np.nan_to_num(y), 0.0).sum(axis=1)
-        out[:, w, :] = np.where(count > 0, total / np.maximum(count, 1), np.nan)[:, None]
-    return out
+    seen = np.arange(y.shape[1]) < known[:, :, None]
+    total = np.where(seen, np.nan_to_num(y)[:, None, :], 0.0).sum(axis=2)
+    level = np.where(known > 0, total / np.maximum(known, 1), np.nan)
+    return np.repeat(level[:, :, None], steps, axis=2)
 
 
-def smoothing(y: np.ndarray, known: np.ndarray, steps: int) -> np.ndarray:
-    """Additive exponential smoothing; level, trend and season parts chosen by AICc per window."""
-    alphas, betas, gammas = (0.1, 0.3, 0.5, 0.8), (None, 0.05, 0.2), (None, 0.05, 0.2)
-    grid = list(itertools.product(alphas, betas, gammas))
-    a = np.array([g[0] for g in grid])[:, None]
-    b = np.array([g[1] or 0.0 for g in grid])[:, None]
-    c = np.array([g[2] or 0.0 for g in grid])[:, None]
-    trended = np.array([g[1] is not None for g in grid])[:, None]
-    seasonal = np.array([g[2] is not None for g in grid])[:, None]
-    n_params = 2 + 2 * trended[:, 0] + (1 + SEASON) * seasonal[:, 0]
+def _design(first_month: np.ndarray, months: int, cfg: Waves) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, months of the knots): constant, trend, waves, then one hinge per knot."""
+    time = np.arange(months)
+    angle = 2 * np.pi * (first_month[:, None] + time[None, :]) / SEASON
+    columns = [np.ones_like(angle), np.broadcast_to(time / SEASON, angle.shape)]
+    for k in range(1, cfg.waves + 1):
+        columns += [np.sin(k * angle), np.cos(k * angle)]
+    knots = np.arange(cfg.knot_every, months, cfg.knot_every) if cfg.knot_every else np.zeros(0, dtype=int)
+    columns += [np.broadcast_to(np.maximum(0, time - knot) / SEASON, angle.shape) for knot in knots]
+    return np.stack(columns, axis=2), knots
 
-    series, length = y.shape
-    out = _fill_by_level(y, known, steps)
-    if length <= SEASON:
-        return out
-    first_year = y[:, :SEASON]
-    start = np.nanmean(np.where(np.isnan(first_year), 0.0, first_year), axis=1)
-    level = np.repeat(start[None, :], len(grid), axis=0)
-    trend = np.zeros_like(level)
-    season = np.where(seasonal[:, :, None], (first_year - start[:, None])[None], 0.0).copy()
-    season = np.nan_to_num(season)
-    sse = np.zeros_like(level)
-    ahead = np.arange(1, steps + 1)
-    # seasonal variants need two full years, others one year and a little more to score on
-    enough = np.where(seasonal, 2 * SEASON, SEASON + 3)
-
-    for i in range(SEASON, length):
-        phase = i % SEASON
-        value = y[:, i]
-        live = ~np.isnan(value)
-        v = np.where(live, value, 0.0)[None, :]
-        old_season = season[:, :, phase]
-        error = v - (level + trend + old_season)
-        sse += np.where(live, error * error, 0.0)
-        new_level = a * (v - old_season) + (1 - a) * (level + trend)
-        new_trend = np.where(trended, b * (new_level - level) + (1 - b) * trend, 0.0)
-        new_season = np.where(seasonal, c * (v - new_level) + (1 - c) * old_season, 0.0)
-        level = np.where(live, new_level, level)
-        trend = np.where(live, new_trend, trend)
-        season[:, :, phase] = np.where(live, new_season, old_season)
-
-        for w in range(known.shape[1]):
-            rows = np.flatnonzero(known[:, w] == i + 1)
-            if not len(rows):
-                continue
-            scored = i + 1 - SEASON
-            spare = np.maximum(scored - n_params - 1, 0.5)[:, None]
-            fit = np.log(np.maximum(sse[:, rows] / scored, 1e-12))
-            aicc = scored * fit + 2 * n_params[:, None] * scored / spare
-            aicc = np.where(i + 1 >= enough, aicc, np.inf)
-            pick = np.argmin(aicc, axis=0)
-            found = np.isfinite(aicc[pick, np.arange(len(rows))])
-            rows, pick = rows[found], pick[found]
-            base = level[pick, rows, None] + trend[pick, rows, None] * ahead[None, :]
-            out[rows, w, :] = base + season[pick[:, None], rows[:, None], (i + ahead)[None, :] % SEASON]
-    return out
 
+def _coefficients(design: np.ndarray, target: np.ndarray, known: np.ndarray, knots: np.ndarray, cfg: Waves) -> np.ndarray:
+    """Coefficients (series, windows, columns); columns that a window doesn't have are zero.
 
-def _solve(design: np.ndarray, target: np.ndarray, weight: np.ndarray):
-    """Weighted least squares per row of the batch: coefficients and squared error."""
-    wx = design * weight[:, :, None]
-    gram = np.einsum("stp,stq->spq", wx, design)
-    right = np.einsum("stp,st->sp", wx, target)
-    coef = np.einsum("spq,sq->sp", np.linalg.pinv(gram, rcond=1e-10, hermitian=True), right)
-    residual = (target - np.einsum("stp,sp->st", design, coef)) * weight
-    return coef, (residual * residual).sum(axis=1)
+    The normal equations are running sums over the months: a window adds the months since the cut before.
+    """
+    series, windows = known.shape
+    size, plain = design.shape[2], design.shape[2] - len(knots)
+    out = np.zeros((series, windows, size))
+    gram, right = np.zeros((series, size, size)), np.zeros((series, size))
+    before = np.zeros(series, dtype=np.int64)
+    for w in np.argsort(known.max(axis=0), kind="stable"):
+        if (known[:, w] < before).any():
+            raise ValueError("cuts must be in the same order for all series")
+        months = np.arange(before.min(initial=0), known[:, w].max(initial=0))
+        new = (months >= before[:, None]) & (months < known[:, w, None])
+        part = design[:, months] * new[:, :, None]
+        gram += np.einsum("stp,stq->spq", part, design[:, months])
+        right += np.einsum("stp,st->sp", part, target[:, months])
+        before = known[:, w]
+        seasonal = before >= cfg.min_seasonal
+        has = np.zeros((series, size), dtype=bool)
+        has[:, :2] = (before >= cfg.min_history)[:, None]
+        has[:, 2:plain] = seasonal[:, None]
+        has[:, plain:] = seasonal[:, None] & (knots < cfg.knot_share * before[:, None])
+        penalty = np.where(np.arange(size) >= plain, cfg.ridge, 0.0)
+        left = np.where(has[:, :, None] & has[:, None, :], gram, 0.0)
+        left[:, np.arange(size), np.arange(size)] += np.where(has, penalty, 0.0)
+        inverse = np.linalg.pinv(left, rcond=1e-10, hermitian=True)
+        out[:, w] = np.einsum("spq,sq->sp", inverse, np.where(has, right, 0.0))
+    return out
 
 
-LAG_SETS = ((), (1,), (1, 2), (1, 2, 3), (12,), (1, 12), (1, 2, 12), (1, 2, 3, 12))
+def _target(y: np.ndarray, cfg: Waves) -> np.ndarray:
+    return np.nan_to_num(np.log1p(np.maximum(y, 0.0)) if cfg.multiplicative else y)
 
 
-def autoregression(y: np.ndarray, known: np.ndarray, steps: int) -> np.ndarray:
-    """Autoregression with its lags chosen by AICc per window, iterated over the steps."""
-    series, length = y.shape
+def trend_and_waves(y: np.ndarray, known: np.ndarray, steps: int, first_month: np.ndarray, cfg: Waves = Waves()):
+    """(forecasts, forms, fallbacks) of every series and window.
+
+    ``first_month`` (any month count) fixes the season of each row.  Multiplicative seasonality is an additive fit of
+    log(1 + y).  Forms are ``trend+waves``, ``trend`` and ``mean``; the latter two are fall-backs of short histories.
+    """
+    length = y.shape[1]
     out = _fill_by_level(y, known, steps)
-    filled = np.nan_to_num(y)
-    position = np.arange(length)
-    designs = {}
-    for lags in LAG_SETS:
-        columns = [np.ones_like(filled)]
-        for k in lags:
-            moved = np.zeros_like(filled)
-            moved[:, k:] = filled[:, :-k] if k < length else 0.0
-            columns.append(moved)
-        designs[lags] = np.stack(columns, axis=2)
+    design, knots = _design(first_month, length + steps, cfg)
+    coef = _coefficients(design, _target(y, cfg), known, knots, cfg)
+    rows = np.arange(len(y))[:, None]
     for w in range(known.shape[1]):
-        n_known = known[:, w]
-        best = np.full(series, np.inf)
-        for lags in LAG_SETS:
-            # all candidates are scored on the same months; short series only get short lags
-            for rows, skip in (
-                (n_known >= 2 * SEASON, SEASON),
-                ((n_known >= 8) & (n_known < 2 * SEASON), 3),
-            ):
-                rows = np.flatnonzero(rows)
-                if not len(rows) or max(lags, default=0) > skip:
-                    continue
-                weight = ((position >= skip) & (position < n_known[rows, None])).astype(float)
-                coef, sse = _solve(designs[lags][rows], filled[rows], weight)
-                count, k = weight.sum(axis=1), len(lags) + 2
-                spare = np.maximum(count - k - 1, 0.5)
-                aicc = count * np.log(np.maximum(sse / count, 1e-12)) + 2 * k * count / spare
-                better = aicc < best[rows]
-                chosen = rows[better]
-                if not len(chosen):
-                    continue
-                best[chosen] = aicc[better]
-                path = np.zeros((len(chosen), SEASON + steps))
-                tail = n_known[chosen, None] - SEASON + np.arange(SEASON)[None, :]
-                path[:, :SEASON] = np.where(
-                    tail >= 0, np.take_along_axis(filled[chosen], np.maximum(tail, 0), axis=1), 0.0
-                )
-                for h in range(steps):
-                    inputs = [np.ones(len(chosen))] + [path[:, SEASON + h - k] for k in lags]
-                    path[:, SEASON + h] = (np.stack(inputs, axis=1) * coef[better]).sum(axis=1)
-                out[chosen, w, :] = path[:, SEASON:]
-    return out
+        future = design[rows, known[:, w, None] + np.arange(steps)[None, :]]
+        path = np.einsum("shp,sp->sh", future, coef[:, w])
+        able = known[:, w] >= cfg.min_history
+        out[able, w] = (np.expm1(path) if cfg.multiplicative else path)[able]
+    form = np.where(known >= cfg.min_seasonal, "trend+waves", np.where(known >= cfg.min_history, "trend", "mean"))
+    form = np.where(known > 0, form, "").astype(object)
+    return out, form, np.where(form == "trend+waves", "", form).astype(object)
 
 
 def fourier(
@@ -153,34 +114,19 @@ def fourier(
     waves: int = 3,
     multiplicative: bool = False,
 ) -> np.ndarray:
-    """Linear trend plus yearly sine and cosine waves by least squares.
-
-    ``first_month`` (any month count) fixes the season of each row.  Multiplicative seasonality is
-    an additive fit of log(1 + y).  Less than two years of data get the trend only.
-    """
-    series, length = y.shape
-    out = _fill_by_level(y, known, steps)
-    target = np.nan_to_num(np.log1p(np.maximum(y, 0.0)) if multiplicative else y)
-    time = np.arange(length + steps)
-    angle = 2 * np.pi * (first_month[:, None] + time[None, :]) / SEASON
-    columns = [np.ones_like(angle), np.broadcast_to(time / SEASON, angle.shape)]
-    for k in range(1, waves + 1):
-        columns += [np.sin(k * angle), np.cos(k * angle)]
-    design = np.stack(columns, axis=2)
-    position = np.arange(length)
-    for w in range(known.shape[1]):
-        n_known = known[:, w]
-        for rows, width in (
-            (n_known >= 2 * SEASON, design.shape[2]),
-            ((n_known >= 3) & (n_known < 2 * SEASON), 2),
-        ):
-            rows = np.flatnonzero(rows)
-            if not len(rows):
-                continue
-            weight = (position[None, :] < n_known[rows, None]).astype(float)
-            coef, _ = _solve(design[rows, :length, :width], target[rows], weight)
-            later = n_known[rows, None] + np.arange(steps)[None, :]
-            future = design[rows[:, None], later, :width]
-            path = np.einsum("shp,sp->sh", future, coef)
-            out[rows, w, :] = np.expm1(path) if multiplicative else path
-    return out
+    """Forecasts of a straight trend with yearly waves."""
+    return trend_and_waves(y, known, steps, first_month, Waves(waves, multiplicative))[0]
+
+
+def moments(y: np.ndarray, known: np.ndarray, first_month: np.ndarray, cfg: Waves) -> tuple[np.ndarray, np.ndarray]:
+    """Per (series, window, unpenalised column): the column's product with the target over the known months, and its
+    correlation with the residual, which is zero for a least-squares fit."""
+    design, knots = _design(first_month, y.shape[1], cfg)
+    target = _target(y, cfg)
+    coef = _coefficients(design, target, known, knots, cfg)
+    inside = (np.arange(y.shape[1]) < known[:, :, None]).astype(float)
+    left = (target[:, None, :] - np.einsum("stp,swp->swt", design, coef)) * inside
+    plain = design[:, :, : design.shape[2] - len(knots)]
+    products = np.einsum("swt,st,stp->swp", inside, target, plain)
+    sizes = np.sqrt(np.einsum("swt,stp->swp", inside, plain**2) * np.einsum("swt,st->sw", inside, target**2)[:, :, None])
+    return products, np.einsum("swt,stp->swp", left, plain) / np.maximum(sizes, 1e-12)

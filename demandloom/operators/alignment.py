@@ -33,9 +33,10 @@ def align(actual: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def align_all(actual: DataFrame, predicted: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Every actual once per model; the forecast is NULL where the model has none."""
+    """Every actual once per model; the forecast is NULL where the model has none.  A column ``fallback`` is kept."""
     wanted = actual.select(F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), *KEYS, "actual")
-    return wanted.join(predicted.select("model", *KEYS, "forecast"), ["model", *KEYS], "left")
+    more = [c for c in ("fallback",) if c in predicted.columns]
+    return wanted.join(predicted.select("model", *KEYS, "forecast", *more), ["model", *KEYS], "left")
 
 
 def assert_complete(pairs: DataFrame) -> None:
@@ -78,8 +79,14 @@ def assert_paired(actual: DataFrame, predicted: DataFrame) -> None:
 
 
 def process_predictions(
-    actual: DataFrame, predicted: DataFrame, params: DataFrame | None = None
+    actual: DataFrame, predicted: DataFrame, params: DataFrame | None = None, check: bool = True
 ) -> DataFrame:
-    """Align, inverse-scale (when parameters are given) and clip at zero, in that order."""
+    """Align, inverse-scale (when parameters are given) and clip at zero, in that order.
+
+    An actual that any of the models has no prediction for raises, unless ``check`` is off.
+    """
+    if check:
+        # one row per model
+        assert_aligned(actual, predicted, [r["model"] for r in predicted.select("model").distinct().collect()])
     pairs = invert_minmax(align(actual, predicted), params)
     return pairs.withColumn("forecast", clip_nonneg(F.col("forecast")))

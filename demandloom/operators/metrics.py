@@ -60,7 +60,7 @@ def window_results(
     count_missing: bool = False,
 ) -> DataFrame:
     """One row per model and window.  ``flagged_calendar`` comes from ``retrain_flags``."""
-    missing = pairs.groupBy("model", "window").agg(_n_missing())
+    missing = pairs.groupBy("model", "window").agg(*_gaps(pairs))
     ordered = F.array_sort(F.collect_list(F.struct("time_index", "wape")))
     grouped = (
         wape(pairs)
@@ -86,12 +86,14 @@ def window_results(
         "avg_wape_across_periods",
         "wape_per_period",
         _params_text(hyperparameters).alias("model_hyperparameters"),
-        *(["n_missing"] if count_missing else []),
+        *(["n_missing", "n_fallback"] if count_missing else []),
     )
 
 
-def _n_missing():
-    return F.count_if(F.col("forecast").isNull()).alias("n_missing")
+def _gaps(pairs: DataFrame):
+    """Pairs without a forecast, and pairs whose history was too short for the model."""
+    fallback = F.col("fallback") if "fallback" in pairs.columns else F.lit(None)
+    return [F.count_if(F.col("forecast").isNull()).alias("n_missing"), F.count(fallback).alias("n_fallback")]
 
 
 def series_results(
@@ -118,7 +120,7 @@ def series_results(
             F.round(F.avg("ape"), decimals).alias("mape"),
             F.count(F.when(F.col("ape").isNull(), 1)).alias("n_undefined"),
             ordered.alias("_p"),
-            _n_missing(),
+            *_gaps(pairs),
         )
     )
     flags = flagged_calendar.select("window", "base_date", "retrained")
@@ -141,7 +143,7 @@ def series_results(
         F.transform("_p", lambda p: p["actual"]).alias("actual_values"),
         F.transform("_p", lambda p: p["forecast"]).alias("forecast_values"),
         _params_text(hyperparameters).alias("model_hyperparameters"),
-        *(["n_missing"] if count_missing else []),
+        *(["n_missing", "n_fallback"] if count_missing else []),
     )
 
 

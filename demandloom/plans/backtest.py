@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.config import BacktestConfig
-from demandloom.models.base import Forecaster
+from demandloom.models.base import FORECAST_COLUMNS, Forecaster
+from demandloom.models.per_series import BatchForecaster, fit_batches
 from demandloom.functions.errors import clip_nonneg
 from demandloom.operators.alignment import actuals, align_all, assert_complete
 from demandloom.operators.metrics import order_results, series_results, window_results
-from demandloom.operators.windows import retrain_flags
+from demandloom.operators.series import demand_series, finished_lines
+from demandloom.operators.windows import pin_calendar, retrain_flags, window_calendar
 from demandloom.plans.storage import cut_lineage
 
 
@@ -21,7 +23,8 @@ from demandloom.plans.storage import cut_lineage
 class BacktestResult:
     """Scored pairs, written once, and the settings of their run; both result tables are derived from them.
 
-    ``count_missing`` adds ``n_missing`` to the tables, the pairs without a forecast.
+    ``count_missing`` adds ``n_missing`` (pairs without a forecast) and ``n_fallback`` (pairs whose history was too short for
+    the model) to the tables.
     """
 
     pairs: DataFrame
@@ -52,12 +55,17 @@ def forecast_all(
 ) -> DataFrame:
     """Forecasts of all models in one table.
 
-    Work is spread over (model, window, series) by Spark's partitions of the series; models are
-    branches of one plan.
+    Batch models are an axis of one table, so they share one pass over the series whatever their number;
+    every other model is a branch of the plan.  ``fallback`` says what a model did where a history was too short for it.
     """
-    out = models[0].forecast(series, calendar, cfg)
-    for model in models[1:]:
-        out = out.unionByName(model.forecast(series, calendar, cfg))
+    batch = {m.name: m.kernel() for m in models if isinstance(m, BatchForecaster)}
+    parts = [fit_batches(series, calendar, cfg, batch)] if batch else []
+    parts += [m.forecast(series, calendar, cfg) for m in models if not isinstance(m, BatchForecaster)]
+    columns = [*FORECAST_COLUMNS, "fallback"]
+    parts = [p if "fallback" in p.columns else p.withColumn("fallback", F.lit(None).cast("string")) for p in parts]
+    out = parts[0].select(*columns)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(*columns))
     return out
 
 
@@ -98,10 +106,24 @@ def backtest(
     """Forecast, score and summarise.
 
     The forecasts are computed and written here; the result tables stay lazy.  Without ``check``
-    missing forecasts are counted in ``n_missing`` instead of raising.  ``ids`` (the series ids, if a
+    missing forecasts are counted in ``n_missing`` instead of raising, and fall-backs in ``n_fallback``.  ``ids`` (the series ids, if a
     cheaper table than ``series`` has them) is what the numbering of series reads.
     """
     pairs = scored_pairs(series, calendar, models, cfg, check)
     flags = retrain_flags(calendar, cfg.retrain if retrain is None else retrain)
     known = series.select("series_id") if ids is None else ids
     return BacktestResult(pairs, flags, backtest_date, hyperparameters, cfg.decimals, known, not check)
+
+
+def backtest_lines(
+    lines: DataFrame, models: Sequence[Forecaster], cfg: BacktestConfig, backtest_date: str = "00000000_0000", **more
+) -> BacktestResult:
+    """From demand lines (series_id, time_index, value) to scored pairs.
+
+    Honours ``cfg.drop_last_month``: with it the unfinished month is left out of the series and the calendar alike, without it
+    every line is read and the last window ends in the latest month.  ``more`` goes to :func:`backtest`.
+    """
+    lines = finished_lines(lines, cfg)
+    calendar = pin_calendar(window_calendar(lines, cfg))
+    ids = lines.select("series_id").distinct()
+    return backtest(demand_series(lines), calendar, models, cfg, backtest_date, ids=ids, **more)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +12,9 @@ from demandloom.config import BacktestConfig
 from demandloom.functions.errors import clip_nonneg
 from demandloom.models.base import Forecaster, horizon_months
 from demandloom.models.closed_form import smoothing_levels
+from demandloom.models.per_series import BatchForecaster, fit_batches
 from demandloom.operators import tuning
-from demandloom.operators.alignment import actuals, align_all, assert_complete
+from demandloom.operators.alignment import KEYS, actuals, align_all, assert_complete
 from demandloom.operators.windows import assert_no_leakage, pin_calendar, window_calendar
 from demandloom.plans.backtest import BacktestResult, backtest
 from demandloom.plans.storage import cut_lineage
@@ -32,14 +33,19 @@ def smoothing_pairs(
     """Scored pairs of every smoothing trial (``trial_number``, ``alpha``), window and series.
 
     Trials ride along with the series as a broadcast table of a size fixed by the configuration;
-    each (trial, series) pair is folded once for all windows.
+    each (trial, series) pair is folded once for all windows.  An actual without a forecast raises, as in a backtest.
     """
     levels = smoothing_levels(series, calendar, trials)
     months = horizon_months(calendar, cfg).select("window", "time_index")
     forecasts = levels.join(F.broadcast(months), "window").select(
         "trial_number", "window", "series_id", "time_index", clip_nonneg(F.col("level")).alias("forecast")
     )
-    return forecasts.join(actuals(series, calendar), ["window", "series_id", "time_index"])
+    # scored from the actuals' side, so that all trials are judged on the same series and months
+    numbers = trials.select("trial_number")
+    wanted = actuals(series, calendar).join(F.broadcast(numbers), F.col("series_id").isNotNull())
+    pairs = cut_lineage(wanted.join(forecasts, ["trial_number", *KEYS], "left"))
+    assert_complete(pairs.withColumn("model", F.col("trial_number")))
+    return pairs
 
 
 def run_trials(
@@ -52,26 +58,43 @@ def run_trials(
 ) -> DataFrame:
     """A study table: every trial of ``packed`` (trial_number, params) scored on the windows.
 
-    ``build`` turns a trial's parameters into a forecaster.  Each trial is a job of its own with its own
-    start and end, so plans do not grow with their number; the series are written once for all.  One
-    row per trial comes back to the driver.
+    ``build`` turns a trial's parameters into a forecaster.  Trials of batch models are an axis of one table: they are fitted
+    in one pass over the series and scored in one job, however many there are; a trial took the seconds spent in its fits.
+    Other models get a job each.  One row per trial comes back to the driver.
     """
+    # as many rows as the configuration asks for trials
+    asked = {r["trial_number"]: r["params"] for r in packed.orderBy("trial_number").collect()}
+    models = {number: build(params) for number, params in asked.items()}
+    batch = {str(n): m.kernel() for n, m in models.items() if isinstance(m, BatchForecaster)}
     series = cut_lineage(series)
     truth = cut_lineage(actuals(series, calendar))
     rows = []
-    # as many rows as the configuration asks for trials
-    for row in packed.orderBy("trial_number").collect():
+    if batch:
+        started = datetime.now(timezone.utc)
+        fitted = cut_lineage(fit_batches(series, calendar, cfg, batch))
+        pairs = align_all(truth, fitted, list(batch)).withColumnRenamed("model", "trial_number")
+        # seconds are summed before the fits are joined to anything
+        spent = {r["model"]: r["seconds"] for r in fitted.groupBy("model").agg(F.sum("seconds").alias("seconds")).collect()}
+        for score in _scored_trials(pairs, cfg).collect():
+            n = int(score["trial_number"])
+            ended = started + timedelta(seconds=spent.get(str(n), 0.0))
+            rows.append((study_name, n, asked[n], score["value"], score["wape_by_window"], started, ended))
+    for number, model in models.items():
+        if str(number) in batch:
+            continue
         started = datetime.now(timezone.utc)
-        model = build(row["params"])
         pairs = align_all(truth, model.forecast(series, calendar, cfg), [model.name])
-        assert_complete(pairs := cut_lineage(pairs))
-        scored = pairs.withColumns(
-            {"forecast": clip_nonneg(F.col("forecast")), "trial_number": F.lit(row["trial_number"])}
-        )
-        score = tuning.trial_scores(scored, cfg.decimals).first()
+        score = _scored_trials(pairs.withColumn("trial_number", F.lit(number)), cfg).first()
         ended = datetime.now(timezone.utc)
-        rows.append((study_name, row["trial_number"], row["params"], score["value"], score["wape_by_window"], started, ended))
-    return packed.sparkSession.createDataFrame(rows, STUDY_SCHEMA)
+        rows.append((study_name, number, asked[number], score["value"], score["wape_by_window"], started, ended))
+    return packed.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[1]), STUDY_SCHEMA)
+
+
+def _scored_trials(pairs: DataFrame, cfg: BacktestConfig) -> DataFrame:
+    """Objective and window scores per trial; every actual must have a forecast."""
+    pairs = cut_lineage(pairs.withColumn("forecast", clip_nonneg(F.col("forecast"))))
+    assert_complete(pairs.withColumn("model", F.col("trial_number")))
+    return tuning.trial_scores(pairs, cfg.decimals)
 
 
 def tune_and_backtest(

@@ -10,6 +10,7 @@ from demandloom.config import BacktestConfig
 from demandloom.models import kernels
 from demandloom.models.closed_form import LevelSmoothing, LinearTrend, OneLagAR, SeasonalNaive
 from demandloom.models.factor import FactorModel
+from demandloom.models.masked_factor import MaskedFactorModel
 from demandloom.models.per_series import AutoAR, ExpSmoothing, FourierTrend
 from demandloom.models.pooled import GlobalDirect, GlobalRecursive
 from demandloom.operators.metrics import wape
@@ -22,7 +23,7 @@ LOCAL = BacktestConfig(windows=3, use_validation=False)
 GLOBAL = BacktestConfig(windows=3, retrain=2)
 LOCAL_MODELS = [SeasonalNaive(), OneLagAR(), LinearTrend(), LevelSmoothing(), ExpSmoothing(), AutoAR(),
                 FourierTrend(), FourierTrend(multiplicative=True, name="FourierProduct")]
-GLOBAL_MODELS = [GlobalDirect(lookback=6), GlobalRecursive(lookback=6), FactorModel(factors=2)]
+GLOBAL_MODELS = [GlobalDirect(lookback=6), GlobalRecursive(lookback=6), FactorModel(factors=2), MaskedFactorModel(factors=2)]
 
 
 @pytest.fixture(scope="module")
@@ -118,24 +119,6 @@ def test_fourier_equals_least_squares_of_one_series():
             assert got[s, w] == pytest.approx(x[n:] @ coef, rel=1e-6)
 
 
-def test_autoregression_recovers_its_process_and_iterates():
-    t = np.arange(60)
-    y = np.empty((1, 60))
-    y[0, 0] = 10.0
-    for i in t[1:]:
-        y[0, i] = 2 + 0.8 * y[0, i - 1] + (0.01 if i % 2 else -0.01)
-    got = kernels.autoregression(y, np.array([[60]]), 3)[0, 0]
-    assert got == pytest.approx([10.0, 10.0, 10.0], abs=0.2)
-
-
-def test_short_series_fall_back_to_their_mean():
-    y = np.array([[4.0, 6.0, np.nan]])
-    known = np.array([[2]])
-    assert kernels.smoothing(y, known, 2)[0, 0].tolist() == [5.0, 5.0]
-    assert kernels.autoregression(y, known, 2)[0, 0].tolist() == [5.0, 5.0]
-    assert np.isnan(kernels.smoothing(y, np.array([[0]]), 2)).all()
-
-
 def test_offset_months_are_discarded(spark, seasonal):
     calendar = pin_calendar(window_calendar(seasonal, LOCAL))
     months = {k[2] for k in forecasts(LinearTrend(), seasonal, calendar, LOCAL) if k[0] == 0}
@@ -144,67 +127,6 @@ def test_offset_months_are_discarded(spark, seasonal):
     assert month(59) >= max(months)
 
 
-def _plain_smoothing(y, steps):
-    """The smoothing kernel's rule for one series, written as loops."""
-    n, best = len(y), None
-    start = sum(y[:12]) / 12
-    for a in (0.1, 0.3, 0.5, 0.8):
-        for b in (None, 0.05, 0.2):
-            for c in (None, 0.05, 0.2):
-                if n < (24 if c is not None else 15):
-                    continue
-                level, trend, sse = start, 0.0, 0.0
-                season = [v - start if c is not None else 0.0 for v in y[:12]]
-                for i in range(12, n):
-                    old = season[i % 12]
-                    sse += (y[i] - level - trend - old) ** 2
-                    new = a * (y[i] - old) + (1 - a) * (level + trend)
-                    trend = b * (new - level) + (1 - b) * trend if b is not None else 0.0
-                    level = new
-                    if c is not None:
-                        season[i % 12] = c * (y[i] - level) + (1 - c) * old
-                m = n - 12
-                k = 2 + 2 * (b is not None) + 13 * (c is not None)
-                score = m * math.log(max(sse / m, 1e-12)) + 2 * k * m / max(m - k - 1, 0.5)
-                if best is None or score < best[0]:
-                    best = (score, [level + h * trend + season[(n - 1 + h) % 12] for h in range(1, steps + 1)])
-    return best[1] if best else [sum(y) / n] * steps
-
-
-def _plain_autoregression(y, steps):
-    n, best = len(y), None
-    skip = 12 if n >= 24 else 3
-    if n < 8:
-        return [sum(y) / n] * steps
-    for lags in kernels.LAG_SETS:
-        if max(lags, default=0) > skip:
-            continue
-        x = np.array([[1.0] + [y[t - k] for k in lags] for t in range(skip, n)])
-        coef = np.linalg.lstsq(x, np.array(y[skip:]), rcond=None)[0]
-        sse, m, k = float(((np.array(y[skip:]) - x @ coef) ** 2).sum()), n - skip, len(lags) + 2
-        score = m * math.log(max(sse / m, 1e-12)) + 2 * k * m / max(m - k - 1, 0.5)
-        if best is None or score < best[0]:
-            path = list(y)
-            for _ in range(steps):
-                path.append(float(coef[0] + sum(c * path[-k] for c, k in zip(coef[1:], lags))))
-            best = (score, path[n:])
-    return best[1]
-
-
-@pytest.mark.parametrize("plain, kernel", [(_plain_smoothing, kernels.smoothing), (_plain_autoregression, kernels.autoregression)])
-def test_batched_fits_equal_plain_loops(plain, kernel):
-    rng = np.random.default_rng(1)
-    lengths = [60, 60, 40, 20, 9, 5]
-    y = np.full((len(lengths), 60), np.nan)
-    for i, n in enumerate(lengths):
-        y[i, :n] = 50 + 10 * np.sin(2 * np.pi * np.arange(n) / 12) * (i % 2) + rng.normal(0, 5, n)
-    known = np.array([[n - 3, n] for n in lengths])
-    got = kernel(y, known, 4)
-    for i in range(len(lengths)):
-        for w in range(2):
-            assert got[i, w] == pytest.approx(plain(list(y[i, : known[i, w]]), 4), rel=1e-6)
-
-
 def test_factor_forecast_equals_regression_on_the_factors(spark, seasonal):
     """One window by hand: loadings, factor levels, and every series regressed on lagged factors."""
     cfg = BacktestConfig(windows=1, use_validation=False)
@@ -305,3 +227,74 @@ def test_joint_model_needs_one_start_or_a_common_span(late):
         FactorModel(factors=1).forecast(late, calendar, cfg)
     found = forecasts(FactorModel(factors=1, common_span=True), late, calendar, cfg)
     assert len(found) == 27 and all(math.isfinite(v) for v in found.values())
+
+
+def _dense_masked(table, origin, n_train, n_all, at, total, k, rounds, ridge):
+    """Alternating least squares over observed cells of one window, as dense loops without any rounding."""
+    from demandloom.models.masked_factor import start_factors
+
+    low = {s: min(v for t, v in cells.items() if t < n_train) for s, cells in table.items()}
+    width = {s: (max(v for t, v in cells.items() if t < n_train) - low[s]) or 1.0 for s, cells in table.items()}
+    z = {s: {t: (v - low[s]) / width[s] for t, v in cells.items() if t < n_all} for s, cells in table.items()}
+    f = start_factors(np.arange(origin, origin + n_all), k)
+
+    def weights(cells):
+        t = sorted(t for t in cells if t < n_train)
+        x, y = f[t], np.array([cells[i] for i in t])
+        return np.linalg.solve(x.T @ x + ridge * np.eye(k), x.T @ y)
+
+    for _ in range(rounds):
+        own = {s: weights(c) for s, c in z.items()}
+        new = np.zeros_like(f)
+        for t in range(n_all):
+            seen = [s for s in z if t in z[s]]
+            x, y = np.array([own[s] for s in seen]).reshape(-1, k), np.array([z[s][t] for s in seen])
+            new[t] = np.linalg.solve(x.T @ x + ridge * np.eye(k), x.T @ y)
+        f = new / np.sqrt((new[:n_train] ** 2).mean(axis=0))
+    out = {}
+    for h in range(1, total + 1):
+        def inputs(t):
+            angle = 2 * np.pi * (origin + t + h) / 12
+            return np.concatenate([[1.0], f[t], [np.sin(angle), np.cos(angle)]])
+
+        x, y = np.array([inputs(t) for t in range(n_train - h)]), f[h:n_train]
+        b = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ y)
+        for s in z:
+            out[s, h] = float(inputs(at) @ b @ weights(z[s])) * width[s] + low[s]
+    return out
+
+
+def test_masked_factors_equal_a_dense_solve_with_uneven_starts(late):
+    cfg = BacktestConfig(windows=2, use_validation=False)
+    calendar = pin_calendar(window_calendar(late, cfg))
+    model = MaskedFactorModel(factors=2, rounds=4)
+    got = forecasts(model, late, calendar, cfg)
+    assert {k[1] for k in got} == {"a", "b", "late"}
+    table, origin = {}, 2000 * 12 + 1
+    for r in late.collect():
+        table.setdefault(r["series_id"], {})[(r["time_index"].year - 2000) * 12 + r["time_index"].month - 1] = r["value"]
+    first = calendar.filter("window = 0").first()
+    no = lambda d: (d.year - 2000) * 12 + d.month - 1
+    n_train, at = no(first["train_end_date"]) + 1, no(first["validation_end_date"])
+    last = no(calendar.filter("window = 1").first()["validation_end_date"])
+    want = _dense_masked(table, origin, n_train, last + 1, at, 4, 2, 4, 0.1)
+    for s in table:
+        for h in (2, 3, 4):
+            assert got[0, s, month(at + h)] == pytest.approx(want[s, h], rel=1e-3, abs=1e-3)
+    again = sorted(model.forecast(late.repartition(9), calendar, cfg).collect())
+    assert again == sorted(model.forecast(late.repartition(1), calendar, cfg).collect())
+
+
+def test_masked_factors_use_covariates_known_in_advance(spark):
+    """Every third month is announced and raises all series; without the announcement it can't be foreseen."""
+    rng = np.random.default_rng(6)
+    marks = (rng.random(70) < 0.3).astype(float)
+    table = {f"s{i}": [20 + i + 5 * marks[t] * (1 + i % 2) + rng.random() for t in range(60)] for i in range(6)}
+    df = long_frame(spark, table)
+    shared = spark.createDataFrame([(month(t), float(marks[t])) for t in range(70)], "time_index date, future_mark double")
+    cfg = BacktestConfig(windows=6, use_validation=False, retrain=True)
+    calendar = pin_calendar(window_calendar(df, cfg))
+    models = [MaskedFactorModel(factors=1, name="blind"), MaskedFactorModel(factors=1, shared=shared, name="told")]
+    pairs = scored_pairs(df, calendar, models, cfg)
+    score = {r["model"]: r["w"] for r in wape(pairs).groupBy("model").agg(F.avg("wape").alias("w")).collect()}
+    assert score["told"] < score["blind"]

@@ -325,14 +325,14 @@ def forecast_timeline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     sql(
-        fx.SUPPLIER_SQL,
+        fx.SUPPLIER_ALL_SQL,
         fx.FILLED_SQL,
         """SELECT series_id AS series_name, time_index AS period, value AS actual
 FROM filled WHERE time_index >= DATE '2000-01-01'""",
     )
 )
 def history_cutoff(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.history_from(fx.supplier_series(spark, sf), "2000-01-01")
+    return ops.history_from(fx.supplier_series(spark, sf, whole=True), "2000-01-01")
 
 
 @query(

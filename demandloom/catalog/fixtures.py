@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from demandloom.config import BacktestConfig
 from demandloom.functions.months import month_start
-from demandloom.operators.series import before_last_month, fill_months
+from demandloom.operators.series import fill_months, finished_lines
 from demandloom.operators.windows import pin_calendar, window_calendar
 
 LOCAL = BacktestConfig(use_validation=False)
@@ -21,9 +21,9 @@ TUNING = BacktestConfig(use_validation=False, tuning_windows=3)
 
 
 def lineitem(spark: SparkSession, sf: str, *columns, whole: bool = False) -> DataFrame:
-    """Lines of finished months, or all of them."""
+    """Lines that a backtest of the default settings reads, or all of them."""
     table = spark.read.parquet(f"{sf}/lineitem.parquet")
-    return (table if whole else before_last_month(table, "l_shipdate")).select(*columns)
+    return (table if whole else finished_lines(table, LOCAL, "l_shipdate")).select(*columns)
 
 
 def part(spark: SparkSession, sf: str, *columns) -> DataFrame:
@@ -93,13 +93,13 @@ def supplier_ids(spark: SparkSession, sf: str) -> DataFrame:
     return supplier_lines(spark, sf).select("series_id").distinct()
 
 
-def supplier_month(spark: SparkSession, sf: str) -> DataFrame:
+def supplier_month(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     month = month_start(F.col("time_index")).alias("time_index")
-    return supplier_lines(spark, sf).groupBy("series_id", month).agg(F.sum("value").alias("value"))
+    return supplier_lines(spark, sf, whole).groupBy("series_id", month).agg(F.sum("value").alias("value"))
 
 
-def supplier_series(spark: SparkSession, sf: str) -> DataFrame:
-    return fill_months(supplier_month(spark, sf))
+def supplier_series(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return fill_months(supplier_month(spark, sf, whole))
 
 
 def supplier_calendar(

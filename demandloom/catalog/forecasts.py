@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from demandloom.catalog import fixtures as fx
 from demandloom.catalog import query
+from demandloom.catalog import scaling as scale
 from demandloom.catalog import scoring as sc
 from demandloom.catalog.fixtures import sql
+from demandloom.catalog.series import COVARIATES_SQL
 from demandloom.models.closed_form import LevelSmoothing, LinearTrend, OneLagAR, SeasonalNaive
 from demandloom.models.factor import FactorModel
+from demandloom.models.masked_factor import MaskedFactorModel
 from demandloom.models.per_series import AutoAR, ExpSmoothing, FourierTrend
 from demandloom.models.pooled import GlobalDirect, GlobalRecursive
 from demandloom.operators import metrics
@@ -111,6 +114,34 @@ def fc_fourier(spark: SparkSession, sf: str) -> DataFrame:
     return additive.unionByName(product)
 
 
+_WAVES = ", ".join(
+    f"('{f}_{k}', {f}({k} * 2 * pi() * (year(time_index) * 12 + month(time_index)) / 12))" for k in (1, 2, 3) for f in ("sin", "cos")
+)
+
+
+@query(
+    sql(
+        fx.SUPPLIER_SQL,
+        fx.FILLED_SQL,
+        fx.LOCAL_CAL_SQL,
+        """numbered AS (
+  SELECT series_id, time_index, CAST(value AS DOUBLE) AS y, row_number() OVER (PARTITION BY series_id ORDER BY time_index) - 1 AS t
+  FROM filled),
+seen AS (
+  SELECT c."window", n.*, count(*) OVER (PARTITION BY c."window", series_id) AS months
+  FROM numbered n JOIN cal c ON time_index <= validation_end_date)""",
+        f"""SELECT "window", series_id, x.name AS column, round(sum(y * x.value), 3) + 0.0 AS moment, 0.0::DOUBLE AS residual
+FROM seen, (VALUES ('constant', 1.0::DOUBLE), ('trend', t / 12.0::DOUBLE), {_WAVES}) x(name, value)
+WHERE months >= 24 OR (months >= 3 AND x.name IN ('constant', 'trend')) GROUP BY ALL""",
+    )
+)
+def fc_fourier_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Normal equations of trend and waves with change points: products with the series, and residuals at right angles to them."""
+    found = FourierTrend().moments(fx.supplier_series(spark, sf), fx.supplier_calendar(spark, sf, fx.LOCAL))
+    residual = F.round(F.abs("residual"), 6)
+    return found.withColumns({"moment": F.round("moment", 3) + 0.0, "residual": residual})
+
+
 @query()
 def local_backtest(spark: SparkSession, sf: str) -> DataFrame:
     """The three per-series models over every supplier and window, scored."""
@@ -146,12 +177,107 @@ def fc_global_recursive(spark: SparkSession, sf: str) -> DataFrame:
     return GlobalRecursive().forecast(brand_features(spark, sf), calendar, fx.GLOBAL)
 
 
+def _fit_sql(lookback: int, shift: int, horizon: int, past=(), future=(), static=(), shared_past=(), shared_future=()):
+    """Sums over the training rows of every scaled feature; a least-squares fit leaves no correlation with them."""
+    own = ("value", *past, *future)
+    limits = lambda names: ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in names)
+    unit = lambda cell, c, t: f"(({cell}) - {t}.lo_{c}) / (CASE WHEN {t}.hi_{c} = {t}.lo_{c} THEN 1 ELSE {t}.hi_{c} - {t}.lo_{c} END)"
+    steps = []
+    for h in range(1, horizon + 1):
+        cells = {f"{c}_lag_{k}": unit(f"s.{c}_lag_{k}", c, "l") for c in ("value", *past) for k in range(lookback)}
+        cells |= {f"shared_{c}_lag_{k}": unit(f"shared_{c}_lag_{k}", c, "g") for c in shared_past for k in range(lookback)}
+        # in fiftieths, as the largest size is 50
+        cells |= {c: f"CAST({c} AS DOUBLE) / 50" for c in static}
+        cells |= {f"{c}_ahead": unit(f"s.{c}_h{h}", c, "l") for c in future}
+        cells |= {f"shared_{c}_ahead": unit(f"shared_{c}_h{h}", c, "g") for c in shared_future}
+        cells |= {"constant": "1.0::DOUBLE"}
+        pairs = ", ".join(f"{{'feature': '{n}', 'x': {e}}}" for n, e in cells.items())
+        present = " AND ".join(f"{e} IS NOT NULL" for e in cells.values())
+        steps.append(
+            f"""SELECT "window", {h} AS step, f.feature, count(*) AS n, round(sum(f.x), 4) AS sum_x, round(sum(goal), 4) AS sum_y,
+  0.0::DOUBLE AS correlation
+FROM (SELECT "window", goal, unnest(fs) AS f FROM (
+  SELECT l."window", {unit(f's.y_{h}', 'value', 'l')} AS goal, [{pairs}] AS fs FROM trained s WHERE_JOINS
+  WHERE s.y_{h} IS NOT NULL AND {present})) GROUP BY ALL"""
+        )
+    joins = """JOIN lim l ON l."window" = s."window" AND l.series_id = s.series_id"""
+    parts = [
+        scale.own_sql(lookback, shift, horizon, past, future),
+        f"""trained AS (
+  SELECT c."window", s.* FROM samples s JOIN cal c ON sample_end <= train_end_date WHERE rn >= {lookback} AND c."window" % 3 = 0)""",
+        f"""lim AS (
+  SELECT c."window", series_id, {limits(own)} FROM filled JOIN cal c ON time_index <= train_end_date GROUP BY 1, 2)""",
+    ]
+    if shared_past or shared_future:
+        parts += [COVARIATES_SQL, scale.shared_sql(lookback, shift, horizon)]
+        parts += [f"""glim AS (
+  SELECT c."window", {limits((*shared_past, *shared_future))} FROM shared JOIN cal c ON time_index <= train_end_date GROUP BY 1)"""]
+        joins += """ JOIN glim g ON g."window" = s."window" JOIN around a ON a.time_index = s.time_index"""
+    if static:
+        parts.append(scale._BRAND_STATIC)
+        joins += " JOIN brand_static b ON b.series_id = s.series_id"
+    return [*parts, "\nUNION ALL ".join(steps).replace("WHERE_JOINS", joins)]
+
+
+_FEATURE_COLUMNS = scale.COVARIATE_COLUMNS + ", CAST(coalesce(d.future_quarter, 0) AS DOUBLE) AS future_quarter"
+_GLOBAL_CAL = fx.calendar_sql(fx.GLOBAL)
+_AHEAD = ("future_month", "future_quarter")
+
+
+def _fit_rows(found: DataFrame) -> DataFrame:
+    rounded = {c: F.round(c, 4) for c in ("sum_x", "sum_y")}
+    return found.withColumns(rounded | {"correlation": F.round(F.abs("correlation"), 3)})
+
+
+@query(
+    sql(
+        fx.BRAND_FULL_SQL,
+        fx.filled_sql(_FEATURE_COLUMNS),
+        _GLOBAL_CAL,
+        *_fit_sql(
+            6, 1, 3, ("past_lines", "past_avg_discount"), _AHEAD, ("static_mean_size",),
+            ("past_orders", "past_revenue"), ("future_month",),
+        ),
+    )
+)
+def fc_global_direct_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """The direct model's normal equations with all kinds of covariates: training sums, and residuals free of every feature."""
+    model = GlobalDirect(
+        lookback=6, instance_norm=False, ridge=0.0, static=_brand_static(spark, sf), shared=scale.shared_table(spark, sf)
+    )
+    return _fit_rows(model.residuals(brand_features(spark, sf), fx.brand_calendar(spark, sf, fx.GLOBAL), fx.GLOBAL))
+
+
+@query(
+    sql(fx.BRAND_FULL_SQL, fx.filled_sql(_FEATURE_COLUMNS), _GLOBAL_CAL, *_fit_sql(12, 0, 1, future=_AHEAD))
+)
+def fc_global_recursive_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """The one-step model's normal equations."""
+    model = GlobalRecursive(ridge=0.0)
+    return _fit_rows(model.residuals(brand_features(spark, sf), fx.brand_calendar(spark, sf, fx.GLOBAL), fx.GLOBAL))
+
+
+@query()
+def fc_global_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """The direct model with boosted trees over brands."""
+    calendar = fx.brand_calendar(spark, sf, fx.GLOBAL)
+    return GlobalDirect(lookback=6, learner="trees", name="GlobalTrees").forecast(brand_features(spark, sf), calendar, fx.GLOBAL)
+
+
 @query()
 def fc_factor(spark: SparkSession, sf: str) -> DataFrame:
     calendar = fx.supplier_calendar(spark, sf, fx.GLOBAL)
     return FactorModel().forecast(fx.supplier_series(spark, sf), calendar, fx.GLOBAL)
 
 
+@query()
+def fc_masked_factor(spark: SparkSession, sf: str) -> DataFrame:
+    """Common factors over observed months only, with a month-level covariate known in advance."""
+    calendar = fx.supplier_calendar(spark, sf, fx.GLOBAL)
+    model = MaskedFactorModel(shared=scale.shared_table(spark, sf))
+    return model.forecast(fx.supplier_series(spark, sf), calendar, fx.GLOBAL)
+
+
 @query()
 def global_backtest(spark: SparkSession, sf: str) -> DataFrame:
     """Global and joint models over every supplier, scored by window."""

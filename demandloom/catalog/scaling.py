@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from demandloom.catalog import fixtures as fx
 from demandloom.catalog import query
 from demandloom.catalog.fixtures import sql
-from demandloom.catalog.series import static_part
+from demandloom.catalog.series import COVARIATES_SQL, month_covariates, static_part
 from demandloom.config import BacktestConfig
+from demandloom.operators import lookback as lb
 from demandloom.operators import samples as smp
+from demandloom.operators import scalers
 from demandloom.operators import scaling as ops
 from demandloom.operators import series as series_ops
 from demandloom.operators.windows import split
@@ -73,6 +75,54 @@ def minmax_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_SCALERS_SQL = """known AS (
+  SELECT c."window", series_id, CAST(value AS DOUBLE) AS v FROM filled JOIN cal c ON time_index <= train_end_date),
+params AS (
+  SELECT 'standard' AS scaler, "window", series_id, avg(v) AS low, avg(v) + stddev_pop(v) AS high FROM known GROUP BY ALL
+  UNION ALL
+  SELECT 'robust', "window", series_id, quantile_cont(v, 0.5),
+    quantile_cont(v, 0.5) + quantile_cont(v, 0.75) - quantile_cont(v, 0.25) FROM known GROUP BY ALL)"""
+_SCALERS = (scalers.Standard(), scalers.Robust())
+
+
+@query(sql(*SUPPLIERS, _SCALERS_SQL, 'SELECT scaler, "window", series_id, round(low, 6) AS low, round(high, 6) AS high FROM params'))
+def scaler_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean and deviation, median and quartile distance of every window's train months."""
+    series, calendar = fx.supplier_series(spark, sf), fx.supplier_calendar(spark, sf)
+    parts = [_fitted(series, calendar, s) for s in _SCALERS]
+    return parts[0].unionByName(parts[1])
+
+
+def _fitted(series: DataFrame, calendar: DataFrame, scaler: scalers.Scaler) -> DataFrame:
+    fitted = scalers.fit_scaler(series, calendar, scaler)
+    rounded = [F.round(c, 6).alias(c) for c in ("low", "high")]
+    return fitted.select(F.lit(scaler.name).alias("scaler"), "window", "series_id", *rounded)
+
+
+@query(
+    sql(
+        *SUPPLIERS,
+        _SCALERS_SQL,
+        """SELECT p.scaler, p."window", p.series_id, f.time_index, round((f.value - low) / (CASE WHEN high = low THEN 1 ELSE high - low END), 6) AS scaled,
+  round(f.value, 6) AS restored
+FROM params p JOIN cal c ON c."window" = p."window"
+JOIN filled f ON f.series_id = p.series_id AND f.time_index BETWEEN c.forecast_start AND c.forecast_end""",
+    )
+)
+def scaler_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The test split scaled with either scaler's parameters and restored."""
+    series, calendar = fx.supplier_series(spark, sf), fx.supplier_calendar(spark, sf)
+    test = split(series, calendar, "test")
+    parts = []
+    for scaler in _SCALERS:
+        params = scalers.fit_scaler(series, calendar, scaler)
+        scaled = ops.apply_minmax(test, params).withColumnRenamed("value", "scaled")
+        back = ops.invert_minmax(scaled.withColumn("restored", F.col("scaled")), params, "restored")
+        rounded = [F.round(c, 6).alias(c) for c in ("scaled", "restored")]
+        parts.append(back.select(F.lit(scaler.name).alias("scaler"), "window", "series_id", "time_index", *rounded))
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     """WITH lim AS (SELECT min(p_size) AS a, max(p_size) AS b, min(p_retailprice) AS c, max(p_retailprice) AS d FROM part)
 SELECT CAST(p_partkey AS VARCHAR) AS series_id,
@@ -91,7 +141,7 @@ def static_encode(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     sql(
-        fx.SUPPLIER_SQL,
+        fx.SUPPLIER_ALL_SQL,
         fx.FILLED_SQL,
         """stats AS (
   SELECT *, avg(value) OVER w AS chunk_mean, sqrt(var_pop(value) OVER w + 1e-5) AS chunk_std, count(*) OVER w AS n
@@ -101,7 +151,7 @@ def static_encode(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def instance_norm(spark: SparkSession, sf: str) -> DataFrame:
-    normed = ops.instance_norm(fx.supplier_series(spark, sf), 12)
+    normed = ops.instance_norm(fx.supplier_series(spark, sf, whole=True), 12)
     rounded = ("chunk_mean", "chunk_std", "value_norm")
     return normed.withColumns({c: F.round(c, 6) for c in rounded})
 
@@ -184,6 +234,61 @@ def sample_features(spark: SparkSession, sf: str) -> DataFrame:
     return smp.attach_static(train, dim, ["static_mean_size"])
 
 
+def shared_sql(lookback: int, shift: int, horizon: int) -> str:
+    """Lags and leads of the shared covariates at every month, NULL outside their months."""
+    lags = [f"lag({c}, {k}) OVER m AS shared_{c}_lag_{k}" for c in ("past_orders", "past_revenue") for k in range(lookback)]
+    leads = [f"lead(future_month, {shift + h}) OVER m AS shared_future_month_h{h}" for h in range(1, horizon + 1)]
+    return f"""ends AS (SELECT min(time_index) AS a, max(time_index) AS b FROM cov),
+months AS (
+  SELECT CAST(unnest(generate_series(a - INTERVAL 60 MONTH, b + INTERVAL 60 MONTH, INTERVAL 1 MONTH)) AS DATE) AS time_index, a, b
+  FROM ends),
+shared AS (
+  SELECT time_index, CAST(coalesce(past_orders, 0) AS DOUBLE) AS past_orders, coalesce(past_revenue, 0) AS past_revenue,
+    CAST(CASE WHEN past_orders IS NULL THEN 0 ELSE month(time_index) END AS DOUBLE) AS future_month
+  FROM months LEFT JOIN cov USING (time_index) WHERE time_index BETWEEN a AND b),
+around AS (
+  SELECT time_index, {", ".join(lags + leads)}
+  FROM months LEFT JOIN shared USING (time_index) WINDOW m AS (ORDER BY time_index))"""
+
+
+def own_sql(lookback: int, shift: int, horizon: int, past=("past_lines", "past_avg_discount"), future=("future_month",)) -> str:
+    """Lags and leads of a series' own columns."""
+    cells = [f"lag({c}, {k}) OVER w AS {c}_lag_{k}" for c in ("value", *past) for k in range(lookback)]
+    cells += [f"lead({c}, {shift + h}) OVER w AS {c}_h{h}" for c in future for h in range(1, horizon + 1)]
+    cells += [f"lead(value, {shift + h}) OVER w AS y_{h}" for h in range(1, horizon + 1)]
+    return f"""samples AS (
+  SELECT series_id, time_index, CAST(time_index + {shift + horizon} * INTERVAL 1 MONTH AS DATE) AS sample_end,
+    row_number() OVER w AS rn, {", ".join(cells)} FROM filled {_W})"""
+
+
+COVARIATE_COLUMNS = """CAST(coalesce(d.value, 0) AS DOUBLE) AS value, CAST(coalesce(d.past_lines, 0) AS DOUBLE) AS past_lines,
+    coalesce(d.past_avg_discount, 0) AS past_avg_discount, CAST(coalesce(d.future_month, 0) AS DOUBLE) AS future_month"""
+
+
+def shared_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders and revenue by month, gap-filled, with the month known in advance."""
+    table = month_covariates(spark, sf).withColumn("future_month", F.month("time_index"))
+    return series_ops.shared_covariates(table)
+
+
+@query(
+    sql(
+        fx.BRAND_FULL_ALL_SQL,
+        fx.filled_sql(COVARIATE_COLUMNS),
+        COVARIATES_SQL,
+        shared_sql(4, 1, 2),
+        own_sql(4, 1, 2),
+        "SELECT s.* EXCLUDE (rn), a.* EXCLUDE (time_index) FROM samples s JOIN around a USING (time_index) WHERE rn >= 4",
+    )
+)
+def sample_lookback(spark: SparkSession, sf: str) -> DataFrame:
+    """Own and shared covariates over the whole lookback, from month-indexed arrays."""
+    table = fx.brand_month(spark, sf, full=True, whole=True).drop("future_quarter")
+    names = [c for c in table.columns if c not in ("series_id", "time_index")]
+    samples = lb.lookback_samples(series_ops.fill_months(table, names), 4, 2, 1, shared_table(spark, sf))
+    return lb.as_columns(samples)
+
+
 @query(sql(*SUPPLIERS, 'SELECT c."window", f.* FROM filled f JOIN cal c ON f.time_index <= c.train_end_date'))
 def scaling_off(spark: SparkSession, sf: str) -> DataFrame:
     """Scaling switched off: the train split keeps its units."""

@@ -122,13 +122,13 @@ def pairing_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     sql(
-        fx.SUPPLIER_SQL,
+        fx.SUPPLIER_ALL_SQL,
         fx.FILLED_SQL,
         """SELECT series_id, time_index, value - 20 AS forecast, greatest(value - 20, 0) AS clipped FROM filled""",
     )
 )
 def clip_negative(spark: SparkSession, sf: str) -> DataFrame:
-    moved = fx.supplier_series(spark, sf).select(
+    moved = fx.supplier_series(spark, sf, whole=True).select(
         "series_id", "time_index", (F.col("value") - 20).alias("forecast")
     )
     return moved.withColumn("clipped", alignment.clip_nonneg(F.col("forecast")))

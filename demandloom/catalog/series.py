@@ -28,7 +28,7 @@ def load_demand(spark: SparkSession, sf: str) -> DataFrame:
     return read_demand(spark, f"{sf}/lineitem.parquet", SUPPLIER_SPEC)
 
 
-def _covariates(spark: SparkSession, sf: str) -> DataFrame:
+def month_covariates(spark: SparkSession, sf: str) -> DataFrame:
     revenue = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
     totals = {"past_orders": F.count(F.lit(1)), "past_revenue": revenue}
     return read_covariates(spark, f"{sf}/orders.parquet", "o_orderdate", totals)
@@ -36,7 +36,7 @@ def _covariates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql(COVARIATES_SQL, "SELECT *, CAST(month(time_index) AS INTEGER) AS future_month FROM cov"))
 def load_covariates(spark: SparkSession, sf: str) -> DataFrame:
-    return _covariates(spark, sf).withColumn("future_month", F.month("time_index"))
+    return month_covariates(spark, sf).withColumn("future_month", F.month("time_index"))
 
 
 @query(
@@ -125,8 +125,6 @@ def future_covariates(spark: SparkSession, sf: str) -> DataFrame:
     return ops.covariate_series(table, "future")
 
 
-# months that every series has
-_SHARED = "time_index BETWEEN (SELECT max(a) FROM span) AND (SELECT min(b) FROM span)"
 # the columns that SQL has to name; the query finds them in the data
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
@@ -137,11 +135,11 @@ BRANDS = [f"Brand#{i}" for i in range(1, 26)]
         fx.FILLED_SQL,
         "SELECT time_index, "
         + ", ".join(f"max(value) FILTER (WHERE series_id = '{b}') AS \"{b}\"" for b in BRANDS)
-        + f" FROM filled WHERE {_SHARED} GROUP BY 1",
+        + " FROM filled GROUP BY 1",
     )
 )
 def to_multivariate(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.to_wide(ops.common_span(fx.brand_series(spark, sf, whole=True)))
+    return ops.to_wide(fx.brand_series(spark, sf, whole=True), check_axis=False)
 
 
 @query(
@@ -155,7 +153,7 @@ FROM spine LEFT JOIN cov USING (time_index)""",
     )
 )
 def shared_covariates(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.shared_covariates(_covariates(spark, sf))
+    return ops.shared_covariates(month_covariates(spark, sf))
 
 
 def static_part(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,9 +189,9 @@ def cast_float32(spark: SparkSession, sf: str) -> DataFrame:
     return ops.demand_series(fx.supplier_lines(spark, sf, whole=True), as_float32=True)
 
 
-@query(sql(fx.BRAND_ALL_SQL, fx.FILLED_SQL, f"SELECT series_id, time_index, value FROM filled WHERE {_SHARED}"))
+@query(sql(fx.BRAND_ALL_SQL, fx.FILLED_SQL, "SELECT series_id, time_index, value FROM filled"))
 def to_univariate(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.to_long(ops.to_wide(ops.common_span(fx.brand_series(spark, sf, whole=True))))
+    return ops.to_long(ops.to_wide(fx.brand_series(spark, sf, whole=True), check_axis=False))
 
 
 @query(

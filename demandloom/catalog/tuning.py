@@ -54,7 +54,7 @@ _TRIAL_SELECT = """SELECT trial_number, name, CASE WHEN type = 'categorical' THE
 
 def demand_space(spark: SparkSession, sf: str) -> DataFrame:
     """A space whose ceiling and lookback range come from the demand."""
-    limits = fx.brand_series(spark, sf).agg(
+    limits = fx.brand_series(spark, sf, whole=True).agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"),
         F.countDistinct("time_index").alias("months"),
     )
@@ -79,7 +79,7 @@ def demand_space(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def demand_overrides(spark: SparkSession, sf: str) -> DataFrame:
-    months = fx.brand_series(spark, sf).agg(F.countDistinct("time_index").alias("months"))
+    months = fx.brand_series(spark, sf, whole=True).agg(F.countDistinct("time_index").alias("months"))
     none = F.lit(None).cast("double")
     lookbacks = F.array(*[F.lit(v) for v in ("3", "6", "9", "12")])
     rows = F.array(
@@ -108,7 +108,7 @@ def _readable(trials: DataFrame, space: DataFrame) -> DataFrame:
     )
 
 
-@query(sql(fx.BRAND_SQL, fx.FILLED_SQL, _LIMITS_SQL, SPACE_SQL, _draw_sql("space", TRIAL_NUMBERS, SEED), _TRIAL_SELECT))
+@query(sql(fx.BRAND_ALL_SQL, fx.FILLED_SQL, _LIMITS_SQL, SPACE_SQL, _draw_sql("space", TRIAL_NUMBERS, SEED), _TRIAL_SELECT))
 def make_trials(spark: SparkSession, sf: str) -> DataFrame:
     space = demand_space(spark, sf)
     return _readable(ops.make_trials(space, N_TRIALS, SEED), space)
@@ -116,7 +116,7 @@ def make_trials(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     sql(
-        fx.BRAND_SQL,
+        fx.BRAND_ALL_SQL,
         fx.FILLED_SQL,
         _LIMITS_SQL,
         SPACE_SQL,
@@ -166,7 +166,7 @@ SCORED = (
 
 def scored_trials(spark: SparkSession, sf: str) -> DataFrame:
     """Objective, WAPE by window and alpha of every trial, in one job."""
-    space = demand_space(spark, sf).filter(F.col("name") == "alpha")
+    space = ops.search_space(spark, {"alpha": {"type": "float", "low": 0.05, "high": 0.95}})
     trials = ops.make_trials(space, N_TRIALS, SEED).select(
         "trial_number", F.col("param_value").cast("double").alias("alpha")
     )

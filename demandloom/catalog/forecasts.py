@@ -11,7 +11,9 @@ from demandloom.catalog import scaling as scale
 from demandloom.catalog import scoring as sc
 from demandloom.catalog.fixtures import sql
 from demandloom.catalog.series import COVARIATES_SQL
+from demandloom.models.arima import OrderLimits
 from demandloom.models.closed_form import LevelSmoothing, LinearTrend, OneLagAR, SeasonalNaive
+from demandloom.models.ets import FORMS, SmoothingLimits
 from demandloom.models.factor import FactorModel
 from demandloom.models.masked_factor import MaskedFactorModel
 from demandloom.models.per_series import AutoAR, ExpSmoothing, FourierTrend
@@ -102,11 +104,108 @@ def fc_auto_smoothing(spark: SparkSession, sf: str) -> DataFrame:
     return _forecast(ExpSmoothing(), spark, sf)
 
 
+@query(
+    sql(
+        fx.SUPPLIER_SQL,
+        fx.FILLED_SQL,
+        fx.LOCAL_CAL_SQL,
+        """numbered AS (
+  SELECT series_id, time_index, CAST(value AS DOUBLE) AS y, row_number() OVER (PARTITION BY series_id ORDER BY time_index) - 1 AS t FROM filled),
+grid AS (
+  SELECT '(A,N,N)' AS form, 0 AS place, 3 AS k, a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS phi FROM (VALUES (0.02::DOUBLE), (0.2), (0.6), (0.95)) v(a)
+  UNION ALL SELECT '(A,A,N)', 1, 5, a, b, 1.0 FROM (VALUES (0.02::DOUBLE), (0.2), (0.6), (0.95)) v(a), (VALUES (0.05::DOUBLE), (0.4), (0.9)) w(b)
+  UNION ALL SELECT '(A,Ad,N)', 2, 6, a, b, phi FROM (VALUES (0.02::DOUBLE), (0.2), (0.6), (0.95)) v(a), (VALUES (0.05::DOUBLE), (0.4), (0.9)) w(b),
+    (VALUES (0.85::DOUBLE), (0.97)) x(phi)),
+starts AS (
+  SELECT series_id, avg(y) FILTER (WHERE t < 12) AS middle,
+    (avg(y) FILTER (WHERE t BETWEEN 12 AND 23) - avg(y) FILTER (WHERE t < 12)) / 12 AS rise FROM numbered GROUP BY 1),
+fold AS (
+  SELECT s.series_id, g.*, 11::BIGINT AS t, CASE WHEN place = 0 THEN middle ELSE middle + rise * 5.5 END AS level,
+    CASE WHEN place = 0 THEN 0.0 ELSE rise END AS slope, 0.0::DOUBLE AS sse FROM starts s, grid g
+  UNION ALL
+  SELECT f.series_id, form, place, k, a, b, phi, n.t, a * y + (1 - a) * (level + phi * slope),
+    CASE WHEN place = 0 THEN 0.0 ELSE b * (a * y + (1 - a) * (level + phi * slope) - level) + (1 - b) * phi * slope END,
+    sse + (y - level - phi * slope) * (y - level - phi * slope)
+  FROM fold f JOIN numbered n ON n.series_id = f.series_id AND n.t = f.t + 1),
+known AS (
+  SELECT c."window", series_id, max(t) AS t, var_pop(y) AS spread FROM numbered JOIN cal c ON time_index <= validation_end_date GROUP BY 1, 2),
+scored AS (
+  SELECT k."window", f.*, f.t - 11 AS m,
+    (f.t - 11) * ln(greatest(sse / (f.t - 11), 1e-10 * greatest(spread, 1e-12))) AS deviance
+  FROM fold f JOIN known k ON k.series_id = f.series_id AND k.t = f.t),
+likely AS (
+  SELECT *, deviance + 2 * k + 2 * k * (k + 1) / greatest(m - k - 1, 0.5) AS aicc FROM scored
+  QUALIFY row_number() OVER (PARTITION BY "window", series_id, place ORDER BY deviance, a, b, phi) = 1),
+best AS (
+  SELECT * FROM likely QUALIFY row_number() OVER (PARTITION BY "window", series_id ORDER BY aicc, place) = 1)""",
+        """SELECT "window", series_id, CAST(forecast_start + h * INTERVAL 1 MONTH AS DATE) AS time_index, form,
+  round(level + slope * list_sum(list_transform(range(1, h + 3), lambda j: phi ** j)), 4) AS forecast
+FROM best JOIN cal USING ("window"), range(3) t(h) WHERE forecast_start + h * INTERVAL 1 MONTH <= forecast_end""",
+        recursive=True,
+    )
+)
+def fc_auto_smoothing_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Smoothing without season from its start weights only: the folds, the likelihood, the choice of the form."""
+    limits = SmoothingLimits(forms=FORMS[:3], precision=1.0)
+    rows = _forecast(ExpSmoothing(limits), spark, sf)
+    return rows.select("window", "series_id", "time_index", "form", "forecast")
+
+
 @query()
 def fc_auto_ar(spark: SparkSession, sf: str) -> DataFrame:
     return _forecast(AutoAR(), spark, sf)
 
 
+@query(
+    sql(
+        fx.SUPPLIER_SQL,
+        fx.FILLED_SQL,
+        fx.LOCAL_CAL_SQL,
+        """numbered AS (
+  SELECT series_id, time_index, CAST(value AS DOUBLE) AS y, lag(CAST(value AS DOUBLE)) OVER s AS x, row_number() OVER s - 1 AS t
+  FROM filled WINDOW s AS (PARTITION BY series_id ORDER BY time_index)),
+seen AS (
+  SELECT c."window", n.*, count(*) OVER w AS n, last_value(y) OVER (w ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last
+  FROM numbered n JOIN cal c ON time_index <= validation_end_date WINDOW w AS (PARTITION BY c."window", series_id)),
+used AS (
+  SELECT * FROM seen
+  WHERE n >= 8 AND t >= greatest(1, least(CASE WHEN n >= 36 THEN 14 ELSE 1 END, n // 4), CASE WHEN n >= 36 THEN 12 * least(2, n // 36) ELSE 0 END)),
+sums AS (
+  SELECT "window", series_id, any_value(last) AS last, CAST(count(*) AS DOUBLE) AS m, sum(y) AS sy, sum(x) AS sx, sum(x * y) AS sxy,
+    sum(x * x) AS sxx, sum(y * y) AS syy FROM used GROUP BY 1, 2),
+slopes AS (
+  SELECT *, (m * sxy - sx * sy) / nullif(m * sxx - sx * sx, 0) AS b, sxy / nullif(sxx, 0) AS b0 FROM sums),
+fits AS (
+  SELECT "window", series_id, last, m, syy, '(0,0,0)(0,0,0)+c' AS form, 1 AS place, 2 AS k, sy / m AS c, 0.0 AS phi, syy - sy * sy / m AS sse FROM slopes
+  UNION ALL
+  SELECT "window", series_id, last, m, syy, '(1,0,0)(0,0,0)+c', 2, 3, (sy - b * sx) / m, b,
+    syy - sy * sy / m - b * (sxy - sx * sy / m) FROM slopes
+  UNION ALL SELECT "window", series_id, last, m, syy, '(0,0,0)(0,0,0)', 0, 1, 0.0, 0.0, syy FROM slopes
+  UNION ALL SELECT "window", series_id, last, m, syy, '(1,0,0)(0,0,0)', 3, 2, 0.0, b0, syy - b0 * sxy FROM slopes),
+scored AS (
+  SELECT *, m * ln(greatest(sse / m, 1e-10 * greatest(syy / m, 1e-12))) + 2 * k + 2 * k * (k + 1) / greatest(m - k - 1, 1) AS aicc
+  FROM fits WHERE abs(phi) < 1 AND m - k - 1 > 0),
+first AS (
+  SELECT * FROM scored WHERE place < 3 QUALIFY row_number() OVER (PARTITION BY "window", series_id ORDER BY aicc, place) = 1),
+best AS (
+  SELECT * FROM (
+    SELECT * FROM first
+    UNION ALL SELECT s.* FROM scored s JOIN first f ON f."window" = s."window" AND f.series_id = s.series_id
+    WHERE s.place = 3 AND f.place IN (0, 2))
+  QUALIFY row_number() OVER (PARTITION BY "window", series_id ORDER BY aicc, place) = 1),
+ahead AS (SELECT *, c + phi * (c + phi * last) AS f2 FROM best)""",
+        """SELECT "window", series_id, CAST(forecast_start + h * INTERVAL 1 MONTH AS DATE) AS time_index, form,
+  round(CASE h WHEN 0 THEN f2 WHEN 1 THEN c + phi * f2 ELSE c + phi * (c + phi * f2) END, 4) AS forecast
+FROM ahead a JOIN cal USING ("window"), range(3) t(h) WHERE forecast_start + h * INTERVAL 1 MONTH <= forecast_end""",
+    )
+)
+def fc_auto_ar_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The order search bounded to one lag without differencing: candidates, AICc, choice and recursion."""
+    limits = OrderLimits(max_p=1, max_q=0, max_seasonal_p=0, max_seasonal_q=0, max_d=0, max_seasonal_d=0)
+    rows = _forecast(AutoAR(limits), spark, sf)
+    return rows.select("window", "series_id", "time_index", "form", "forecast")
+
+
 @query()
 def fc_fourier(spark: SparkSession, sf: str) -> DataFrame:
     additive = _forecast(FourierTrend(), spark, sf)
@@ -278,6 +377,33 @@ def fc_masked_factor(spark: SparkSession, sf: str) -> DataFrame:
     return model.forecast(fx.supplier_series(spark, sf), calendar, fx.GLOBAL)
 
 
+@query(
+    sql(
+        fx.SUPPLIER_SQL,
+        fx.FILLED_SQL,
+        fx.calendar_sql(fx.GLOBAL),
+        """SELECT m.model, c."window", count(*) AS n_pairs, CAST(sum(value) AS DOUBLE) AS actual,
+  min(time_index) AS first_month, max(time_index) AS last_month
+FROM filled f JOIN cal c ON f.time_index BETWEEN forecast_start AND forecast_end,
+  (VALUES ('GlobalDirect'), ('GlobalRecursive'), ('FactorModel'), ('MaskedFactorModel')) m(model) GROUP BY 1, 2""",
+    )
+)
+def global_backtest_complete(spark: SparkSession, sf: str) -> DataFrame:
+    """Global and joint models are scored on all actuals of every window."""
+    series, calendar = fx.supplier_series(spark, sf), fx.supplier_calendar(spark, sf, fx.GLOBAL)
+    models = [GlobalDirect(), GlobalRecursive(), FactorModel(), MaskedFactorModel()]
+    return _complete_pairs(scored_pairs(series, calendar, models, fx.GLOBAL))
+
+
+def _complete_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.where("forecast IS NOT NULL").groupBy("model", "window").agg(
+        F.count("*").alias("n_pairs"),
+        F.sum("actual").cast("double").alias("actual"),
+        F.min("time_index").alias("first_month"),
+        F.max("time_index").alias("last_month"),
+    )
+
+
 @query()
 def global_backtest(spark: SparkSession, sf: str) -> DataFrame:
     """Global and joint models over every supplier, scored by window."""

@@ -356,9 +356,9 @@ def _fourier(params: dict[str, str]) -> FourierTrend:
     return FourierTrend(params["mode"] == "multiplicative", int(params["waves"]))
 
 
-@query()
-def tuned_backtest(spark: SparkSession, sf: str) -> DataFrame:
-    """Trend-and-waves model tuned on the windows before the backtest, then scored in it."""
+def _tuned(spark: SparkSession, sf: str):
+    """Trend-and-waves model tuned on the windows before the backtest, then scored in it; the study's path beside it."""
+    path = scratch_path(spark, "study")
     space = ops.search_space(
         spark,
         {
@@ -376,7 +376,38 @@ def tuned_backtest(spark: SparkSession, sf: str) -> DataFrame:
         n_trials=4,
         model_name="FourierTrend",
         timestamp="20010101_0000",
-        study_path=scratch_path(spark, "study"),
+        study_path=path,
         baselines=[SeasonalNaive()],
     )
-    return order_results([result.window_table()], "window")
+    return result, path
+
+
+@query()
+def tuned_backtest(spark: SparkSession, sf: str) -> DataFrame:
+    """The tuned model beside the seasonal naive, scored by window."""
+    return order_results([_tuned(spark, sf)[0].window_table()], "window")
+
+
+@query(
+    sql(
+        fx.SUPPLIER_SQL,
+        fx.FILLED_SQL,
+        fx.calendar_sql(fx.TUNING),
+        """SELECT 'backtest ' || m.model AS run, c."window", count(*) AS n_pairs, CAST(sum(value) AS DOUBLE) AS actual
+FROM filled f JOIN cal c ON f.time_index BETWEEN forecast_start AND forecast_end,
+  (VALUES ('FourierTrend'), ('SeasonalNaive')) m(model) GROUP BY ALL
+UNION ALL
+SELECT 'trial', CAST(r AS INTEGER), 3, NULL FROM range(4) t(r)""",
+    )
+)
+def tuned_backtest_complete(spark: SparkSession, sf: str) -> DataFrame:
+    """The tuned model and its baseline are scored on all actuals; every trial has a score for each tuning window."""
+    result, path = _tuned(spark, sf)
+    pairs = result.pairs.where("forecast IS NOT NULL").groupBy("model", "window").agg(
+        F.count("*").alias("n_pairs"), F.sum("actual").cast("double").alias("actual")
+    )
+    scored = F.size(F.filter("wape_by_window", lambda w: w.isNotNull())).cast("long").alias("n_pairs")
+    trials = ops.read_study(spark, path).where("value IS NOT NULL AND completed > started").select(
+        F.lit("trial").alias("run"), F.col("trial_number").alias("window"), scored, F.lit(None).cast("double").alias("actual")
+    )
+    return pairs.select(F.concat(F.lit("backtest "), "model").alias("run"), "window", "n_pairs", "actual").unionByName(trials)

@@ -1,8 +1,8 @@
 """Mixing sources to target weights by min-cost flow, then a seeded choice of documents.
 
 A document may belong to several sources.  Documents are aggregated by membership pattern; the driver
-sees one row per pattern (``max_patterns`` at most) and routes word capacity from patterns to source
-quotas.  Taking a pattern again costs more each time (0, 1, 2, ...), so quotas are met with as little
+sees one row per pattern (``max_patterns`` at most, and ``MAX_OVERLAPS`` of overlapping sources) and routes
+word capacity from patterns to source quotas.  Taking a pattern again costs more each time (0, 1, 2, ...), so quotas are met with as little
 repetition as possible.  Every pattern then takes whole passes over its documents and a rest.
 
 The rest is chosen by a hash of seed, id and text: the documents up to a threshold hash.  Those larger
@@ -15,7 +15,7 @@ condition on hash and size, it is applied to the documents without a join on ids
 from __future__ import annotations
 
 import math
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -29,6 +29,10 @@ from demandloom.plans.storage import cut_lineage
 
 SEED = 20
 MAX_REPEATS = 3
+# membership patterns that the driver sees, a name and two numbers each
+MAX_PATTERNS = 1_000_000
+# patterns of overlapping sources, which make the flow problem; sources of their own are not counted
+MAX_OVERLAPS = 4096
 # documents a hash bucket holds on average
 BUCKET_ROWS = 2048
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -108,7 +112,19 @@ class FlowNetwork:
 
 
 def route(patterns: dict[tuple[Source, ...], int], quotas: dict[Source, Quota], times: int) -> dict:
-    """Words to take of each pattern: quotas met as far as possible at the least cost of repetition."""
+    """Words to take of each pattern: quotas met as far as possible at the least cost of repetition.
+
+    A source that only one pattern has, of no other source, takes what it can of it; the others are a flow problem.
+    """
+    users = Counter(name for key in patterns for name in key)
+    alone = {k: min(times * s, round(quotas[k[0]].target)) for k, s in patterns.items() if len(k) == 1 and users[k[0]] == 1}
+    shared = {k: s for k, s in patterns.items() if k not in alone}
+    if len(shared) > MAX_OVERLAPS:
+        raise ValueError(f"more than {MAX_OVERLAPS} patterns of overlapping sources: merge sources")
+    return alone | _flow(shared, {n: q for n, q in quotas.items() if (n,) not in alone}, times)
+
+
+def _flow(patterns: dict[tuple[Source, ...], int], quotas: dict[Source, Quota], times: int) -> dict:
     keys, names = list(patterns), list(quotas)
     first_source = 1 + len(keys)
     net = FlowNetwork(first_source + len(names) + 1)
@@ -186,7 +202,7 @@ def _bounded(rows: DataFrame, most: int, what: str) -> list:
 
 
 def plan_mix(
-    rows: DataFrame, weights: Sequence[float] = (1, 2, 3), times: int = MAX_REPEATS, max_patterns: int = 4096
+    rows: DataFrame, weights: Sequence[float] = (1, 2, 3), times: int = MAX_REPEATS, max_patterns: int = MAX_PATTERNS
 ) -> MixPlan:
     """Plan a mix of ``rows`` (from :func:`sized`, read several times).
 
@@ -196,7 +212,10 @@ def plan_mix(
     totals = _bounded(rows.groupBy("pattern").agg(F.sum("size").alias("s"), F.count("*").alias("n")), max_patterns, "patterns")
     patterns = {tuple(r["pattern"]): r["s"] for r in totals}
     names = by_name({name for key in patterns for name in key})
-    sizes = [sum(s for key, s in patterns.items() if name in key) for name in names]
+    by_source: Counter = Counter()
+    for key, s in patterns.items():
+        by_source.update(dict.fromkeys(key, s))
+    sizes = [by_source[name] for name in names]
     share = [weights[i % len(weights)] for i in range(len(names))]
     targets = capped_targets(sizes, share, sum(patterns.values()), times)
     quotas = {n: Quota(s, t) for n, s, t in zip(names, sizes, targets)}

@@ -96,3 +96,26 @@ def test_no_untaken_document_fits_what_is_missing(make_docs):
     want = {r.doc_id: sum(x.repeats for x in taken if x.doc_id == r.doc_id) for r in taken if r.repeats}
     found = mixing.mixed_documents(docs, F.array("source"), plan).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in found} == want
+
+
+def test_sources_of_their_own_need_no_flow():
+    patterns = {(f"s{i:04d}",): 1 + i % 50 for i in range(300)}
+    names = [k[0] for k in patterns]
+    targets = mixing.capped_targets(list(patterns.values()), [1 + i % 3 for i in range(300)], sum(patterns.values()), 3)
+    quotas = {n: mixing.Quota(s, t) for n, s, t in zip(names, patterns.values(), targets)}
+    assert mixing.route(patterns, quotas, 3) == mixing._flow(patterns, quotas, 3)
+    mixed = patterns | {("s0001", "s0002"): 40}
+    assert mixing.route(mixed, quotas, 3) == mixing._flow(mixed, quotas, 3)
+
+
+def test_thousands_of_sources(make_docs, monkeypatch):
+    docs = make_docs([(i, " ".join(["w"] * (1 + i % 7)), None, f"s{i % 5000:04d}") for i in range(10_000)])
+    rows, plan = mixing.mix(docs, F.array("source"))
+    assert len(plan.quotas) == 5000
+    taken = mixing.mixed_sizes(rows, plan).agg(F.sum("taken"), F.max("repeats")).first()
+    assert taken[0] > 0 and taken[1] <= 3
+    monkeypatch.setattr(mixing, "MAX_OVERLAPS", 1)
+    both = make_docs([(1, "a", None, "x"), (2, "b", None, "y"), (3, "c", None, "z")])
+    overlapping = F.when(F.col("source") == "x", F.array(F.lit("x"))).otherwise(F.array(F.lit("x"), F.col("source")))
+    with pytest.raises(ValueError, match="overlapping"):
+        mixing.mix(both, overlapping)

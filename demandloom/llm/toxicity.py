@@ -220,12 +220,20 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text, label) for at most ``max_rows`` labelled ids in a fixed hash order.
+    """(doc_id, text, label) for at most ``max_rows`` rows of labelled ids in a fixed hash order.
 
     ``labels(doc_id, label)``: null labels and ids are left out; an id labelled twice takes the larger
-    label.  The sample is bounded, so it is sent to the documents instead of shuffling their texts.
+    label.  The sample is bounded, so it is sent to the documents instead of shuffling their texts.  Where ids repeat, the
+    rows of the sampled ids may be more: then equal rows count once and the first rows by a hash of id and text are taken.
     """
     one = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
-    return slim.join(F.broadcast(sample), "doc_id")
+    rows = slim.join(F.broadcast(sample), "doc_id")
+    if docs.select(F.col(id_col).cast("long").alias("doc_id")).join(F.broadcast(sample.select("doc_id")), "doc_id").count() <= max_rows:
+        return rows
+    # hashes instead of texts are ordered; rows under the last one are taken as far as they fit
+    placed = rows.withColumn("_h", F.xxhash64("doc_id", "text"))
+    first = placed.select("_h").distinct().orderBy("_h").limit(max_rows).agg(F.max("_h").alias("_last"))
+    kept = placed.join(F.broadcast(first), F.col("_h") <= F.col("_last")).drop("_last")
+    return kept.groupBy("_h").agg(*[F.min(c).alias(c) for c in ("doc_id", "text", "label")]).drop("_h")

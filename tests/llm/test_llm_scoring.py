@@ -248,6 +248,19 @@ def test_sample_is_bounded_and_takes_one_label(spark, make_docs):
     assert toxicity.labelled_sample(docs, labels, 10).count() == 10
 
 
+def test_sample_is_bounded_where_ids_repeat(spark, make_docs):
+    """Many rows of one id: equal ones count once, and of the others the first by a hash are taken."""
+    docs = make_docs([(1, f"t{i % 300}") for i in range(900)] + [(2, "two"), (3, "three")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, label int")
+    cut = toxicity.labelled_sample(docs, labels, 100).collect()
+    assert 90 <= len(cut) <= 100 and len({(r.doc_id, r.text) for r in cut}) == len(cut)
+    again = toxicity.labelled_sample(docs.repartition(7), labels, 100).collect()
+    assert sorted(map(tuple, cut)) == sorted(map(tuple, again))
+    whole = toxicity.labelled_sample(docs, labels, 500).collect()
+    assert len(whole) == 302 and {r.label for r in whole if r.doc_id == 1} == {1}
+    assert toxicity.train(toxicity.labelled_sample(docs, labels, 100)).bias == toxicity.train(toxicity.labelled_sample(docs, labels, 100)).bias
+
+
 def test_no_labels_give_one_half(spark, make_docs):
     labels = spark.createDataFrame([], "doc_id long, label int")
     model = toxicity.train(toxicity.labelled_sample(make_docs([(1, "x")]), labels, 10))

@@ -56,12 +56,13 @@ def forecast_all(
     """Forecasts of all models in one table.
 
     Batch models are an axis of one table, so they share one pass over the series whatever their number;
-    every other model is a branch of the plan.  ``fallback`` says what a model did where a history was too short for it.
+    every other model is a branch of the plan.  ``fallback``, there if any model has it, says what a model did where a
+    history was too short for it.
     """
     batch = {m.name: m.kernel() for m in models if isinstance(m, BatchForecaster)}
     parts = [fit_batches(series, calendar, cfg, batch)] if batch else []
     parts += [m.forecast(series, calendar, cfg) for m in models if not isinstance(m, BatchForecaster)]
-    columns = [*FORECAST_COLUMNS, "fallback"]
+    columns = [*FORECAST_COLUMNS, "fallback"] if any("fallback" in p.columns for p in parts) else FORECAST_COLUMNS
     parts = [p if "fallback" in p.columns else p.withColumn("fallback", F.lit(None).cast("string")) for p in parts]
     out = parts[0].select(*columns)
     for part in parts[1:]:

@@ -7,7 +7,11 @@ projected to the original bytes through that record.
 
 Encoding is made local without changing its result: no piece spans certain places (before a space mark
 that follows something else, around a character that is part of no longer piece), so the text is cut
-there and every distinct chunk is encoded once per task.  The cache is bounded and long chunks bypass it.
+there and every distinct chunk is encoded once per task while it is remembered.  Two generations of chunks are
+remembered: a full one becomes the older one, from which what is used again is taken over, so frequent
+chunks are never encoded anew.  Long chunks are not remembered.
+
+The new chunks of a slice of texts are merged together, one merge of each per turn, as rows of symbol numbers.
 """
 
 from __future__ import annotations
@@ -31,6 +35,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 CACHED_CHUNKS = 100_000
 LONG_CHUNK = 64
+# chunks merged together, in rows of 8, 16, .. characters
+TOGETHER = 4096
+NO_PAIR = 1 << 30
 
 
 class CharMap:
@@ -92,8 +99,39 @@ class Codec:
         ]
         self.shown = [s.replace(MARK.encode(), b" ") for s in self.surface]
         self.chunks = re.compile(self._chunk_pattern(), re.DOTALL)
+        self._number_symbols()
         self.clear()
 
+    def _number_symbols(self) -> None:
+        """Numbers of pieces and their characters, and of all pairs that make a piece: the place of its score, and it."""
+        # a model's own size bounds these tables
+        symbols = dict.fromkeys(self.ids)
+        symbols |= dict.fromkeys(c for p in self.ids for c in p)
+        number = {s: i for i, s in enumerate(symbols)}
+        self.piece_of = np.array([self.ids.get(s, -1) for s in symbols], np.int32)
+        self.symbol_of = np.full(0x110000, -1, np.int32)
+        for s, i in number.items():
+            if len(s) == 1:
+                self.symbol_of[ord(s)] = i
+        place = {s: i for i, s in enumerate(sorted(set(self.score.values()), reverse=True))}
+        pairs = {}
+        for piece, score in self.score.items():
+            for cut in range(1, len(piece)):
+                left, right = number.get(piece[:cut]), number.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = (place[score], number[piece])
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_place = np.array([pairs[k][0] for k in sorted(pairs)] + [NO_PAIR], np.int32)
+        self.pair_made = np.array([pairs[k][1] for k in sorted(pairs)] + [-1], np.int32)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Numbers of pairs of symbols; the last one for those that make no piece."""
+        keys = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pair_keys, keys)
+        known = (at < len(self.pair_keys)) & (left >= 0) & (right >= 0)
+        known &= self.pair_keys[np.minimum(at, max(0, len(self.pair_keys) - 1))] == keys if len(self.pair_keys) else False
+        return np.where(known, at, len(self.pair_keys))
+
     def _chunk_pattern(self) -> str:
         joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         inside = any(pair[1] == MARK and pair[0] != MARK for pair in joined)
@@ -105,6 +143,12 @@ class Codec:
 
     def clear(self) -> None:
         """Forget cached chunks."""
+        self._new_generation()
+        self._new_generation()
+
+    def _new_generation(self) -> None:
+        """Forget the older generation; the present one takes its place."""
+        self.older = (self.cache, self.flat_ids, self.flat_chars, self.begin, self.count) if hasattr(self, "cache") else None
         self.cache: dict[str, int] = {}
         # of all cached chunks one after another: piece ids, and the characters each piece takes
         self.flat_ids, self.flat_chars = array("i"), array("i")
@@ -211,6 +255,91 @@ class Codec:
             offer(i, after[i])
         return [p for p in parts if p]
 
+    def _merged_together(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, characters of each) of many chunks at once, -1 after a chunk's last symbol.
+
+        One merge of every chunk per turn: its best-scored pair, the left one among equals; only the two pairs beside a
+        merge are looked up again.
+        """
+        done, widths_done = symbols.copy(), (symbols >= 0).astype(np.int32)
+        rows, now, widths = np.arange(len(symbols)), symbols, widths_done.copy()
+        pairs = self._pairs(now[:, :-1], now[:, 1:])
+        while now.shape[1] > 1:
+            places = self.pair_place[pairs]
+            at = places.argmin(axis=1)
+            live = places[np.arange(len(now)), at] < NO_PAIR
+            if not live.all():
+                done[rows[~live], : now.shape[1]], widths_done[rows[~live], : now.shape[1]] = now[~live], widths[~live]
+                rows, now, widths, pairs, at = (x[live] for x in (rows, now, widths, pairs, at))
+                if not len(rows):
+                    break
+            own = np.arange(len(rows))
+            now[own, at] = self.pair_made[pairs[own, at]]
+            widths[own, at] += widths[own, at + 1]
+            # close the gap behind the merge; a row gets shorter by one
+            kept = np.arange(now.shape[1] - 1)[None, :]
+            kept = kept + (kept > at[:, None])
+            now, widths = np.take_along_axis(now, kept, 1), np.take_along_axis(widths, kept, 1)
+            done[rows, now.shape[1] :], widths_done[rows, now.shape[1] :] = -1, 0
+            if now.shape[1] > 1:
+                kept = np.arange(now.shape[1] - 1)[None, :]
+                pairs = np.take_along_axis(pairs, kept + (kept >= at[:, None]), 1)
+                for beside in (at - 1, at):
+                    inside = np.flatnonzero((beside >= 0) & (beside < now.shape[1] - 1))
+                    place = beside[inside]
+                    pairs[inside, place] = self._pairs(now[inside, place], now[inside, place + 1])
+        done[rows, : now.shape[1]], widths_done[rows, : now.shape[1]] = now, widths
+        return done, widths_done
+
+    def _learn_together(self, chunks: list[str]) -> None:
+        """Encode chunks of similar lengths and remember them."""
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        sizes = np.array([len(c) for c in chunks])
+        inside = np.arange(sizes.max()) < sizes[:, None]
+        symbols = np.full(inside.shape, -1, np.int32)
+        symbols[inside] = self.symbol_of[codes]
+        # characters that no piece has, or that are no piece of their own, are encoded one chunk at a time
+        plain = ((symbols >= 0) == inside).all(axis=1)
+        merged, widths = self._merged_together(symbols[plain])
+        pieces = np.where(merged >= 0, self.piece_of[merged], -1)
+        there = merged >= 0
+        whole = (there == (pieces >= 0)).all(axis=1)
+        places = np.flatnonzero(plain)
+        for i in [*np.flatnonzero(~plain), *places[~whole]]:
+            self._remember(chunks[i], *self._encode_chunk(chunks[i]))
+        there, counts = there[whole], there[whole].sum(axis=1)
+        begin = len(self.flat_ids) + np.cumsum(counts) - counts
+        first = len(self.begin)
+        self.flat_ids.frombytes(pieces[whole][there].astype(np.int32).tobytes())
+        self.flat_chars.frombytes(widths[whole][there].astype(np.int32).tobytes())
+        self.begin.frombytes(begin.astype(np.int64).tobytes())
+        self.count.frombytes(counts.astype(np.int64).tobytes())
+        self.cache.update((chunks[i], first + k) for k, i in enumerate(places[whole]))
+
+    def _remember(self, chunk: str, ids, chars) -> None:
+        self.cache[chunk] = len(self.begin)
+        self.begin.append(len(self.flat_ids))
+        self.count.append(len(ids))
+        self.flat_ids.extend(ids)
+        self.flat_chars.extend(chars)
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Put chunks into the present generation: from the older one, or encoded anew."""
+        fresh: dict[int, list[str]] = {}
+        for chunk in chunks:
+            known = self.older[0].get(chunk) if self.older else None
+            if known is not None:
+                _, ids, chars, begin, count = self.older
+                own = slice(begin[known], begin[known] + count[known])
+                self._remember(chunk, ids[own], chars[own])
+            elif len(chunk) > LONG_CHUNK:
+                self._remember(chunk, *self._encode_chunk(chunk))
+            else:
+                fresh.setdefault(-(-len(chunk) // 8), []).append(chunk)
+        for alike in fresh.values():
+            for at in range(0, len(alike), TOGETHER):
+                self._learn_together(alike[at : at + TOGETHER])
+
     def _encode_chunk(self, chunk: str) -> tuple[list[int], list[int]]:
         ids, chars = [], []
         for part in self._merged(chunk):
@@ -230,38 +359,27 @@ class Codec:
                 chars.append(len(part))
         return ids, chars
 
-    def _number(self, chunk: str) -> int:
-        """The cached chunk's number."""
-        number = self.cache.get(chunk)
-        if number is None:
-            ids, chars = self._encode_chunk(chunk)
-            number = len(self.begin)
-            self.begin.append(len(self.flat_ids))
-            self.count.append(len(ids))
-            self.flat_ids.extend(ids)
-            self.flat_chars.extend(chars)
-            if len(chunk) <= LONG_CHUNK:
-                self.cache[chunk] = number
-        return number
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(offsets, ids, starts, ends): pieces of text i are offsets[i]:offsets[i + 1]."""
         if len(self.begin) > CACHED_CHUNKS:
-            self.clear()
-        numbers, chunk_counts, bounds = array("q"), [], []
-        get, number = self.cache.get, self._number
+            self._new_generation()
+        chunks, chunk_counts, bounds = [], [], []
         for text in texts:
             norm, ends = self.normalise(text)
             bounds.append(ends)
             found = self.chunks.findall(norm)
             chunk_counts.append(len(found))
-            numbers.extend([n if (n := get(c)) is not None else number(c) for c in found])
+            chunks += found
+        cache = self.cache
+        self._learn(list(dict.fromkeys(c for c in chunks if c not in cache)))
+        numbers = np.fromiter(map(cache.__getitem__, chunks), np.int64, len(chunks))
+        for chunk in {c for c in chunks if len(c) > LONG_CHUNK}:
+            del cache[chunk]
         begin, count = np.frombuffer(self.begin, np.int64), np.frombuffer(self.count, np.int64)
-        chunk = np.frombuffer(numbers, np.int64) if numbers else np.zeros(0, np.int64)
-        lengths = count[chunk] if len(chunk) else np.zeros(0, np.int64)
+        lengths = count[numbers] if len(numbers) else np.zeros(0, np.int64)
         total = int(lengths.sum())
         first = np.cumsum(lengths) - lengths
-        at = np.repeat(begin[chunk] - first, lengths) + np.arange(total) if total else np.zeros(0, np.int64)
+        at = np.repeat(begin[numbers] - first, lengths) + np.arange(total) if total else np.zeros(0, np.int64)
         ids = np.frombuffer(self.flat_ids, np.int32)[at] if total else np.zeros(0, np.int32)
         chars = np.frombuffer(self.flat_chars, np.int32)[at] if total else np.zeros(0, np.int32)
         del begin, count
@@ -279,6 +397,17 @@ class Codec:
 
     def decode(self, ids: list[int]) -> bytes:
         """The text of piece ids in UTF-8; bytes that form no character become U+FFFD each."""
+        if ids and not self.spec.remove_extra_whitespaces and self.bytes_of.keys().isdisjoint(ids):
+            shown = self.shown
+            first = shown[ids[0]]
+            if first and self.spec.add_dummy_prefix and self.surface[ids[0]].startswith(MARK.encode()):
+                first = first[1:]
+            elif not first:
+                return self._decode_runs(ids)
+            return first + b"".join([shown[i] for i in ids[1:]])
+        return self._decode_runs(ids)
+
+    def _decode_runs(self, ids: list[int]) -> bytes:
         shown, bytes_of = self.shown, self.bytes_of
         out: list[bytes] = []
         run = bytearray()

@@ -41,7 +41,7 @@ SEED = 42
 HOT_BUCKET = 16
 # slots of the table of approximate shingle counts, which only orders shingles: its size is fixed
 COUNT_SLOTS = 1 << 18
-# pairs across components per member of a bucket from which another hub is tried first
+# pairs left across components per member of a bucket from which another hub is tried first
 CROWDED = 50
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -162,11 +162,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b")
 
 
-def _with_roots(members: DataFrame, links: DataFrame) -> DataFrame:
+def _star_roots(links: DataFrame) -> DataFrame:
+    """(node, root) of ``links(a, b)``, a the larger: links to hubs are mostly stars, so only the hubs are joined in rounds.
+
+    Every node hangs on its least hub; its other hubs are linked to that one, and so is a node that is a hub itself.
+    """
+    least = cut_lineage(links.groupBy("a").agg(F.min("b").alias("m")))
+    others = links.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+    hubs = links.select(F.col("b").alias("a")).distinct()
+    inner = least.join(hubs, "a", "left_semi").select("a", F.col("m").alias("b"))
+    core = cut_lineage(connected_components(others.unionByName(inner).distinct()))
+    of_hub = core.select(F.col("node").alias("m"), "root")
+    hanging = least.join(of_hub, "m", "left").select(F.col("a").alias("node"), F.coalesce("root", "m").alias("root"))
+    alone = core.join(least.select(F.col("a").alias("node")), "node", "left_anti")
+    return hanging.unionByName(alone)
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links; nodes that are missing are roots, before as after.
+
+    Only components that a link joins are looked at: few, however many nodes they have.
+    """
+    own = roots.select(F.col("node").alias("own"), "root")
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(own, F.col(end) == F.col("own"), "left").withColumn(end, F.coalesce("root", end)).drop("own", "root")
+    merged = cut_lineage(connected_components(ends.where("a <> b").distinct()))
+    renamed = merged.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = roots.join(renamed, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    return cut_lineage(moved.unionByName(merged))
+
+
+def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, with their component and the bucket's size."""
-    roots = connected_components(links)
-    known = members.drop("root", "members").join(roots, "node", "left")
-    known = known.withColumn("root", F.coalesce("root", "node"))
+    known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ends = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
     return cut_lineage(known.join(ends.where("lo <> hi").select("key", "members"), "key"))
 
@@ -234,7 +263,7 @@ def _across(left: DataFrame, right: DataFrame, percent: int, placed: bool) -> Da
         most = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1
         able = able & ((100 + percent) * most >= percent * (F.col("n") + F.col("n_b")))
     pairs = left.join(other, "key").where(able)
-    return pairs.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct()
+    return pairs.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b"))
 
 
 def _minority(members: DataFrame) -> DataFrame:
@@ -244,12 +273,12 @@ def _minority(members: DataFrame) -> DataFrame:
     return members.join(largest.select("key", F.col("top.root").alias("top_root")), "key").where("root <> top_root").drop("top_root")
 
 
-def set_links(
+def set_roots(
     nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80, hot_bucket: int | None = None
 ) -> DataFrame:
-    """(a, b): links that join the nodes of ``nodes(node, n, bands)`` as all links of similar candidates do.
+    """(node, root) of ``nodes(node, n, bands)`` whose component has a smaller node; the others are roots.
 
-    A pair whose ends other links join already may be missing.  ``sets_of(wanted)`` gives (node, members) of the nodes asked for.
+    ``sets_of(wanted)`` gives (node, members) of the nodes asked for.
     """
     hot_bucket = HOT_BUCKET if hot_bucket is None else hot_bucket
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -257,36 +286,36 @@ def set_links(
     shared = cut_lineage(keyed.join(several, "key").select("key", "node", "n"))
     sets = cut_lineage(sets_of(shared.select("node").distinct()))
     tested = cut_lineage(_hub_pairs(shared.withColumn("root", F.col("node")), F.col("node"), percent))
-    links = cut_lineage(_verified(tested, sets, percent))
-    mixed = _with_roots(shared, links)
+    roots = cut_lineage(_star_roots(cut_lineage(_verified(tested, sets, percent))))
+    mixed = _with_roots(shared, roots)
     small = mixed.where(F.col("members") <= hot_bucket)
     pairs = _across(small, small, percent, False)
     again = mixed.where(F.col("members") > hot_bucket).select("node").distinct()
     hot = cut_lineage(sets.join(again, "node", "left_semi"))
     if not hot.isEmpty():
-        prefixes = _prefixes(hot, _count_table(hot), percent)
-        links, members = _crowds(cut_lineage(prefixes), links, sets, percent)
-        pairs = pairs.unionByName(_across(_minority(members), members, percent, True))
+        prefixes = cut_lineage(_prefixes(hot, _count_table(hot), percent))
+        roots, members = _crowds(prefixes, roots, sets, percent)
+        pairs = pairs.unionByName(_across(_minority(members), members, percent, True).distinct())
     rest = pairs.distinct().join(tested, ["a", "b"], "left_anti")
-    return links.unionByName(_verified(rest, sets, percent))
+    return _joined(roots, _verified(rest, sets, percent))
 
 
-def _crowds(prefixes: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, members with their components): further hubs for buckets of many components, as long as they join a tenth
-    of those outside the largest one."""
+def _crowds(prefixes: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(roots, members with their components): further hubs where very many pairs are left across components, as long
+    as they join a tenth of those outside the largest one."""
     turn = 0
     while True:
-        members = _with_roots(prefixes, links)
+        members = _with_roots(prefixes, roots)
         outside = cut_lineage(_minority(members))
-        by_key = outside.groupBy("key").agg(F.count("*").alias("n")).join(members.select("key", "members").distinct(), "key")
-        load = by_key.agg(F.sum(F.col("n") * F.col("members")), F.sum("members")).first()
-        if not load[0] or load[0] <= CROWDED * load[1]:
-            return links, members
+        most = int(CROWDED * members.count())
+        # no more pairs are made than it takes to see that they are too many
+        if _across(outside, members, percent, True).limit(most + 1).count() <= most:
+            return roots, members
         turn += 1
         found = cut_lineage(_verified(_hub_pairs(members, F.xxhash64(F.lit(turn), "root", "node"), percent), sets, percent))
-        links = links.unionByName(found)
+        roots = _joined(roots, found)
         if 10 * found.count() < outside.select("node").distinct().count():
-            return links, _with_roots(prefixes, links)
+            return roots, _with_roots(prefixes, roots)
 
 
 def near_duplicates(
@@ -330,7 +359,7 @@ def near_duplicates(
         found = source.join(places, on).select("node", "digest", "text")
         return _shingle_sets(found, shingle).dropDuplicates(["node"])
 
-    roots = connected_components(set_links(nodes.select("node", "n", "bands"), sets_of, percent))
+    roots = set_roots(nodes.select("node", "n", "bands"), sets_of, percent)
     rooted = nodes.join(roots, "node", "left").select("digest", "smallest", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     labels = rooted.join(smallest, "root").select("digest", "component_id")

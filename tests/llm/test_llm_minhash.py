@@ -82,7 +82,7 @@ def test_a_hot_bucket_is_not_expanded_into_pairs(make_docs, monkeypatch):
 def test_hot_buckets_without_a_common_hub(make_docs, monkeypatch):
     """Copies too different from any hub: further hubs and the pairs left across components find the links."""
     rows = [(i, t, "en", "a") for i, t in enumerate(near_copies(150, length=40, edits=8))]
-    for hot, crowded in ((4, 1000), (4, 0.1), (1000, 50)):
+    for hot, crowded in ((4, 10**6), (4, 0.1), (1000, 1000)):
         monkeypatch.setattr(minhash, "HOT_BUCKET", hot)
         monkeypatch.setattr(minhash, "CROWDED", crowded)
         assert result(near_duplicates(make_docs(rows), 2)) == expected(rows, 2)
@@ -123,6 +123,20 @@ def test_links_reach_along_a_chain(make_docs):
     assert {r[2] for r in found} == {39}
 
 
+def test_stars_and_hubs_are_one_component(spark):
+    rng = np.random.default_rng(7)
+    pairs = {(int(max(p)), int(min(p))) for p in rng.integers(0, 60, (45, 2)) if p[0] != p[1]}
+    pairs |= {(200 + i, 100 + i % 3) for i in range(40)} | {(150, 100), (150, 101), (102, 150)}
+    pairs = {(max(p), min(p)) for p in pairs}
+    root = {n: n for p in pairs for n in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    links = spark.createDataFrame(sorted(pairs), "a long, b long")
+    found = {r.node: r.root for r in minhash._star_roots(links).collect()}
+    assert {n: found.get(n, n) for n in root} == root
+
+
 def test_empty_table(make_docs):
     assert near_duplicates(make_docs([])).count() == 0
 

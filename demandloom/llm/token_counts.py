@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from demandloom.plans.storage import cut_lineage
+
 BLOCK = 512
 
 
@@ -53,7 +55,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     """
     counted = lengths.where("n_tokens IS NOT NULL").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
     tokens = F.col("n_tokens") * F.col("n_docs")
-    counted = counted.withColumn("tokens", tokens).withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
+    # one row per length, read twice below; texts are encoded once
+    counted = cut_lineage(counted.withColumn("tokens", tokens).withColumn("block", F.expr(f"n_tokens div {BLOCK}")))
     # one row per block of lengths
     blocks = counted.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     later = Window.orderBy(F.desc("block"))

@@ -232,3 +232,18 @@ def test_minhash(spark, docs):
     assert sorted(r.doc_id for r in found) == sorted(sets)
     for r in found:
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root[r.doc_id], root[r.doc_id] == r.doc_id)
+
+
+def test_token_counts(spark, docs):
+    tiktoken = pytest.importorskip("tiktoken")
+    from demandloom.llm.token_counts import read_ranks
+
+    with open(public_tokenizers.path(queries.RANK_FILE), "rb") as f:
+        ranks = read_ranks(f.read())
+    coder = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    lengths = [len(coder.encode_ordinary(r.text or "")) for r in docs.values()]
+    found = {r.n_tokens: r for r in run(spark, "op10_token_counts")}
+    assert {n: r.n_docs for n, r in found.items()} == dict(Counter(lengths))
+    for n, r in found.items():
+        assert r.truncated_tokens == sum(min(n, x) for x in lengths)
+        assert r.tokens_at_least == sum(x for x in lengths if x >= n)

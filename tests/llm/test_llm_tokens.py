@@ -127,6 +127,15 @@ def test_lengths_and_histogram(make_docs, odd_rows):
         assert r.n_tokens == min(x for x in want if sum(y <= x for y in want) / len(want) >= r.share)
 
 
+def test_texts_are_encoded_once(make_docs, odd_rows):
+    lengths = token_counts.token_lengths(make_docs(odd_rows), rank_content(), public_tokenizers.PATTERN)
+    done = lengths.sparkSession.sparkContext.accumulator(0)
+    counting = F.udf(lambda n: (done.add(1), n)[1], "long")
+    token_counts.length_histogram(lengths.withColumn("n_tokens", counting("n_tokens"))).collect()
+    # the filter and the count may both ask for the length
+    assert done.value <= 2 * len(odd_rows)
+
+
 def test_no_lengths(spark):
     empty = spark.createDataFrame([], "doc_id long, n_tokens long")
     histogram = token_counts.length_histogram(empty)

@@ -25,6 +25,9 @@ from demandloom.plans.backtest import scored_pairs
 
 LOCAL_MODELS = [AutoAR(), ExpSmoothing(), FourierTrend()]
 
+# a supplier without lines in the first months has no demand there, as in its gaps
+FACTORS = FactorModel(before=0.0)
+
 
 def _forecast(model, spark: SparkSession, sf: str, cfg=fx.LOCAL) -> DataFrame:
     rows = model.forecast(fx.supplier_series(spark, sf), fx.supplier_calendar(spark, sf, cfg), cfg)
@@ -366,7 +369,7 @@ def fc_global_trees(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def fc_factor(spark: SparkSession, sf: str) -> DataFrame:
     calendar = fx.supplier_calendar(spark, sf, fx.GLOBAL)
-    return FactorModel().forecast(fx.supplier_series(spark, sf), calendar, fx.GLOBAL)
+    return FACTORS.forecast(fx.supplier_series(spark, sf), calendar, fx.GLOBAL)
 
 
 @query()

@@ -31,10 +31,15 @@ def _dot(left: Column, right: Column) -> Column:
 
 @dataclass(frozen=True)
 class FactorModel:
-    """Series must start in the same month; with ``common_span`` all are cut to the latest start."""
+    """Series must start in the same month, unless ``before`` or ``common_span`` says what to do where they don't.
+
+    ``before`` is the value of the months before a series' first one (zero where a month without lines is one without
+    demand, as in the gaps), so nothing is cut; with ``common_span`` all are cut to the latest start.
+    """
 
     factors: int = 3
     common_span: bool = False
+    before: float | None = None
     name: str = "FactorModel"
 
     def forecast(self, series: DataFrame, calendar: DataFrame, cfg: BacktestConfig) -> DataFrame:
@@ -46,9 +51,17 @@ class FactorModel:
                 "series_id", month_number(F.col("first_month")).alias("first_no"), "history"
             )
         )
-        earliest, origin = arrays.agg(F.min("first_no"), F.max("first_no")).first()
-        if earliest != origin and not self.common_span:
-            raise ValueError("series start in different months; set common_span to cut them to the latest start")
+        earliest, latest = arrays.agg(F.min("first_no"), F.max("first_no")).first()
+        if earliest != latest and not self.common_span and self.before is None:
+            raise ValueError(
+                "series start in different months; set before to fill the months that some lack, or common_span to cut "
+                "them to the latest start"
+            )
+        origin = latest if self.common_span else earliest
+        if origin != latest:
+            lead = F.array_repeat(F.lit(float(self.before)), F.col("first_no") - origin)
+            values = F.concat(lead, F.transform("history", lambda v: v.cast("double")))
+            arrays = arrays.select("series_id", F.lit(origin).alias("first_no"), values.alias("history"))
         parts = []
         for window, windows in model_windows(calendar, cfg).items():
             cut_no = _number(rows[window]["train_end_date"])

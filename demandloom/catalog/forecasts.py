@@ -411,7 +411,7 @@ def _complete_pairs(pairs: DataFrame) -> DataFrame:
 def global_backtest(spark: SparkSession, sf: str) -> DataFrame:
     """Global and joint models over every supplier, scored by window."""
     series, calendar = fx.supplier_series(spark, sf), fx.supplier_calendar(spark, sf, fx.GLOBAL)
-    models = [GlobalDirect(), GlobalRecursive(), FactorModel()]
+    models = [GlobalDirect(), GlobalRecursive(), FACTORS]
     pairs = scored_pairs(series, calendar, models, fx.GLOBAL)
     table = metrics.window_results(pairs, retrain_flags(calendar, fx.GLOBAL.retrain), sc.DATE)
     return metrics.order_results([table], "window").drop("model_hyperparameters")

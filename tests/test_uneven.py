@@ -53,3 +53,10 @@ def test_months_before_a_series_are_filled(spark):
 def test_fc_factor_forecasts_every_supplier(spark, tables):
     rows = catalog.QUERIES["fc_factor"](spark, tables).collect()
     assert len(rows) == 12 * 6 * 3 and all(r["forecast"] is not None for r in rows)
+
+
+def test_global_backtest_scores_every_window(spark, tables):
+    rows = catalog.QUERIES["global_backtest"](spark, tables).collect()
+    assert {(r["window"], r["model"]) for r in rows} == {
+        (w, m) for w in range(6) for m in ("GlobalDirect", "GlobalRecursive", "FactorModel")
+    }

@@ -394,7 +394,7 @@ FROM filled f JOIN cal c ON f.time_index BETWEEN forecast_start AND forecast_end
 def global_backtest_complete(spark: SparkSession, sf: str) -> DataFrame:
     """Global and joint models are scored on all actuals of every window."""
     series, calendar = fx.supplier_series(spark, sf), fx.supplier_calendar(spark, sf, fx.GLOBAL)
-    models = [GlobalDirect(), GlobalRecursive(), FactorModel(), MaskedFactorModel()]
+    models = [GlobalDirect(), GlobalRecursive(), FACTORS, MaskedFactorModel()]
     return _complete_pairs(scored_pairs(series, calendar, models, fx.GLOBAL))
 
 

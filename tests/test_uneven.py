@@ -60,3 +60,8 @@ def test_global_backtest_scores_every_window(spark, tables):
     assert {(r["window"], r["model"]) for r in rows} == {
         (w, m) for w in range(6) for m in ("GlobalDirect", "GlobalRecursive", "FactorModel")
     }
+
+
+def test_global_backtest_complete_scores_every_pair(spark, tables):
+    rows = catalog.QUERIES["global_backtest_complete"](spark, tables).collect()
+    assert len(rows) == 24 and {r["n_pairs"] for r in rows} == {12 * 3}

@@ -7,7 +7,7 @@ those of any scaler.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -25,6 +25,12 @@ class Scaler(Protocol):
     def limits(self, values: Column) -> tuple[Column, Column]: ...
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used: inside a lambda Spark computes a shared
+    expression anew for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, v: total + v) / F.size(values)
 
@@ -54,8 +60,8 @@ class Standard:
 
     def limits(self, values: Column) -> tuple[Column, Column]:
         known = F.when(F.size(values) > 0, values)
-        mean = _mean(known)
-        return mean, F.sqrt(_mean(F.transform(known, lambda v: (v - mean) * (v - mean))))
+        variance = _bound(_mean(known), lambda mean: _mean(F.transform(known, lambda v: (v - mean) * (v - mean))))
+        return _mean(known), F.sqrt(variance)
 
 
 @dataclass(frozen=True)
@@ -68,7 +74,8 @@ class Robust:
 
     def limits(self, values: Column) -> tuple[Column, Column]:
         ordered = F.array_sort(values)
-        return _quantile(ordered, 0.5), _quantile(ordered, self.upper) - _quantile(ordered, self.lower)
+        spread = lambda v: _quantile(v, self.upper) - _quantile(v, self.lower)
+        return _bound(ordered, lambda v: _quantile(v, 0.5)), _bound(ordered, spread)
 
 
 def safe_width(width: Column) -> Column:
@@ -81,17 +88,19 @@ def fit_scaler(
 ) -> DataFrame:
     """(window, variable, series_id, low, high) over the train split of every window, in one pass over each series.
 
-    ``df`` is gap-free.  A window's known months are a prefix of the series' array, so nothing is repeated per window.
+    ``df`` is gap-free.  A window's known months are a prefix of the series' array; a row holds one window's while its limits are
+    taken, so they are computed once and nothing is shuffled per window.
     """
     # one row per window
     ends = {r["window"]: r["train_end_date"].year * 12 + r["train_end_date"].month for r in calendar.collect()}
     parts = []
     for window, end in ends.items():
         known = F.greatest(F.lit(end) - F.col("first_no") + 1, F.lit(0))
-        for variable in variables:
-            low, width = scaler.limits(F.slice(variable, 1, known))
-            parts.append(
-                F.struct(F.lit(window).alias("window"), F.lit(variable).alias("variable"), low.alias("low"), (low + width).alias("high"))
-            )
-    fitted = month_arrays(df, variables).select("series_id", F.inline(F.array(*parts)))
-    return fitted.where(F.col("low").isNotNull()).select("window", "variable", "series_id", "low", "high")
+        parts += [
+            F.struct(F.lit(window).alias("window"), F.lit(v).alias("variable"), F.slice(v, 1, known).alias("_known"))
+            for v in variables
+        ]
+    cut = month_arrays(df, variables).select("series_id", F.inline(F.array(*parts)))
+    low, width = scaler.limits(F.col("_known"))
+    fitted = cut.select("window", "variable", "series_id", low.alias("low"), width.alias("_width"))
+    return fitted.where(F.col("low").isNotNull()).withColumn("high", F.col("low") + F.col("_width")).drop("_width")

@@ -105,3 +105,16 @@ def test_a_scaler_can_be_plugged_into_a_global_model(spark, scaler):
     rows = model.forecast(df, calendar, cfg).collect()
     assert len(rows) == 2 * 4 * 3
     assert all(abs(r["forecast"] - actual[r["series_id"], r["time_index"]]) < 2 for r in rows)
+
+
+def test_scalers_compute_what_they_share_once(spark):
+    """Mean and sorted values are bound, not computed anew for every element or neighbour."""
+    values = [float((7 * i) % 31) for i in range(200)]
+    row = spark.createDataFrame([(values,)], "v array<double>")
+    for scaler, shared, times, want in (
+        (scalers.Standard(), "aggregate(", 2, (np.mean(values), np.std(values))),
+        (scalers.Robust(), "array_sort(", 1, (np.median(values), np.subtract(*np.quantile(values, (0.75, 0.25))))),
+    ):
+        offset, width = scaler.limits(F.col("v"))
+        assert str(width).count(shared) == times
+        assert tuple(row.select(offset, width).first()) == pytest.approx(want, rel=1e-12)

@@ -423,3 +423,41 @@ def test_the_latest_month_counts_as_asked(spark, drop):
     result = backtest_lines(lines, [SeasonalNaive()], cfg)
     last = result.pairs.agg(F.max("time_index")).first()[0]
     assert (last.year - 2000) * 12 + last.month - 1 == (70 if drop else 71)
+
+
+def test_smoothing_folds_no_move_that_cannot_help(monkeypatch):
+    """A move stopped by a bound is where the history is already; it is not folded again."""
+    rng = np.random.default_rng(8)
+    fold, run, best = ets._Fold(50 + rng.normal(0, 4, (1, 60)), ets.Form("A", "A"), 12), ets._Fold.run, []
+
+    def watched(self, weights, rows):
+        out = run(self, weights, rows)
+        points = [(d, tuple(w)) for d, w in zip(out[0].ravel(), weights.reshape(-1, 4))]
+        assert not best or min(best)[1] not in [w for _, w in points]
+        best.extend(points)
+        return out
+
+    monkeypatch.setattr(ets._Fold, "run", watched)
+    weights, deviance = fold.search(ets.SmoothingLimits())
+    assert 0.01 in weights and deviance == min(best)[0]
+
+
+def test_smoothing_is_the_same_in_blocks_of_any_size(monkeypatch):
+    z = 50 + 10 * np.sin(np.arange(60) / 3) + np.random.default_rng(8).normal(0, 4, (9, 60))
+    whole = [ets._Fold(z, form, 12).search(ets.SmoothingLimits()) for form in ets.FORMS]
+    monkeypatch.setattr(ets, "BLOCK", 5)
+    for form, want in zip(ets.FORMS, whole):
+        assert all(np.array_equal(a, b) for a, b in zip(want, ets._Fold(z, form, 12).search(ets.SmoothingLimits())))
+
+
+def test_stability_is_decided_on_the_impulse_response():
+    rng = np.random.default_rng(9)
+    for lags in ([], [1], [1, 2, 12], [12, 24]):
+        weights = rng.normal(0, 0.6, (200, len(lags)))
+        path = np.zeros((200, arima.HORIZON + 1))
+        path[:, 0] = 1.0
+        for t in range(1, arima.HORIZON + 1):
+            for i, k in enumerate(lags):
+                path[:, t] += weights[:, i] * path[:, t - k] if k <= t else 0.0
+        want = np.abs(path[:, -max(lags) :]).max(axis=1) < 1.0 if lags else np.ones(200, dtype=bool)
+        assert np.array_equal(arima._stable(weights, lags), want)

@@ -1,15 +1,15 @@
 """Line dedup by a segment-partition edit join, in DataFrame expressions only.
 
-Lines at most ``threshold`` edits apart are linked.  An index line is cut into threshold + 1 segments; a
-line within the threshold contains one of them unchanged, near the same place.  So every line indexes
-the hashes of its segments by (length, segment number), and probes, for each length it may be close to,
-the substrings that can line up with a segment (multi-match-aware positions: 12 probes at threshold 2).
-Candidates are verified with a banded bit-parallel edit distance.
-
-Only hashes are dealt out for the join.  Line texts are shuffled once, pre-aggregated by a 64-bit hash
-of the line; that exchange serves index, probes and verification.  A segment that many index lines share
-(variants of one template) would verify all its pairs; members of such segments also carry letter
-counts, each edit can change their sum by two at most, and the join tests that first.
+Lines at most ``threshold`` edits apart are linked.  A line is cut into threshold + 1 segments whose sizes
+depend on its length class only; a line within the threshold contains one of them unchanged, near the same
+place.  So every line offers the hashes of its segments, and looks up the substrings that can line up with a
+segment (multi-match-aware positions: 5 rows a line at threshold 2, and 5 more for the few lines near the lower
+end of their class, which look into the class below).
+
+Only hashes are dealt out by segment.  Line texts are shuffled once, pre-aggregated by a 64-bit hash of
+the line, and meet again the few segments that different lines share.  Each edit changes two letter counts
+by one at most: that sum is tested before the distance.  In a segment that many lines share (variants of one
+template) the counts are keys: the letters are dealt into 2 x threshold + 1 groups, one of which no edit changes.
 """
 
 from __future__ import annotations
@@ -27,9 +27,12 @@ THRESHOLD = 2
 MIN_CHARS = 24
 # the shortest lines the band can compare
 SHORTEST = 2 * THRESHOLD + 2
-# index lines of one segment before letter counts are tested
+# index lines of one segment before its lines are keyed again by letter counts
 HOT_SEGMENT = 64
-COUNTED_LETTERS = ("a", "e", "i", "o", "n", "r", "s", "t")
+# from frequent to rare, so that dealing them in turn makes groups alike
+COUNTED_LETTERS = "etaonishrdlucmfwypvbgkjqxz"
+# characters up to which Spark's own distance, whose steps grow with the square, is faster than the band
+LONG_LINE = 4096
 # words of the bit vectors
 WORD = 62
 
@@ -41,82 +44,95 @@ def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return trimmed.withColumn("k", F.xxhash64("line"))
 
 
-def _sized(lines: DataFrame, threshold: int, name: str) -> DataFrame:
-    """Lines (their hash as ``name``) with their length and, for it and every length down to the threshold, how segments are cut.
+def _class_start(length: Column) -> Column:
+    """The least length of a line's length class; lines of one class are cut alike."""
+    return (
+        F.when(length < 32, length).when(length < 256, length - length % 8).otherwise(length - length % 32).cast("int")
+    )
+
 
-    short_d is the length of a short segment of a line that is d characters shorter and first_long_d the
-    number of the first segment that is one longer.  They are columns, so each is evaluated once a line.
+def segment_rows(lines: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+    """(key, k, indexed) of ``lines(k, line, length)``: own segments, which are index and probe, and further probes.
+
+    Segments have the sizes of their class.  All but the last are counted from the start, the last from the
+    end; what longer lines of the class have more lies before it and is in no segment.  Of an edit script of at most
+    ``threshold`` edits, some segment i is untouched and has i edits before it, threshold - i at most after it; so
+    it is at most i places off in the longer line, the first and the last one not at all.
     """
     parts = threshold + 1
-    out = lines.select(F.col("k").alias(name), "line", F.char_length("line").alias("length"))
+    # columns, so each is evaluated once a line
+    sized = lines.withColumns({f"base_{d}": _class_start(F.col("length") - d) for d in range(parts)})
+    sized = sized.withColumns({f"size_{d}": F.floor(F.col(f"base_{d}") / parts).cast("int") for d in range(parts)})
+    rows = []
     for shorter in range(parts):
-        target = F.col("length") - shorter
-        short = F.floor(target / parts).cast("int")
-        out = out.withColumn(f"short_{shorter}", short)
-        out = out.withColumn(f"first_long_{shorter}", F.lit(parts) - (target - F.col(f"short_{shorter}") * parts))
-    return out
-
-
-def _segment(shorter: int, number: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of a segment of a line that is ``shorter`` characters shorter."""
-    short, first_long = F.col(f"short_{shorter}"), F.col(f"first_long_{shorter}")
-    start = F.lit(1) + short * number + F.greatest(F.lit(number) - first_long, F.lit(0))
-    return start, short + (F.lit(number) >= first_long).cast("int")
-
-
-def _key(shorter: int, number: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.col("length") - shorter, F.lit(number), F.substr("line", start, size))
-
-
-def index_rows(sized: DataFrame, threshold: int) -> DataFrame:
-    """(a, key): the segments of every line."""
-    keys = [_key(0, i, *_segment(0, i)) for i in range(threshold + 1)]
-    return sized.select("a", F.explode(F.array(*keys)).alias("key"))
-
-
-def probe_rows(sized: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """(b, key, same): the substrings to look up; ``same`` where the index line is of equal length."""
-    probes = []
-    for shorter in range(threshold + 1):
-        for i in range(threshold + 1):
-            start, size = _segment(shorter, i)
-            low = max(-i, shorter - (threshold - i))
-            high = min(i, shorter + (threshold - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                possible = (F.col("length") - shorter >= min_chars) & (at >= 1) & (at + size - 1 <= F.col("length"))
-                key = F.when(possible, _key(shorter, i, at, size))
-                probes.append(F.struct(key.alias("key"), F.lit(shorter == 0).alias("same")))
-    return sized.select("b", F.inline(F.array(*probes))).where("key IS NOT NULL")
+        base, size = F.col(f"base_{shorter}"), F.col(f"size_{shorter}")
+        # a longer line also looks into the class below, where the threshold reaches it
+        wanted = F.col("length") - shorter >= min_chars
+        if shorter:
+            wanted = wanted & (base != F.col(f"base_{shorter - 1}"))
+        for i in range(parts):
+            own = base - size * threshold if i == threshold else size
+            for shift in range(max(-i, i - threshold), i + 1) if i < threshold else [0]:
+                at = F.col("length") - own + 1 if i == threshold else size * i + (1 + shift)
+                possible = wanted & (at >= 1) & (at + own - 1 <= F.col("length"))
+                key = F.when(possible, F.xxhash64(base, F.lit(i), F.substr("line", at, own)))
+                rows.append(F.struct(key.alias("key"), F.lit(shorter == 0 and shift == 0).alias("indexed")))
+    return sized.select("k", F.inline(F.array(*rows))).where("key IS NOT NULL")
+
+
+def shared_segments(lines: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+    """(key, k, indexed, indexing): the rows of segments that different lines share; indexing counts the index rows."""
+    same = Window.partitionBy("key")
+    counted = segment_rows(lines, threshold, min_chars).select(
+        "*",
+        F.count_if("indexed").over(same).alias("indexing"),
+        F.min("k").over(same).alias("lo"),
+        F.max("k").over(same).alias("hi"),
+    )
+    return counted.where("lo <> hi AND indexing > 0").drop("lo", "hi")
 
 
 def _letter_counts(line: Column) -> Column:
-    return F.array(*(F.char_length(line) - F.char_length(F.replace(line, F.lit(c))) for c in COUNTED_LETTERS))
-
-
-def candidates(lines: DataFrame, threshold: int, min_chars: int, hot_segment: int) -> DataFrame:
-    """(a, b): hashes of lines that share a segment; b is the longer or, at equal length, the larger."""
-    long_lines = lines.where(F.char_length("line") >= min_chars)
-    per_key = F.count("*").over(Window.partitionBy("key"))
-    # both branches below use the same columns of these two, so Spark deals each of them out once
-    index = index_rows(_sized(long_lines, threshold, "a"), threshold).withColumn("sharing", per_key)
-    probes = probe_rows(_sized(long_lines, threshold, "b"), threshold, min_chars)
-    once = (F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b")))
-    cold = index.where(F.col("sharing") <= hot_segment).join(probes, "key").where(once).select("a", "b")
-
-    hot_index = index.where(F.col("sharing") > hot_segment).select("key", "a")
-    shared = hot_index.withColumnRenamed("key", "hot_key")
-    hot_probes = probes.join(shared, (F.col("key") == F.col("hot_key")) & (F.col("a") != F.col("b")), "left_semi")
-    counted = long_lines.select("k", _letter_counts(F.col("line")).alias("letters"))
-    left = hot_index.join(counted.withColumnsRenamed({"k": "a", "letters": "letters_a"}), "a")
-    right = hot_probes.join(counted.withColumnsRenamed({"k": "b", "letters": "letters_b"}), "b")
-    changes = sum(F.abs(F.get("letters_a", F.lit(i)) - F.get("letters_b", F.lit(i))) for i in range(len(COUNTED_LETTERS)))
-    hot = left.join(right, "key").where(once & (changes <= 2 * threshold)).select("a", "b")
-    return cold.unionByName(hot).distinct()
+    """How often every counted letter stands in a line, and last how often anything else."""
+    rest = F.char_length(F.translate(line, COUNTED_LETTERS, ""))
+    return F.array(*(F.char_length(line) - F.char_length(F.replace(line, F.lit(c))) for c in COUNTED_LETTERS), rest)
+
+
+def members(lines: DataFrame, threshold: int, min_chars: int, hot_segment: int) -> DataFrame:
+    """(key, k, indexed, line, length, letters): lines by the segments they share, those of hot segments by groups of letter counts too."""
+    shared = shared_segments(lines, threshold, min_chars)
+    counted = shared.join(lines, "k").withColumn("letters", _letter_counts(F.col("line")))
+    groups = 2 * threshold + 1
+    slots = range(len(COUNTED_LETTERS) + 1)
+    again = [
+        F.xxhash64("key", F.lit(g), *(F.get("letters", F.lit(i)) for i in slots if i % groups == g)) for g in range(groups)
+    ]
+    keys = F.when(F.col("indexing") > hot_segment, F.array(*again)).otherwise(F.array("key"))
+    return counted.select(F.explode(keys).alias("key"), "k", "indexed", "line", "length", "letters")
+
+
+def candidates(keyed: DataFrame, threshold: int) -> DataFrame:
+    """(k_a, k_b, line_a, line_b): members of one key whose lengths and letter counts allow the threshold; b is the longer
+    or, at equal length, the larger.  A pair may come once for each key it shares."""
+    columns = ("k", "line", "length", "letters")
+    left = keyed.where("indexed").select("key", *(F.col(c).alias(f"{c}_a") for c in columns))
+    right = keyed.select("key", *(F.col(c).alias(f"{c}_b") for c in columns))
+    longer = F.col("length_b") - F.col("length_a")
+    once = longer.between(1, threshold) | ((longer == 0) & (F.col("k_a") < F.col("k_b")))
+    slots = [F.lit(i) for i in range(len(COUNTED_LETTERS) + 1)]
+    changes = sum(F.abs(F.get("letters_a", i) - F.get("letters_b", i)) for i in slots)
+    pairs = left.join(right, "key").where(once & (changes <= 2 * threshold))
+    return pairs.select("k_a", "k_b", "line_a", "line_b")
 
 
 def within_distance(s: Column, r: Column, threshold: int) -> Column:
-    """Whether two texts, ``s`` at most ``threshold`` characters the shorter, are that many edits apart.
+    """Whether two texts, ``s`` at most ``threshold`` characters the shorter, are that many edits apart."""
+    short = F.char_length(r) <= LONG_LINE
+    return F.when(short, F.levenshtein(s, r, threshold) >= 0).otherwise(within_band(s, r, threshold))
+
+
+def within_band(s: Column, r: Column, threshold: int) -> Column:
+    """As ``within_distance``, in steps that grow with the length only.
 
     The band of 2 x threshold + 1 cells around the diagonal is one bit vector per character of ``r``
     (vertical differences of the distance matrix); the score follows the diagonal and then the last row.
@@ -186,11 +202,11 @@ def line_links(
     """
     if min_chars <= 2 * threshold + 1:
         raise ValueError("lines must be longer than the band")
-    lines = rows.groupBy("k").agg(F.min("line").alias("line"))
-    pairs = candidates(lines, threshold, min_chars, hot_segment)
-    shorter = pairs.join(lines.select(F.col("k").alias("a"), F.col("line").alias("s")), "a")
-    both = shorter.join(lines.select(F.col("k").alias("b"), F.col("line").alias("r")), "b")
-    return both.where(within_distance(F.col("s"), F.col("r"), threshold)).select("a", "b")
+    lines = rows.groupBy("k").agg(F.min("line").alias("line")).withColumn("length", F.char_length("line"))
+    # few rows: the segments that nobody shares are gone
+    keyed = cut_lineage(members(lines.where(F.col("length") >= min_chars), threshold, min_chars, hot_segment))
+    near = candidates(keyed, threshold).where(within_distance(F.col("line_a"), F.col("line_b"), threshold))
+    return near.select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct()
 
 
 def near_duplicate_lines(
@@ -218,9 +234,11 @@ def near_duplicate_lines(
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", "k")
     placed = rows.select("doc_id", "line_no", "k")
     firsts = placed.groupBy("k").agg(F.min(place).alias("first"))
-    rooted = firsts.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    classes = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    known = rooted.select("k", "root").join(classes, "root").join(degree, "k", "left").select("k", "first", "links")
+    # only linked lines have a class; every other one stands for itself
+    linked = degree.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    classes = firsts.join(linked, "k").groupBy("root").agg(F.min("first").alias("class_first"))
+    classed = linked.join(classes, "root").select("k", "links", "class_first")
+    known = firsts.join(classed, "k", "left").select("k", F.coalesce("class_first", "first").alias("first"), "links")
     judged = placed.join(known, "k").select(
         "doc_id",
         "line_no",

@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from conftest import as_rows
 from samples import make_docs, odd_rows  # noqa: F401
@@ -121,3 +121,57 @@ def test_the_query_links_short_lines(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {r.doc_id: (r.n_near, r.n_links, r.removed) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
     assert found == {1: (0, 2, []), 2: (1, 2, [0]), 3: (1, 2, [0])}
+
+
+def test_long_lines_are_compared_by_the_band(spark, monkeypatch):
+    rng = random.Random(17)
+    pairs = []
+    for _ in range(200):
+        s = "".join(rng.choice("abcdé") for _ in range(rng.randrange(8, 60)))
+        s, r = sorted((s, mutated(rng, s, rng.randrange(5))), key=len)
+        if len(r) - len(s) <= 2:
+            pairs.append((s, r, edits(s, r)))
+    frame = spark.createDataFrame(pairs, "s string, r string, d int")
+    for long_line in (0, 30):
+        monkeypatch.setattr(line_dedup, "LONG_LINE", long_line)
+        assert frame.where(line_dedup.within_distance(F.col("s"), F.col("r"), 2) != (F.col("d") <= 2)).count() == 0
+
+
+def test_a_line_is_dealt_out_in_few_rows(spark):
+    rng = random.Random(19)
+    lines = ["".join(rng.choice("abcdefghij ") for _ in range(size)) for size in range(64, 400)]
+    frame = spark.createDataFrame([(x,) for x in lines], "line string")
+    frame = frame.select(F.xxhash64("line").alias("k"), "line", F.char_length("line").alias("length"))
+    found = line_dedup.segment_rows(frame, 2, 6)
+    assert found.count() <= 6.5 * len(lines)
+    assert found.where("indexed").count() == 3 * len(lines)
+
+
+def test_variants_of_one_template_meet_only_where_letter_counts_agree(spark):
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(5, 9)))
+    template = [word() for _ in range(24)]
+    lines = set()
+    while len(lines) < 600:
+        own = list(template)
+        own[rng.randrange(len(own))] = word()
+        lines.add(mutated(rng, " ".join(own), rng.choice([0, 0, 1])).strip())
+        if len(lines) % 20 == 0:
+            lines.add(mutated(rng, " ".join(own), 2).strip())
+    lines = sorted(lines)
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("k", F.xxhash64("line"))
+    key = {r.k: r.line for r in rows.collect()}
+    counts = {x: Counter(x) for x in lines}
+    # two edits change four counts at most
+    close = lambda a, b: sum(((counts[a] - counts[b]) + (counts[b] - counts[a])).values()) <= 4
+    want = {frozenset((a, b)) for a in lines for b in lines if a < b and close(a, b) and edits(a, b) <= 2}
+    assert len(want) >= 10
+    found = [frozenset((key[a], key[b])) for a, b in as_rows(line_dedup.line_links(rows), "a", "b")]
+    assert len(found) == len(set(found))
+    assert set(found) == want
+    sized = rows.withColumn("length", F.char_length("line"))
+    keyed = line_dedup.members(sized, 2, 24, line_dedup.HOT_SEGMENT)
+    # about 180,000 pairs share a segment
+    met = keyed.where("indexed").alias("x").join(keyed.alias("y"), F.expr("x.key = y.key AND x.k < y.k")).count()
+    assert met <= 0.5 * len(lines) ** 2 / 2
+    assert line_dedup.candidates(keyed, 2).distinct().count() <= 0.02 * len(lines) ** 2 / 2

@@ -16,7 +16,9 @@ pairs of one bucket in different components can still matter.  Small buckets tes
 (near copies just too far apart, texts that share a passage) are keyed again, exactly: with the shingles
 of a set ordered from rare to frequent, two similar sets share one of their first few, and the places of the first
 shared one bound how similar they can be at all.  So a text with more shingles of its own than the similarity allows meets nobody,
-however large its bucket.
+however large its bucket.  Every set also carries the parities of its shingle counts in a fixed number of bins: two sets
+differ in as many shingles as parities at least, so near copies just too far apart are told from these alone, and no
+sets are dealt out for them.
 """
 
 from __future__ import annotations
@@ -44,6 +46,9 @@ COUNT_SLOTS = 1 << 18
 # pairs left across components per member of a bucket from which another hub is tried first
 CROWDED = 50
 
+# bins of a set's parities, 64 to a word
+PARITY_BITS = 512
+
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -235,12 +240,18 @@ def rare_prefix(members: np.ndarray, counts: np.ndarray, percent: int) -> np.nda
     return ordered[: len(members) + (-percent * len(members)) // 100 + 1]
 
 
+def parities(members: np.ndarray) -> np.ndarray:
+    """Whether a set's shingles are odd in number, bin by bin, as words; a shingle more or less changes one bin."""
+    bins = (members >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(bins, minlength=PARITY_BITS).astype(np.uint8) & 1).view(np.int64)
+
+
 def _prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """(key, node, n, place): the first shingles of every set, places counted from 1."""
+    """(key, node, n, place, parity): the first shingles of every set, places counted from 1, and the whole set's parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes, sizes, places = [], [], [], []
+            keys, nodes, sizes, places, words = [], [], [], [], []
             for i, node in enumerate(batch.column(0).to_pylist()):
                 members = batch.column(1)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 first = rare_prefix(members, counts, percent)
@@ -248,20 +259,27 @@ def _prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 nodes.append(np.full(len(first), node))
                 sizes.append(np.full(len(first), len(members)))
                 places.append(np.arange(1, len(first) + 1))
-            columns = [pa.array(np.concatenate(c or [[]]).astype(np.int64)) for c in (keys, nodes, sizes, places)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "node", "n", "place"])
+                words.append(np.tile(parities(members), len(first)))
+            columns = [pa.array(np.concatenate(c or [[]]).astype(np.int64)) for c in (keys, nodes, sizes, places, words)]
+            of_rows = pa.FixedSizeListArray.from_arrays(columns.pop(), PARITY_BITS // 64).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*columns, of_rows], ["key", "node", "n", "place", "parity"])
 
-    return sets.select("node", "members").mapInArrow(run, "key long, node long, n long, place long")
+    return sets.select("node", "members").mapInArrow(run, "key long, node long, n long, place long, parity array<long>")
 
 
 def _across(left: DataFrame, right: DataFrame, percent: int, placed: bool) -> DataFrame:
-    """(a, b): pairs of one bucket in different components that can be similar by their sizes and places."""
-    other = right.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "root")], *([F.col("place").alias("place_b")] if placed else []))
+    """(a, b): pairs of one bucket in different components that can be similar by their sizes, places and parities."""
+    columns = ["node", "n", "root", *(["place", "parity"] if placed else [])]
+    other = right.select("key", *[F.col(c).alias(f"{c}_b") for c in columns])
     able = (F.col("root") != F.col("root_b")) & _similar_sizes(F.col("n"), F.col("n_b"), percent)
     if placed:
         # nothing before the first shared shingle is shared
         most = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1
         able = able & ((100 + percent) * most >= percent * (F.col("n") + F.col("n_b")))
+        # each parity that differs is a shingle of one set only
+        words = [F.lit(i) for i in range(PARITY_BITS // 64)]
+        apart = sum(F.bit_count(F.get("parity", i).bitwiseXOR(F.get("parity_b", i))) for i in words)
+        able = able & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_b")))
     pairs = left.join(other, "key").where(able)
     return pairs.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b"))
 

@@ -104,6 +104,36 @@ def test_similar_sets_share_a_rare_shingle_within_their_bounds():
         assert 180 * (1 + min(len(a) - i, len(b) - j)) >= 80 * (len(a) + len(b))
 
 
+def test_parities_differ_in_no_more_bins_than_sets_in_shingles():
+    rng = np.random.default_rng(6)
+    bits = lambda x: np.unpackbits(minhash.parities(x).view(np.uint8))
+    for _ in range(200):
+        both = rng.integers(0, 2**64, rng.integers(1, 900), dtype=np.uint64)
+        a, b = (np.concatenate([both, rng.integers(0, 2**64, rng.integers(0, 90), dtype=np.uint64)]) for _ in range(2))
+        apart = int((bits(a) != bits(b)).sum())
+        assert apart <= len(np.setxor1d(a, b))
+        assert apart >= len(np.setxor1d(a, b)) / 2
+
+
+def test_near_copies_just_too_far_apart_are_told_by_their_parities(make_docs, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = prose(120, 55).split()
+
+    def own(i):
+        at = set(rng.choice(120, 6, replace=False).tolist())
+        return " ".join(f"{i}x{w}" if p in at else w for p, w in enumerate(base))
+
+    rows = [(i, own(i), "en", "a") for i in range(200)]
+    tested = []
+    verified = minhash._verified
+    # every bucket of pairs is keyed again
+    monkeypatch.setattr(minhash, "HOT_BUCKET", 1)
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, *a: tested.append(pairs.count()) or verified(pairs, *a))
+    assert result(near_duplicates(make_docs(rows), 2)) == expected(rows, 2)
+    # 19,900 pairs; the first ones are those with hubs, the rest were met in large buckets
+    assert len(tested) >= 2 and sum(tested[1:]) < len(rows)
+
+
 def test_texts_that_share_a_passage_test_no_pairs(make_docs, monkeypatch):
     """A passage in many texts fills large buckets; the texts' own shingles tell that none can be similar."""
     passage = prose(60, 99)

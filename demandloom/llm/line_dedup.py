@@ -29,8 +29,8 @@ MIN_CHARS = 24
 SHORTEST = 2 * THRESHOLD + 2
 # index lines of one segment before its lines are keyed again by letter counts
 HOT_SEGMENT = 64
-# from frequent to rare, so that dealing them in turn makes groups alike
-COUNTED_LETTERS = "etaonishrdlucmfwypvbgkjqxz"
+# letters from frequent to rare and digits, so that dealing them in turn makes groups alike
+COUNTED_LETTERS = "etaonishrdlucmfwypvbgkjqxz0123456789"
 # characters up to which Spark's own distance, whose steps grow with the square, is faster than the band
 LONG_LINE = 4096
 # words of the bit vectors
@@ -93,7 +93,7 @@ def shared_segments(lines: DataFrame, threshold: int, min_chars: int) -> DataFra
 
 
 def _letter_counts(line: Column) -> Column:
-    """How often every counted letter stands in a line, and last how often anything else."""
+    """How often every counted letter or digit stands in a line, and last how often anything else."""
     rest = F.char_length(F.translate(line, COUNTED_LETTERS, ""))
     return F.array(*(F.char_length(line) - F.char_length(F.replace(line, F.lit(c))) for c in COUNTED_LETTERS), rest)
 

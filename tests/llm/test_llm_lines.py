@@ -175,3 +175,22 @@ def test_variants_of_one_template_meet_only_where_letter_counts_agree(spark):
     met = keyed.where("indexed").alias("x").join(keyed.alias("y"), F.expr("x.key = y.key AND x.k < y.k")).count()
     assert met <= 0.5 * len(lines) ** 2 / 2
     assert line_dedup.candidates(keyed, 2).distinct().count() <= 0.02 * len(lines) ** 2 / 2
+
+
+def test_lines_that_differ_in_digits_meet_only_where_digit_counts_agree(spark):
+    rng = random.Random(29)
+    digits = lambda: "".join(rng.choice("0123456789") for _ in range(24))
+    lines = [f"the request {digits()} was answered by the server in the usual time and then logged" for _ in range(300)]
+    lines += [mutated(rng, x, rng.randrange(1, 3)).strip() for x in lines[:20]]
+    lines = sorted(set(lines))
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    rows = rows.select(F.xxhash64("line").alias("k"), "line", F.char_length("line").alias("length"))
+    key = {r.k: r.line for r in rows.collect()}
+    counts = {x: Counter(x) for x in lines}
+    close = lambda a, b: sum(((counts[a] - counts[b]) + (counts[b] - counts[a])).values()) <= 4
+    want = {frozenset((a, b)) for a in lines for b in lines if a < b and close(a, b) and edits(a, b) <= 2}
+    assert {frozenset((key[a], key[b])) for a, b in as_rows(line_dedup.line_links(rows), "a", "b")} == want
+    assert len(want) >= 15
+    keyed = line_dedup.members(rows, 2, 24, line_dedup.HOT_SEGMENT)
+    # about 45,000 pairs share a segment
+    assert line_dedup.candidates(keyed, 2).distinct().count() <= 0.02 * len(lines) ** 2 / 2
